@@ -81,3 +81,19 @@ def quarter_range(as_of) -> tuple[Column, Column]:
 def always_open(open_s: str = "open_s", close_s: str = "close_s") -> Column:
     """24-hour store flag: open time equals close time; NULL if either is NULL."""
     return F.col(open_s) == F.col(close_s)
+
+
+def seconds_of_day(text: str) -> Column:
+    """``'HH:MM[:SS]'`` as seconds of the day; ``'24:00'`` is 86400.
+
+    Text outside 00:00..24:00 gives NULL, so a width/type check can catch it.
+    A time type cannot hold ``24:00``, hence seconds.
+    """
+    parts = F.split(F.trim(F.col(text)), ":")
+    h = F.try_element_at(parts, F.lit(1)).try_cast("int")
+    m = F.try_element_at(parts, F.lit(2)).try_cast("int")
+    sec = F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("int"), F.lit(0))
+    total = h * 3600 + m * 60 + sec
+    ok = (F.size(parts).between(2, 3) & m.between(0, 59) & sec.between(0, 59)
+          & total.between(0, 86400))
+    return F.when(ok, total)

@@ -17,6 +17,7 @@ from storeline.functions.expressions import (
 )
 from storeline.functions.sizing import one_row
 from storeline.plans.revenue import sales_lines
+from storeline.plans.topk import top1_per_group
 from storeline.schemas import COUNT_ORDER, MEMBER_LEVELS
 from storeline.sources.tables import Tables
 
@@ -52,21 +53,16 @@ def top_selling_past_month(t: Tables, as_of=None) -> DataFrame:
     """Per store, the product with the highest revenue in sales dated on or
     after ``as_of`` minus one month (midnight). Revenue is returned as text.
 
-    Ties on revenue go to the smallest UPC. The winner is picked by a
-    grouped ``max`` over ``(revenue, -upc)``: a hash aggregate with map-side
-    partial results, so a store holding a large share of the rows does not
-    land whole in one task, and no per-store sort is needed.
+    Ties on revenue go to the smallest UPC. The winner is found with hash
+    aggregates only: the per-store maximum (a result with one row per store,
+    small enough for AQE to broadcast), a join back to the per-product sums,
+    then the smallest UPC among the ties. Map-side partial aggregation keeps
+    a store holding a large share of the rows from landing whole in one task.
     """
     lines = sales_lines(t, F.col("date_time") >= month_back(as_of))
     per_product = lines.groupBy("store_id", "product_upc").agg(
         F.sum(line_revenue()).alias("revenue"))
-    best = (per_product
-            .groupBy("store_id")
-            .agg(F.max(F.struct(F.col("revenue"), (-F.col("product_upc")).alias("neg_upc")))
-                 .alias("best"))
-            .select("store_id",
-                    F.col("best.revenue").alias("revenue"),
-                    (-F.col("best.neg_upc")).alias("product_upc")))
+    best = top1_per_group(per_product, "store_id", "revenue", "product_upc")
     names = t.product.select("product_upc", "name")
     return (best.join(names, "product_upc")
             .join(_store_names(t), "store_id")

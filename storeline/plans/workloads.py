@@ -151,3 +151,14 @@ def renumber_stores_blocked(t: Tables) -> DataFrame:
                              (F.col("store_id") + 100).alias("new_id"))
     _, blocked = changes.cascade_update({n: t[n] for n in SPECS}, "store", mapping)
     return blocked
+
+
+def stream_decisions(t: Tables) -> DataFrame:
+    """Every sold item through the streaming deduction job (drained)."""
+    from storeline.streaming.stock_stream import run_to_completion, stream_stage_items
+
+    items = _items_with_order(t)
+    folder = stream_stage_items(items)
+    out = run_to_completion(folder, items.schema, t.sale.select("sale_id", "store_id", "date_time"),
+                            t.stock, order_by=ARRIVAL_ORDER)
+    return out.select("sale_id", "product_upc", "store_id", "quantity", "decision")

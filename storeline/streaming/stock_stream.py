@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ from storeline.session import scratch_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
+STATE_SCHEMA = "upc array<long>, store array<int>, level array<int>"
+KEYS_PER_BUCKET = 256
+MIN_BUCKETS = 64
+
 DECISION_SCHEMA = T.StructType([
     T.StructField("sale_id", T.LongType()),
     T.StructField("product_upc", T.LongType()),
@@ -42,43 +47,79 @@ DECISION_SCHEMA = T.StructType([
 
 
 class StockKeeper(StatefulProcessor):
-    """Per (product, store): the remaining level; decides each arriving item."""
+    """Remaining levels of one bucket of (product, store) keys.
+
+    The grouping key is a hash bucket of (product, store), so one Python
+    call folds every key of the bucket that a micro-batch touches, instead of
+    one call per key. The bucket's state is one value holding parallel arrays
+    ``(upc, store, level)``, seeded once from ``stock`` as initial state.
+    """
 
     def __init__(self, order_by: Sequence[str] = ("date_time", "sale_id")):
         self.order_by = tuple(order_by)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "level int")
+        self.levels = handle.getValueState("levels", STATE_SCHEMA)
+
+    def _load(self) -> dict:
+        if not self.levels.exists():
+            return {}
+        upc, store, level = self.levels.get()
+        return dict(zip(zip(upc, store), level))
+
+    def _save(self, levels: dict) -> None:
+        keys = list(levels)
+        self.levels.update(([k[0] for k in keys], [k[1] for k in keys],
+                            [int(v) for v in levels.values()]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.level.update((int(initialState["inventory_level"].iloc[0]),))
+        levels = self._load()
+        for u, st, lv in zip(initialState["product_upc"], initialState["store_id"],
+                             initialState["inventory_level"]):
+            levels[(int(u), int(st))] = int(lv)
+        self._save(levels)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values(list(self.order_by), kind="stable")
-        has_stock = self.level.exists()
-        r = int(self.level.get()[0]) if has_stock else None
-        decisions, after = [], []
-        for q in pdf["quantity"]:
-            if not has_stock:
-                decisions.append(NO_STOCK)
-            elif pd.isna(q) or q <= 0:
-                decisions.append(BAD_QTY)
+        pdf = pdf.sort_values([*KEY, *self.order_by], kind="stable", ignore_index=True)
+        levels = self._load()
+        upc = pdf["product_upc"].to_numpy()
+        store = pdf["store_id"].to_numpy()
+        qty = pdf["quantity"].to_numpy()
+        n = len(pdf)
+        decision = np.empty(n, dtype=object)
+        after = np.full(n, -1, dtype=np.int64)
+        has = np.zeros(n, dtype=bool)
+        cur, r = None, None
+        for i in range(n):
+            k = (int(upc[i]), None if pd.isna(store[i]) else int(store[i]))
+            if k != cur:
+                if cur is not None and r is not None:
+                    levels[cur] = r
+                cur, r = k, levels.get(k)
+            q = qty[i]
+            if r is None:
+                decision[i] = NO_STOCK
+                continue
+            if pd.isna(q) or q <= 0:
+                decision[i] = BAD_QTY
             elif q <= r:
                 r -= int(q)
-                decisions.append(OK)
+                decision[i] = OK
             else:
-                decisions.append(SHORT)
-            after.append(r)
-        if has_stock:
-            self.level.update((r,))
+                decision[i] = SHORT
+            after[i] = r
+            has[i] = True
+        if cur is not None and r is not None:
+            levels[cur] = r
+        self._save(levels)
         yield pd.DataFrame({
             "sale_id": pdf["sale_id"].astype("int64"),
             "product_upc": pdf["product_upc"].astype("int64"),
             "store_id": pdf["store_id"].astype("Int32"),
             "quantity": pdf["quantity"].astype("Int32"),
-            "decision": decisions,
-            "level_after": pd.array(after, dtype="Int32"),
+            "decision": decision,
+            "level_after": pd.Series(after, dtype="Int32").mask(~has),
         })
 
     def close(self) -> None:
@@ -91,29 +132,43 @@ def ensure_state_store(spark: SparkSession) -> None:
         spark.conf.set(STATE_PROVIDER, ROCKSDB)
 
 
+def state_bucket(n_buckets: int):
+    """Hash bucket of (product, store): the grouping key of the state."""
+    return F.pmod(F.xxhash64(*[F.col(c) for c in KEY]), F.lit(n_buckets)).alias("bucket")
+
+
+def default_buckets(stock: DataFrame) -> int:
+    """About ``KEYS_PER_BUCKET`` stock keys per state bucket (one count of stock)."""
+    return max(MIN_BUCKETS, stock.count() // KEYS_PER_BUCKET)
+
+
 def deduct_stock_stream(items: DataFrame, sale: DataFrame, stock: DataFrame,
-                        order_by: Sequence[str] = ("date_time", "sale_id")) -> DataFrame:
+                        order_by: Sequence[str] = ("date_time", "sale_id"),
+                        n_buckets: int | None = None) -> DataFrame:
     """Streaming decisions for a streaming ``items`` frame.
 
     ``items``: ``sale_id, product_upc, quantity`` (a streaming DataFrame);
-    ``sale``, ``stock``: static tables. Returns a streaming DataFrame of
-    ``DECISION_SCHEMA`` rows; write it with any sink in append mode.
+    ``sale``, ``stock``: static tables. Stock is loaded into the state once,
+    as initial state; afterwards a micro-batch touches only its own keys.
+    Returns a streaming DataFrame of ``DECISION_SCHEMA`` rows (append mode).
     """
     ensure_state_store(items.sparkSession)
+    n_buckets = n_buckets or default_buckets(stock)
     s = sale.select("sale_id", "store_id",
                     *[c for c in order_by if c in sale.columns and c not in ("sale_id", "store_id")])
-    joined = items.join(s, "sale_id", "left")
-    processor = StockKeeper(order_by)
-    init = stock.select(*KEY, "inventory_level").groupBy(*KEY)
-    return joined.groupBy(*KEY).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=DECISION_SCHEMA,
+    joined = items.join(s, "sale_id", "left").withColumn("bucket", state_bucket(n_buckets))
+    init = (stock.select(*KEY, "inventory_level")
+            .withColumn("bucket", state_bucket(n_buckets)).groupBy("bucket"))
+    return joined.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=StockKeeper(order_by), outputStructType=DECISION_SCHEMA,
         outputMode="Append", timeMode="None", initialState=init)
 
 
 def run_to_completion(items_dir: str, items_schema: T.StructType | str, sale: DataFrame,
                       stock: DataFrame, order_by: Sequence[str] = ("date_time", "sale_id"),
                       files_per_batch: int | None = None, sink_dir: str | None = None,
-                      checkpoint_dir: str | None = None) -> DataFrame:
+                      checkpoint_dir: str | None = None,
+                      n_buckets: int | None = None) -> DataFrame:
     """Drain every file under ``items_dir`` through the job and return the
     decisions as a batch DataFrame (``availableNow`` trigger, Parquet sink,
     checkpoint in the shared folder)."""
@@ -122,7 +177,7 @@ def run_to_completion(items_dir: str, items_schema: T.StructType | str, sale: Da
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     items = reader.parquet(items_dir)
-    out = deduct_stock_stream(items, sale, stock, order_by)
+    out = deduct_stock_stream(items, sale, stock, order_by, n_buckets)
     sink_dir = sink_dir or scratch_path(spark, "stock-stream-out")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stock-stream-ckpt")
     q = (out.writeStream.format("parquet").outputMode("append")

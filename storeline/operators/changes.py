@@ -26,6 +26,11 @@ ROLLED_BACK = "ROLLED_BACK"
 ITEM_KEY = ["sale_id", "product_upc"]
 
 
+def _names(col: str):
+    """All distinct labels of a group, sorted, comma-joined (hash aggregate)."""
+    return F.array_join(F.array_sort(F.collect_set(col)), ",")
+
+
 def _all_or_nothing(decisions: DataFrame) -> DataFrame:
     """One statement: if any request is refused, every accepted one is too.
 
@@ -150,7 +155,7 @@ def restrict_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame
     blocked = blocked_parts[0]
     for b in blocked_parts[1:]:
         blocked = blocked.unionByName(b)
-    blocked = blocked.groupBy(*pk).agg(F.min("blocked_by").alias("blocked_by"))
+    blocked = blocked.groupBy(*pk).agg(_names("blocked_by").alias("blocked_by"))
     allowed = keys.join(blocked.select(*pk), pk, "left_anti")
     return allowed, blocked
 
@@ -204,7 +209,7 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
     blocked = dup
     for r in restrict:
         blocked = blocked.unionByName(r)
-    blocked = blocked.groupBy("old_id", "new_id").agg(F.min("reason").alias("reason"))
+    blocked = blocked.groupBy("old_id", "new_id").agg(_names("reason").alias("reason"))
     ok = m.join(blocked.select("old_id"), "old_id", "left_anti")
 
     def remap(df: DataFrame, col: str) -> DataFrame:

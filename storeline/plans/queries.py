@@ -148,11 +148,12 @@ def loyalty_bundle(t: Tables, keyword: str, n: int = 3, dedupe: bool = False,
     if dedupe:
         hits = hits.withColumn("k", F.lit(1).cast("bigint"))
     other = t.product.filter(~pattern_hit).select("product_upc", "name")
+    # numbers only in the aggregate (hash-based); names join the per-product sums
     bundled = (t.sale_line_item.join(hits, "sale_id", "inner")
-               .join(other, "product_upc", "inner")
+               .join(other.select("product_upc"), "product_upc", "left_semi")
                .groupBy("product_upc")
-               .agg(F.sum(F.col("quantity") * F.col("k")).alias("cnt"),
-                    F.min("name").alias("name")))
+               .agg(F.sum(F.col("quantity") * F.col("k")).alias("cnt"))
+               .join(other, "product_upc"))
     return (bundled.orderBy(F.desc("cnt"), "name", "product_upc").limit(n)
             .select(F.col("name").alias("item"), F.col("cnt").cast("bigint").alias("cnt")))
 

@@ -74,7 +74,7 @@ def test_restrict_delete(spark, t):
     stores = spark.createDataFrame([(2,), (4,)], "store_id int")
     allowed, blocked = changes.restrict_delete(dict(t), "store", stores)
     assert [r.store_id for r in allowed.collect()] == [4]
-    assert [(r.store_id, r.blocked_by) for r in blocked.collect()] == [(2, "sale")]
+    assert [(r.store_id, r.blocked_by) for r in blocked.collect()] == [(2, "sale,stock")]
     vendors = spark.createDataFrame([(1,), (3,)], "vendor_id int")
     allowed, blocked = changes.restrict_delete(dict(t), "vendor", vendors)
     assert [r.vendor_id for r in allowed.collect()] == [3]

@@ -33,8 +33,19 @@ def like_pattern(key: str) -> str:
     return f"%{key}%"
 
 
-def text_match(column: str, key: str, literal: bool = False) -> Column:
-    """Case-insensitive substring match, as a ``LIKE '%key%'`` test."""
+ACCENT_INSENSITIVE = "UNICODE_CI_AI"
+
+
+def text_match(column: str, key: str, literal: bool = False,
+               accent_insensitive: bool = False) -> Column:
+    """Case-insensitive substring match, as a ``LIKE '%key%'`` test.
+
+    ``accent_insensitive`` compares under a case- and accent-insensitive
+    collation (``'cafe'`` finds ``'Café'``); collated strings support
+    ``contains`` but not ``LIKE``, so the key is then matched literally.
+    """
+    if accent_insensitive:
+        return F.contains(F.collate(F.col(column), ACCENT_INSENSITIVE), F.lit(key))
     if literal:
         return F.lower(F.col(column)).contains(key.lower())
     return F.col(column).ilike(like_pattern(key))

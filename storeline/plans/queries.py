@@ -28,16 +28,19 @@ def _store_names(t: Tables, alias: str = "store") -> DataFrame:
 
 # Q1 ----------------------------------------------------------------------
 
-def product_availability(t: Tables, key: str, literal: bool = False) -> DataFrame:
+def product_availability(t: Tables, key: str, literal: bool = False,
+                         accent_insensitive: bool = False) -> DataFrame:
     """Stock per store of every product whose UPC equals ``key`` or whose
     name or brand contains it (case-insensitive).
 
     A non-numeric key never equals a UPC. With ``literal=False`` the key's own
     ``%``/``_`` act as wildcards, as in ``LIKE '%key%'``; ``literal=True``
-    matches the text as is. An empty key matches every product.
+    matches the text as is; ``accent_insensitive=True`` also ignores accents
+    (literal match under a collation). An empty key matches every product.
     """
     upc = key_as_bigint(key)
-    cond = text_match("name", key, literal) | text_match("brand", key, literal)
+    cond = (text_match("name", key, literal, accent_insensitive)
+            | text_match("brand", key, literal, accent_insensitive))
     if upc is not None:
         cond = (F.col("product_upc") == F.lit(upc)) | cond
     products = t.product.filter(cond).select("product_upc", "name")

@@ -43,6 +43,16 @@ def test_q1_empty_key_and_wildcards(t):
     assert rows(Q.product_availability(t, "%", literal=True)) == []
 
 
+def test_q1_accent_insensitive(spark, t):
+    prod = t.product.unionByName(spark.createDataFrame(
+        [(1008, "Café Mocha", None, None, None, D("3.00"), 2)], t.product.schema))
+    stock = t.stock.unionByName(spark.createDataFrame([(1008, 3, 2, 1, 1)], t.stock.schema))
+    t2 = t.replace(product=prod, stock=stock)
+    assert rows(Q.product_availability(t2, "cafe")) == []
+    got = rows(Q.product_availability(t2, "cafe", accent_insensitive=True))
+    assert got == [(3, "Jamsil", 1008, "Café Mocha", 2)]
+
+
 def test_q2_best_seller_past_month_tie_goes_to_smaller_upc(t):
     got = rows(Q.top_selling_past_month(t, as_of=AS_OF))
     assert got == [(1, "Gangnam", 1003, "Choco Pie", "12.60"),

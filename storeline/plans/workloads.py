@@ -154,11 +154,15 @@ def renumber_stores_blocked(t: Tables) -> DataFrame:
 
 
 def stream_decisions(t: Tables) -> DataFrame:
-    """Every sold item through the streaming deduction job (drained)."""
+    """Every sold item through the streaming deduction job (drained).
+
+    The stream's input is receipt lines: each item with its sale's store and
+    time, as a point of sale emits them, so the job never re-reads ``sale``.
+    """
     from storeline.streaming.stock_stream import run_to_completion, stream_stage_items
 
-    items = _items_with_order(t)
-    folder = stream_stage_items(items)
-    out = run_to_completion(folder, items.schema, t.sale.select("sale_id", "store_id", "date_time"),
-                            t.stock, order_by=ARRIVAL_ORDER)
+    lines = _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"),
+                                      "sale_id", "left")
+    folder = stream_stage_items(lines)
+    out = run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER)
     return out.select("sale_id", "product_upc", "store_id", "quantity", "decision")

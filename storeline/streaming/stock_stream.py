@@ -1,8 +1,8 @@
 """Stock deduction as a stateful Structured Streaming job.
 
-Line items arrive as a stream; each is joined to its sale (a static table)
-for the store, grouped by (product, store), and a stateful processor holds
-the remaining level of that key, seeded from the ``stock`` table. Decisions
+Receipt lines (item plus its sale's store and time) arrive as a stream,
+are grouped by a hash bucket of (product, store), and a stateful processor
+holds the remaining level of each key, seeded from the ``stock`` table. Decisions
 follow the row-by-row rule of ``operators.deduction``: NO_STOCK_ROW when the
 key has no stock, CHECK_QUANTITY for a non-positive quantity, SHORT when
 the level is too low (nothing consumed), else OK and the level drops.
@@ -142,42 +142,50 @@ def default_buckets(stock: DataFrame) -> int:
     return max(MIN_BUCKETS, stock.count() // KEYS_PER_BUCKET)
 
 
-def deduct_stock_stream(items: DataFrame, sale: DataFrame, stock: DataFrame,
+def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | None = None,
                         order_by: Sequence[str] = ("date_time", "sale_id"),
                         n_buckets: int | None = None) -> DataFrame:
     """Streaming decisions for a streaming ``items`` frame.
 
-    ``items``: ``sale_id, product_upc, quantity`` (a streaming DataFrame);
-    ``sale``, ``stock``: static tables. Stock is loaded into the state once,
-    as initial state; afterwards a micro-batch touches only its own keys.
-    Returns a streaming DataFrame of ``DECISION_SCHEMA`` rows (append mode).
+    ``items`` is a stream of receipt lines: ``sale_id, product_upc, quantity``
+    plus ``store_id`` and the arrival columns. Lines that do not carry their
+    store are looked up in the static ``sale`` table (a stream-static join
+    that re-reads ``sale`` every micro-batch, so prefer lines that carry it).
+    Stock is loaded into the state once, as initial state; afterwards a
+    micro-batch touches only its own keys. Returns a streaming DataFrame of
+    ``DECISION_SCHEMA`` rows (append mode).
     """
     ensure_state_store(items.sparkSession)
     n_buckets = n_buckets or default_buckets(stock)
-    s = sale.select("sale_id", "store_id",
-                    *[c for c in order_by if c in sale.columns and c not in ("sale_id", "store_id")])
-    joined = items.join(s, "sale_id", "left").withColumn("bucket", state_bucket(n_buckets))
+    missing = [c for c in ("store_id", *order_by) if c not in items.columns]
+    if missing:
+        if sale is None:
+            raise ValueError(f"items lack {missing} and no sale table was given")
+        s = sale.select("sale_id", *[c for c in missing if c != "sale_id"])
+        items = items.join(s, "sale_id", "left")
+    keyed = items.withColumn("bucket", state_bucket(n_buckets))
     init = (stock.select(*KEY, "inventory_level")
             .withColumn("bucket", state_bucket(n_buckets)).groupBy("bucket"))
-    return joined.groupBy("bucket").transformWithStateInPandas(
+    return keyed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StockKeeper(order_by), outputStructType=DECISION_SCHEMA,
         outputMode="Append", timeMode="None", initialState=init)
 
 
-def run_to_completion(items_dir: str, items_schema: T.StructType | str, sale: DataFrame,
-                      stock: DataFrame, order_by: Sequence[str] = ("date_time", "sale_id"),
+def run_to_completion(items_dir: str, items_schema: T.StructType | str, stock: DataFrame,
+                      sale: DataFrame | None = None,
+                      order_by: Sequence[str] = ("date_time", "sale_id"),
                       files_per_batch: int | None = None, sink_dir: str | None = None,
                       checkpoint_dir: str | None = None,
                       n_buckets: int | None = None) -> DataFrame:
     """Drain every file under ``items_dir`` through the job and return the
     decisions as a batch DataFrame (``availableNow`` trigger, Parquet sink,
     checkpoint in the shared folder)."""
-    spark = sale.sparkSession
+    spark = stock.sparkSession
     reader = spark.readStream.schema(items_schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     items = reader.parquet(items_dir)
-    out = deduct_stock_stream(items, sale, stock, order_by, n_buckets)
+    out = deduct_stock_stream(items, stock, sale, order_by, n_buckets)
     sink_dir = sink_dir or scratch_path(spark, "stock-stream-out")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stock-stream-ckpt")
     q = (out.writeStream.format("parquet").outputMode("append")

@@ -108,7 +108,7 @@ def test_stream_matches_batch_fold_across_micro_batches(spark):
     flat = tempfile.mkdtemp(prefix="stream-flat-", dir="/tmp")
     for i, f in enumerate(files):
         os.link(f, os.path.join(flat, f"part-{i}.parquet"))
-    out = run_to_completion(flat, schema, sale, stock, order_by=["seq"], files_per_batch=1,
+    out = run_to_completion(flat, schema, stock, sale, order_by=["seq"], files_per_batch=1,
                             n_buckets=4)
     got = {(r.sale_id, r.product_upc): (r.decision, r.level_after) for r in out.collect()}
     assert got == {(1, 1): ("OK", 4), (2, 1): ("SHORT", 4), (3, 1): ("OK", 0),

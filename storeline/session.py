@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # selective join sides (a month of sales, keyword products) prune the
+    # large scan on the other side with a runtime bloom filter
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     # zone-less timestamps on both sides of the oracle check
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

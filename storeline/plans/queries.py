@@ -62,7 +62,7 @@ def top_selling_past_month(t: Tables, as_of=None) -> DataFrame:
     then the smallest UPC among the ties. Map-side partial aggregation keeps
     a store holding a large share of the rows from landing whole in one task.
     """
-    lines = sales_lines(t, F.col("date_time") >= month_back(as_of))
+    lines = sales_lines(t, since=month_back(as_of))
     per_product = lines.groupBy("store_id", "product_upc").agg(
         F.sum(line_revenue()).alias("revenue"))
     best = top1_per_group(per_product, "store_id", "revenue", "product_upc")
@@ -84,7 +84,7 @@ def best_store_this_quarter(t: Tables, as_of=None) -> DataFrame:
     single-partition window).
     """
     start, end = quarter_range(as_of)
-    lines = sales_lines(t, (F.col("date_time") >= start) & (F.col("date_time") < end))
+    lines = sales_lines(t, since=start, until=end)
     per_store = lines.groupBy("store_id").agg(money(F.sum(line_revenue())).alias("revenue"))
     top = one_row(per_store.agg(F.max("revenue").alias("max_revenue")))
     winners = per_store.join(top, per_store.revenue == top.max_revenue).drop("max_revenue")

@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from storeline.sources.tables import Tables
+from storeline.sources.tables import PARTITION_COLUMNS, Tables
 
+MONTH_COLUMN = PARTITION_COLUMNS["sale"][0]
 
-def sales_lines(t: Tables, sale_filter: Column | None = None) -> DataFrame:
+
+def sale_window(sale: DataFrame, since: Column | None = None,
+                until: Column | None = None) -> DataFrame:
+    """Sales with ``since <= date_time < until`` (either bound optional).
+
+    Bounds are plain ranges on the raw column, so they reach the Parquet scan
+    as pushed filters. When ``sale`` is stored by month the same window is
+    also stated on the month column, so whole month folders are pruned
+    (a month folder holds ``month <= date_time < next month``).
+    """
+    cond = F.lit(True)
+    month = MONTH_COLUMN in sale.columns
+    if since is not None:
+        cond = cond & (F.col("date_time") >= since)
+        if month:
+            cond = cond & (F.col(MONTH_COLUMN) >= F.trunc(since.cast("date"), "month"))
+    if until is not None:
+        cond = cond & (F.col("date_time") < until)
+        if month:
+            cond = cond & (F.col(MONTH_COLUMN) < until.cast("date"))
+    return sale.filter(cond)
+
+
+def sales_lines(t: Tables, since: Column | None = None, until: Column | None = None
+                ) -> DataFrame:
     """``(sale_id, store_id, product_upc, quantity, price)`` for sold items.
 
-    The date predicate is applied to ``sale`` before the join, so it reaches
-    the scan under the sale table; the item side is only joined to the
-    surviving sales (AQE broadcasts them when they turn out small).
+    The date window is applied to ``sale`` before the join, so it reaches the
+    scan (and the month folders) under the sale table; the item side is only
+    joined to the surviving sales (AQE broadcasts them when they turn out
+    small, and the runtime bloom filter prunes the item scan at scale).
     """
-    sale = t.sale.select("sale_id", "store_id", "date_time")
-    if sale_filter is not None:
-        sale = sale.filter(sale_filter)
+    sale = sale_window(t.sale, since, until).select("sale_id", "store_id")
     price = t.product.select("product_upc", "price")
     return (t.sale_line_item.select("sale_id", "product_upc", "quantity")
-            .join(sale.select("sale_id", "store_id"), "sale_id")
+            .join(sale, "sale_id")
             .join(price, "product_upc"))

@@ -61,9 +61,13 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Typed scan of one domain table stored as Parquet under ``root``.
 
     The declared schema is handed to the reader, so no schema inference or
-    footer merge runs, and only the projected columns are read.
+    footer merge runs, and only the projected columns are read. A table
+    written with a partition column (``sale_month``) keeps it, so date
+    windows can prune folders.
     """
     spec = SPECS[name]
+    # Partition folders (e.g. sale_month=2025-06-01) are discovered by the
+    # reader and appended to the declared columns.
     return spark.read.schema(spec.schema).parquet(f"{root.rstrip('/')}/{name}")
 
 
@@ -71,17 +75,44 @@ def read_tables(spark: SparkSession, root: str, names: Iterable[str] = SPECS) ->
     return Tables({n: (lambda n=n: read_table(spark, root, n)) for n in names})
 
 
-def write_tables(tables: Tables, root: str, mode: str = "overwrite",
-                 names: Iterable[str] | None = None,
-                 partition_by: Mapping[str, str] | None = None) -> None:
-    """Write domain tables as Parquet (one folder per table).
+# Storage layout of the stored domain tables.
+#   sale:           one folder per month (partition pruning for date windows),
+#                   rows clustered by store and time inside
+#   sale_line_item: clustered by receipt (row-group skipping on sale_id)
+#   stock:          clustered by store, then product
+#   order_list:     clustered by store and order time
+PARTITION_COLUMNS = {"sale": ("sale_month", lambda: F.trunc(F.col("date_time").cast("date"), "month"))}
+CLUSTER_COLUMNS = {
+    "sale": ("store_id", "date_time"),
+    "sale_line_item": ("sale_id", "product_upc"),
+    "stock": ("store_id", "product_upc"),
+    "order_list": ("store_id", "order_datetime"),
+}
+
 
-    ``partition_by`` maps a table to a column to partition by (e.g. ``sale``
-    by a month column) so that date filters prune whole folders.
+def write_tables(tables: Tables, root: str, mode: str = "overwrite",
+                 names: Iterable[str] | None = None, files_per_table: int | None = None,
+                 layout: bool = True) -> None:
+    """Write domain tables as Parquet, one folder per table.
+
+    With ``layout`` the tables follow ``PARTITION_COLUMNS`` /
+    ``CLUSTER_COLUMNS``: rows are range-partitioned on (partition column,
+    cluster columns), so each task writes one contiguous key range (a hot
+    month or store is split by the sampled bounds, not sent to one task) and
+    every file holds a narrow range of the cluster keys, which lets pushed
+    filters skip row groups.
     """
-    partition_by = partition_by or {}
     for n in names or tables:
-        w = conform(tables[n], SPECS[n]).write.mode(mode)
-        if n in partition_by:
-            w = w.partitionBy(partition_by[n])
+        df = conform(tables[n], SPECS[n])
+        w_part = None
+        if layout and n in PARTITION_COLUMNS:
+            w_part, derive = PARTITION_COLUMNS[n]
+            df = df.withColumn(w_part, derive())
+        keys = ([w_part] if w_part else []) + list(CLUSTER_COLUMNS.get(n, ()) if layout else ())
+        if keys:
+            parts = files_per_table or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+        w = df.write.mode(mode)
+        if w_part:
+            w = w.partitionBy(w_part)
         w.parquet(f"{root.rstrip('/')}/{n}")

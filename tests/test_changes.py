@@ -1,5 +1,7 @@
 """Receipt guards, referential actions, the stream and the scan/sink round trip."""
 
+import contextlib
+import io
 import os
 import tempfile
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storeline.operators import changes
 from storeline.operators.deduction import deduct_stock_rows
+from storeline.plans import queries as Q
 from storeline.schemas import SPECS
 from storeline.sources.tables import read_tables, write_tables
 from storeline.streaming.stock_stream import run_to_completion
@@ -121,9 +124,26 @@ def test_stream_matches_batch_fold_across_micro_batches(spark):
 
 def test_write_and_typed_read_round_trip(spark, t):
     root = tempfile.mkdtemp(prefix="tables-", dir="/tmp")
-    write_tables(t, root, partition_by={"sale": "payment_method"})
+    write_tables(t, root, files_per_table=3)
     back = read_tables(spark, root)
     for n in SPECS:
         assert back[n].count() == t[n].count(), n
-    assert back.sale.filter(F.col("payment_method") == "CASH").count() == 1
-    assert back.product.schema == SPECS["product"].schema
+        assert list(back[n].schema)[:len(SPECS[n].columns)] == list(SPECS[n].schema), n
+    assert "sale_month" in back.sale.columns
+    months = sorted(d for d in os.listdir(os.path.join(root, "sale")) if d.startswith("sale_month="))
+    assert months == ["sale_month=2025-03-01", "sale_month=2025-05-01", "sale_month=2025-06-01"]
+
+
+def test_stored_layout_prunes_months_and_keeps_results(spark, t):
+    root = tempfile.mkdtemp(prefix="tables-", dir="/tmp")
+    write_tables(t, root, files_per_table=2)
+    back = read_tables(spark, root)
+    for as_of in ("2025-06-13", "2025-03-15", "2025-07-20"):
+        assert Q.top_selling_past_month(back, as_of).collect() == \
+            Q.top_selling_past_month(t, as_of).collect()
+        assert Q.best_store_this_quarter(back, as_of).collect() == \
+            Q.best_store_this_quarter(t, as_of).collect()
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        Q.best_store_this_quarter(back, "2025-06-13").explain("formatted")
+    assert "PartitionFilters: [isnotnull(sale_month" in plan.getvalue()

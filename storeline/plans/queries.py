@@ -94,19 +94,22 @@ def best_store_this_quarter(t: Tables, as_of=None) -> DataFrame:
 
 # Q4 ----------------------------------------------------------------------
 
-def vendor_stats(t: Tables) -> DataFrame:
+def vendor_stats(t: Tables, distinct: bool = False) -> DataFrame:
     """Per vendor: number of distinct products and total units sold.
 
     Line items are summed per product before the join, so the join never
-    repeats a product per line item. Vendors without products give (0, 0);
+    repeats a product per line item, and with the product key unique a plain
+    count of products equals the distinct count (no extra shuffle on
+    (vendor, product)); ``distinct=True`` counts distinct UPCs for input
+    whose keys were not validated. Vendors without products give (0, 0);
     products never sold still count. Ordered by product count, then vendor.
     """
     units = t.sale_line_item.groupBy("product_upc").agg(F.sum("quantity").alias("units"))
+    types = F.count_distinct("product_upc") if distinct else F.count("product_upc")
     per_vendor = (t.product.select("product_upc", "vendor_id")
                   .join(units, "product_upc", "left")
                   .groupBy("vendor_id")
-                  .agg(F.count_distinct("product_upc").alias("product_types"),
-                       F.sum("units").alias("units")))
+                  .agg(types.alias("product_types"), F.sum("units").alias("units")))
     return (t.vendor.select("vendor_id", "vendor_name")
             .join(per_vendor, "vendor_id", "left")
             .select("vendor_id", "vendor_name",
@@ -163,13 +166,19 @@ def loyalty_bundle(t: Tables, keyword: str, n: int = 3, dedupe: bool = False,
 
 # Q7 ----------------------------------------------------------------------
 
-def variety_by_ownership(t: Tables) -> DataFrame:
+def variety_by_ownership(t: Tables, distinct: bool = False) -> DataFrame:
     """Per ownership type, the store(s) stocking the most distinct products
-    (ties kept). A stock row with level 0 still counts as stocked."""
+    (ties kept). A stock row with level 0 still counts as stocked.
+
+    (product, store) is the stock key, so counting rows per store equals
+    counting distinct products: one partial aggregate, no shuffle of every
+    stock row by (store, product). ``distinct=True`` for unvalidated input.
+    """
+    kinds_expr = F.count_distinct("product_upc") if distinct else F.count("product_upc")
     kinds = (t.stock.select("store_id", "product_upc")
              .join(t.store.select("store_id", "ownership_type"), "store_id")
              .groupBy("store_id", "ownership_type")
-             .agg(F.count_distinct("product_upc").alias("kinds")))
+             .agg(kinds_expr.alias("kinds")))
     best = kinds.groupBy("ownership_type").agg(F.max("kinds").alias("max_k"))
     return (kinds.join(best, "ownership_type")
             .filter(F.col("kinds") == F.col("max_k"))

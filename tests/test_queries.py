@@ -90,6 +90,24 @@ def test_q4_vendor_stats(t):
     assert got == [(2, "Blue Bean", 4, 8), (1, "Acme Foods", 3, 19), (3, "Empty Vendor", 0, 0)]
 
 
+def test_q4_q7_distinct_counts_on_duplicate_keys(spark, t):
+    # an unvalidated duplicate stock row / product row: only distinct=True ignores it
+    stock = t.stock.unionByName(spark.createDataFrame([(1001, 3, 1, 0, 1), (1001, 3, 1, 0, 1)],
+                                                      t.stock.schema))
+    t2 = t.replace(stock=stock)
+    got = dict(((r.ownership_type, r.store_id), r.kinds)
+               for r in Q.variety_by_ownership(t2, distinct=True).collect())
+    assert got == {("CORPORATE", 2): 4, ("FRANCHISE", 1): 4}
+    # the keyed count sees the duplicate twice: store 3 reaches 4 and ties store 1
+    keyed = dict(((r.ownership_type, r.store_id), r.kinds)
+                 for r in Q.variety_by_ownership(t2).collect())
+    assert keyed == {("CORPORATE", 2): 4, ("FRANCHISE", 1): 4, ("FRANCHISE", 3): 4}
+    prod = t.product.unionByName(t.product.filter("product_upc = 1007"))
+    got = {r.vendor_id: r.product_types for r in Q.vendor_stats(t.replace(product=prod),
+                                                                 distinct=True).collect()}
+    assert got[2] == 4
+
+
 def test_q5_reorder_alert(t):
     got = rows(Q.reorder_alert(t))
     assert got == [(1, "Gangnam", "Cold Brew Black", 2, 3),

@@ -48,6 +48,13 @@ def loaded_line_items(t: Tables, raw_lineitem: DataFrame) -> DataFrame:
     return valid
 
 
+def load_violations(t: Tables, raw_lineitem: DataFrame) -> DataFrame:
+    """Rule breaches found while loading raw line items (one per row and rule)."""
+    _, violations = load_validated(raw_lineitem, "sale_line_item",
+                                   parents={"sale": t.sale, "product": t.product})
+    return violations
+
+
 def positional_order_list_violations(t: Tables, positional: DataFrame) -> DataFrame:
     """Order history inserted by column position, checked against stock."""
     _, violations = load_positional(positional, "order_list", parents={"stock": t.stock})
@@ -89,6 +96,11 @@ def row_decisions(t: Tables) -> DataFrame:
     return row_by_row(t)[1]
 
 
+def stock_after_rows(t: Tables) -> DataFrame:
+    """The stock table after every sold item went through the trigger."""
+    return row_by_row(t)[0]
+
+
 def reorder_alert_after_sales(t: Tables) -> DataFrame:
     """Q5 on the stock left after every sold item went through the trigger."""
     new_stock, _ = row_by_row(t)
@@ -153,7 +165,7 @@ def renumber_stores_blocked(t: Tables) -> DataFrame:
     return blocked
 
 
-def stream_decisions(t: Tables) -> DataFrame:
+def _stream(t: Tables) -> DataFrame:
     """Every sold item through the streaming deduction job (drained).
 
     The stream's input is receipt lines: each item with its sale's store and
@@ -164,5 +176,16 @@ def stream_decisions(t: Tables) -> DataFrame:
     lines = _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"),
                                       "sale_id", "left")
     folder = stream_stage_items(lines)
-    out = run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER)
-    return out.select("sale_id", "product_upc", "store_id", "quantity", "decision")
+    return run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER)
+
+
+def stream_decisions(t: Tables) -> DataFrame:
+    return _stream(t).select("sale_id", "product_upc", "store_id", "quantity", "decision")
+
+
+def stream_low_stock(t: Tables) -> DataFrame:
+    """Reorder alerts raised on the decision stream (level left below threshold)."""
+    from storeline.streaming.stock_stream import low_stock_alerts
+
+    return low_stock_alerts(_stream(t), t.stock).select(
+        "sale_id", "product_upc", "store_id", "level_after", "reorder_threshold")

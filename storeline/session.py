@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +81,26 @@ def apply_base_conf(spark: SparkSession) -> None:
 
 def env_cpus(default: str = "8") -> str:
     return os.environ.get("BENCH_CPUS", default)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``storeline`` importable in executor Python workers.
+
+    Operators that run Python inside tasks (``mapInPandas``, the stateful
+    stream) pickle functions by module path, so every worker must be able to
+    import the package. The package is zipped on the driver and shipped with
+    ``addPyFile`` (the same mechanism as ``--py-files``), once per context.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_storeline_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="storeline-pyfiles-"), "storeline.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._storeline_shipped = True

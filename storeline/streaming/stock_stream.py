@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from storeline.operators.deduction import BAD_QTY, KEY, NO_STOCK, OK, SHORT
-from storeline.session import scratch_path
+from storeline.session import scratch_path, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -156,6 +156,7 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
     ``DECISION_SCHEMA`` rows (append mode).
     """
     ensure_state_store(items.sparkSession)
+    ship_package(items.sparkSession)
     n_buckets = n_buckets or default_buckets(stock)
     missing = [c for c in ("store_id", *order_by) if c not in items.columns]
     if missing:

@@ -44,6 +44,15 @@ class Tables(Mapping):
         except KeyError as e:
             raise AttributeError(name) from e
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose every table as a temporary view (``spark.sql`` over the
+        domain schema); returns the view names."""
+        names = []
+        for n in self:
+            self[n].createOrReplaceTempView(prefix + n)
+            names.append(prefix + n)
+        return names
+
     def replace(self, **frames: DataFrame | Factory) -> Tables:
         """A copy with some tables swapped (e.g. stock after a deduction)."""
         merged = dict(self._entries)

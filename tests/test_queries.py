@@ -145,3 +145,16 @@ def test_member_flag_and_always_open(t):
     assert non == [4, 6]
     flags = {r.store_id: r.always_open for r in Q.store_always_open(t).collect()}
     assert flags == {1: True, 2: False, 3: False, 4: None}
+
+
+def test_sql_over_registered_views(spark, t):
+    t.register_views(prefix="chain_")
+    got = spark.sql("""
+        SELECT st.store_id, st.name AS store, p.name AS product,
+               sk.inventory_level, sk.reorder_threshold
+        FROM chain_stock sk
+        JOIN chain_store st ON st.store_id = sk.store_id
+        JOIN chain_product p ON p.product_upc = sk.product_upc
+        WHERE sk.inventory_level < sk.reorder_threshold
+        ORDER BY st.store_id""").collect()
+    assert [tuple(r) for r in got] == rows(Q.reorder_alert(t))

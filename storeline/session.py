@@ -40,6 +40,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        # drop reliable checkpoints once their DataFrames are garbage
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)

@@ -17,6 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storeline.functions.expressions import seconds_of_day
 from storeline.operators.checks import key_text
 from storeline.schemas import SPECS, TableSpec
 from storeline.sources.tables import conform
@@ -36,6 +37,29 @@ def _with_defaults(df: DataFrame, spec: TableSpec) -> DataFrame:
     return out
 
 
+# Text columns a raw load may carry instead of a stored column:
+# stored column -> (raw text column, parser). Times of day are stored as
+# seconds so that '24:00' (86400) stays distinct from '00:00' (0).
+TEXT_SOURCES = {
+    "store": {"open_s": ("open_time", seconds_of_day),
+              "close_s": ("close_time", seconds_of_day)},
+}
+
+
+def _from_text(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, list[Column]]:
+    """Parse raw text columns (e.g. ``open_time``) into stored columns.
+
+    Returns the frame and the issue expressions for text that does not parse.
+    """
+    issues = []
+    for col, (raw_col, parse) in TEXT_SOURCES.get(spec.name, {}).items():
+        if col in df.columns or raw_col not in df.columns:
+            continue
+        df = df.withColumn(col, parse(raw_col))
+        issues.append(_issue(F.col(raw_col).isNotNull() & F.col(col).isNull(), f"TYPE:{raw_col}"))
+    return df, issues
+
+
 def _issue(cond: Column, text: str | Column) -> Column:
     return F.when(cond, text if isinstance(text, Column) else F.lit(text))
 
@@ -51,11 +75,12 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
     when any row breaks a rule, as a single multi-row INSERT statement does.
     """
     spec = SPECS[name] if isinstance(name, str) else name
-    raw_d = _with_defaults(raw, spec)
+    raw_d, text_issues = _from_text(raw, spec)
+    raw_d = _with_defaults(raw_d, spec)
     # Type issues look at the raw value: set, but not castable to the type.
-    type_issues = [_issue(F.col(f.name).isNotNull()
-                          & F.col(f.name).try_cast(f.dataType).isNull(),
-                          f"TYPE:{f.name}") for f in spec.schema.fields]
+    type_issues = text_issues + [_issue(F.col(f.name).isNotNull()
+                                        & F.col(f.name).try_cast(f.dataType).isNull(),
+                                        f"TYPE:{f.name}") for f in spec.schema.fields]
     staged = raw_d.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in spec.schema.fields],
         F.array_compact(F.array(*type_issues)).alias("_issues"))

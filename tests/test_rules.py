@@ -128,3 +128,20 @@ def test_load_positional(spark, t):
     assert tuple(valid.first()) == (7, 1001, 2, dt.datetime(2025, 6, 1), 3)
     with pytest.raises(ValueError):
         load_positional(raw.select("a", "b"), "order_list")
+
+
+def test_store_times_as_text_including_24_00(spark):
+    from storeline.plans.queries import store_always_open
+    from storeline.sources.tables import Tables
+
+    raw = spark.createDataFrame(
+        [(1, "A", "FRANCHISE", "00:00", "00:00"), (2, "B", "CORPORATE", "06:00", "24:00"),
+         (3, "C", "CORPORATE", "07:00", "02:00"), (4, "D", "FRANCHISE", "25:00", "02:00"),
+         (5, "E", "FRANCHISE", None, None)],
+        "store_id int, name string, ownership_type string, open_time string, close_time string")
+    valid, bad = load_validated(raw, "store")
+    assert sorted((r.store_id, r.open_s, r.close_s) for r in valid.collect()) == [
+        (1, 0, 0), (2, 21600, 86400), (3, 25200, 7200), (5, None, None)]
+    assert [(r.key, r.rule, r.detail) for r in bad.collect()] == [("4", "TYPE", "open_time")]
+    flags = {r.store_id: r.always_open for r in store_always_open(Tables({"store": valid})).collect()}
+    assert flags == {1: True, 2: False, 3: False, 5: None}

@@ -34,16 +34,13 @@ def _names(col: str):
 def _all_or_nothing(decisions: DataFrame) -> DataFrame:
     """One statement: if any request is refused, every accepted one is too.
 
-    ``n`` is a one-row count; the semi-joins against it are existence tests.
+    The test is an uncorrelated ``EXISTS`` subquery (stops at the first
+    refusal, evaluated once), so no join is formed.
     """
-    n = (decisions.filter(F.col("decision") != ACCEPTED).limit(1)
-         .agg(F.count(F.lit(1)).alias("_n")))
-    rolled = (decisions.join(F.broadcast(n.filter("_n > 0")), how="left_semi")
-              .withColumn("decision", F.when(F.col("decision") == ACCEPTED,
-                                             F.lit(ROLLED_BACK))
-                          .otherwise(F.col("decision"))))
-    kept = decisions.join(F.broadcast(n.filter("_n = 0")), how="left_semi")
-    return rolled.unionByName(kept)
+    refused = decisions.filter(F.col("decision") != ACCEPTED).exists()
+    return decisions.withColumn(
+        "decision", F.when(refused & (F.col("decision") == ACCEPTED), F.lit(ROLLED_BACK))
+        .otherwise(F.col("decision")))
 
 
 # C2 ----------------------------------------------------------------------

@@ -148,10 +148,9 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
                           F.split_part("_i", F.lit(":"), F.lit(2)).alias("detail")))
     valid = staged.filter(F.col("_ok"))
     if atomic:
-        # One statement: any breach refuses every row. ``clean`` has one row
-        # exactly when there is no violation; the semi-join is an existence test.
-        clean = violations.limit(1).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0")
-        valid = valid.join(F.broadcast(clean), how="left_semi")
+        # One statement: any breach refuses every row (an uncorrelated EXISTS
+        # subquery, evaluated once, stops at the first violation).
+        valid = valid.filter(~violations.exists())
     return conform(valid, spec), violations
 
 

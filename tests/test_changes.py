@@ -6,7 +6,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from storeline.operators import changes
 from storeline.operators.deduction import deduct_stock_rows

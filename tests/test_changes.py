@@ -146,3 +146,22 @@ def test_stored_layout_prunes_months_and_keeps_results(spark, t):
     with contextlib.redirect_stdout(plan):
         Q.best_store_this_quarter(back, "2025-06-13").explain("formatted")
     assert "PartitionFilters: [isnotnull(sale_month" in plan.getvalue()
+
+
+def test_manual_cases_of_the_original(spark, t):
+    """The four hand-run checks: sell 1 of 40, oversell, delete / zero the last item."""
+    stock = t.stock.unionByName(spark.createDataFrame([(1007, 1, 40, 5, 10)], t.stock.schema))
+    sale = t.sale
+    one = spark.createDataFrame([(1, 1007, 1, 1)], "sale_id long, product_upc long, quantity int, seq long")
+    new, dec = deduct_stock_rows(stock, sale, one, order_by=["seq"])
+    assert decisions(dec) == {(1, 1007): "OK"}
+    assert new.filter("product_upc = 1007 AND store_id = 1").first().inventory_level == 39
+    big = spark.createDataFrame([(1, 1007, 9999, 1)], "sale_id long, product_upc long, quantity int, seq long")
+    new, dec = deduct_stock_rows(stock, sale, big, order_by=["seq"])
+    assert decisions(dec) == {(1, 1007): "SHORT"}
+    assert new.filter("product_upc = 1007 AND store_id = 1").first().inventory_level == 40
+    _, dec = changes.guard_delete_items(t.sale_line_item, spark.createDataFrame([(4, 1003)], KEYS))
+    assert decisions(dec) == {(4, 1003): "LAST_ITEM"}
+    _, dec = changes.guard_update_items(t.sale_line_item, spark.createDataFrame(
+        [(4, 1003, 0)], "sale_id long, product_upc long, new_quantity int"))
+    assert decisions(dec) == {(4, 1003): "LAST_ITEM_ZERO"}

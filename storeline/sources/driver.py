@@ -207,3 +207,27 @@ def raw_lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order history rows with unnamed columns, in the declared column order."""
     return order_list(spark, sf_dir).toDF(*[f"_{i}" for i in range(1, 6)])
+
+
+# (application id, source folder) -> folder of the stored domain tables
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The domain tables written once per session, then read as stored tables.
+
+    The adapters run one time; the tables are written with the storage
+    layout of ``write_tables`` (``sale`` by month, facts clustered) into the
+    shared checkpoint folder, and every query reads them from there, as a
+    deployment reads its stored tables. Lineage to the source files is cut.
+    """
+    from storeline.session import scratch_path
+    from storeline.sources.tables import read_tables, write_tables
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    root = _STORED.get(key)
+    if root is None:
+        root = scratch_path(spark, "domain-tables")
+        write_tables(driver_tables(spark, sf_dir), root)
+        _STORED[key] = root
+    return read_tables(spark, root)

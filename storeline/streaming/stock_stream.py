@@ -17,10 +17,12 @@ alert on a stream.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +128,16 @@ class StockKeeper(StatefulProcessor):
         pass
 
 
+def _pickle_processor_by_value() -> None:
+    """Ship this module's code inside the pickled processor.
+
+    The stateful operator also unpickles the processor in a driver-side
+    Python runner that does not see files added with ``addPyFile``; pickled
+    by value, the processor needs nothing but pyspark, pandas and numpy.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def ensure_state_store(spark: SparkSession) -> None:
     """The stateful processor API needs the RocksDB state store."""
     if spark.conf.get(STATE_PROVIDER, None) != ROCKSDB:
@@ -157,6 +169,7 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
     """
     ensure_state_store(items.sparkSession)
     ship_package(items.sparkSession)
+    _pickle_processor_by_value()
     n_buckets = n_buckets or default_buckets(stock)
     missing = [c for c in ("store_id", *order_by) if c not in items.columns]
     if missing:

@@ -1,4 +1,5 @@
-"""Python workers must import the package even when the driver runs elsewhere."""
+"""Python code run by Spark (executor workers, the stateful operator's
+driver-side runner) must work when the driver runs from another folder."""
 
 import os
 import subprocess
@@ -15,8 +16,8 @@ sys.path.insert(0, {REPO!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 import __spark_entry__ as E
-n = E.queries()["stock_deduct_rows"](spark, {SF!r}).count()
-print("ROWS", n)
+for key in ("stock_deduct_rows", "stock_deduct_stream"):
+    print("ROWS", key, E.queries()[key](spark, {SF!r}).count())
 """
 
 
@@ -24,4 +25,5 @@ print("ROWS", n)
 def test_python_worker_key_from_foreign_cwd(tmp_path):
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, capture_output=True,
                          text=True, timeout=600)
-    assert "ROWS 5942" in out.stdout, out.stderr[-2000:]
+    assert "ROWS stock_deduct_rows 5942" in out.stdout, out.stderr[-2000:]
+    assert "ROWS stock_deduct_stream 5942" in out.stdout, out.stderr[-2000:]

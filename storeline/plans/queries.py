@@ -17,7 +17,7 @@ from storeline.functions.expressions import (
 )
 from storeline.functions.sizing import one_row
 from storeline.plans.revenue import sales_lines
-from storeline.plans.topk import top1_per_group
+from storeline.plans.topk import top_n_per_group
 from storeline.schemas import COUNT_ORDER, MEMBER_LEVELS
 from storeline.sources.tables import Tables
 
@@ -52,26 +52,30 @@ def product_availability(t: Tables, key: str, literal: bool = False,
 
 # Q2 ----------------------------------------------------------------------
 
-def top_selling_past_month(t: Tables, as_of=None) -> DataFrame:
+def top_selling_past_month(t: Tables, as_of=None, n: int = 1) -> DataFrame:
     """Per store, the product with the highest revenue in sales dated on or
     after ``as_of`` minus one month (midnight). Revenue is returned as text.
 
-    Ties on revenue go to the smallest UPC. The winner is found with hash
-    aggregates only: the per-store maximum (a result with one row per store,
-    small enough for AQE to broadcast), a join back to the per-product sums,
-    then the smallest UPC among the ties. Map-side partial aggregation keeps
-    a store holding a large share of the rows from landing whole in one task.
+    Ties on revenue go to the smallest UPC. For the single winner (``n=1``)
+    only hash aggregates run: the per-store maximum (one row per store, small
+    enough for AQE to broadcast), a join back to the per-product sums, then
+    the smallest UPC among the ties. Map-side partial aggregation keeps a
+    store holding a large share of the rows from landing whole in one task.
+    ``n > 1`` returns the top ``n`` per store with their rank ``rn``.
     """
     lines = sales_lines(t, since=month_back(as_of))
     per_product = lines.groupBy("store_id", "product_upc").agg(
         F.sum(line_revenue()).alias("revenue"))
-    best = top1_per_group(per_product, "store_id", "revenue", "product_upc")
+    best = top_n_per_group(per_product, "store_id", "revenue", "product_upc", n)
     names = t.product.select("product_upc", "name")
+    cols = ["store_id", "store", "product_upc", "name",
+            money(F.col("revenue")).cast("string").alias("revenue")]
+    if n > 1:
+        cols.append("rn")
     return (best.join(names, "product_upc")
             .join(_store_names(t), "store_id")
-            .select("store_id", "store", "product_upc", "name",
-                    money(F.col("revenue")).cast("string").alias("revenue"))
-            .orderBy("store_id"))
+            .select(*cols)
+            .orderBy("store_id", *(["rn"] if n > 1 else [])))
 
 
 # Q3 ----------------------------------------------------------------------

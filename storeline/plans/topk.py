@@ -1,8 +1,8 @@
-"""Top-1 per group without a per-group sort."""
+"""Top rows per group: hash aggregates for the winner, a limited window for top-n."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,3 +19,21 @@ def top1_per_group(df: DataFrame, group: str, value: str, tiebreak: str) -> Data
     cand = df.join(top, [group]).filter(F.col(value) == F.col("_max"))
     return cand.groupBy(group, value).agg(F.min(tiebreak).alias(tiebreak)) \
                .select(group, value, tiebreak)
+
+
+def top_n_per_group(df: DataFrame, group: str, value: str, tiebreak: str, n: int) -> DataFrame:
+    """The ``n`` rows with the largest ``value`` per ``group`` (ties ->
+    smaller ``tiebreak``), with their rank ``rn`` (1..n).
+
+    ``n == 1`` uses the hash-aggregate plan of ``top1_per_group``. For larger
+    ``n`` it is ``row_number() over (partition by group order by value desc,
+    tiebreak) <= n``: Spark plans a partial ``WindowGroupLimit`` before the
+    shuffle, so each map partition sends at most ``n`` rows per group and no
+    group is shipped whole to one task.
+    """
+    if n == 1:
+        return top1_per_group(df, group, value, tiebreak).withColumn("rn", F.lit(1))
+    w = Window.partitionBy(group).orderBy(F.col(value).desc(), F.col(tiebreak).asc())
+    return (df.withColumn("rn", F.row_number().over(w))
+            .filter(F.col("rn") <= n)
+            .select(group, value, tiebreak, "rn"))

@@ -60,6 +60,16 @@ def test_q2_best_seller_past_month_tie_goes_to_smaller_upc(t):
                    (3, "Jamsil", 1005, "Water 500ml", "3.00")]
 
 
+def test_q2_top_n_per_store(t):
+    got = rows(Q.top_selling_past_month(t, as_of=AS_OF, n=2))
+    assert got == [(1, "Gangnam", 1003, "Choco Pie", "12.60", 1),
+                   (1, "Gangnam", 1004, "Potato Chips", "10.80", 2),
+                   (2, "Hongdae", 1004, "Potato Chips", "3.60", 1),
+                   (2, "Hongdae", 1006, "Americano", "3.60", 2),
+                   (3, "Jamsil", 1005, "Water 500ml", "3.00", 1),
+                   (3, "Jamsil", 1002, "Cold Brew Black", "2.00", 2)]
+
+
 def test_q2_month_window_bound_is_midnight(t):
     # 2025-07-20 minus one month -> 2025-06-20 00:00: sale 7 (08:00 that day) counts
     got = rows(Q.top_selling_past_month(t, as_of="2025-07-20"))

@@ -22,6 +22,8 @@ Mapping (fixed rules of this adapter):
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,6 +213,7 @@ def positional_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # (application id, source folder) -> folder of the stored domain tables
 _STORED: dict[tuple[str, str], str] = {}
+_STORED_LOCK = threading.Lock()
 
 
 def stored_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -225,9 +228,10 @@ def stored_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     from storeline.sources.tables import read_tables, write_tables
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    root = _STORED.get(key)
-    if root is None:
-        root = scratch_path(spark, "domain-tables")
-        write_tables(driver_tables(spark, sf_dir), root)
-        _STORED[key] = root
+    with _STORED_LOCK:
+        root = _STORED.get(key)
+        if root is None:
+            root = scratch_path(spark, "domain-tables")
+            write_tables(driver_tables(spark, sf_dir), root)
+            _STORED[key] = root
     return read_tables(spark, root)

@@ -11,6 +11,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
 SQL = E.oracle_sql()
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN",
+                 "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +34,10 @@ def test_matches_oracle(spark, con, key):
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
     assert rows_of(df.columns, srows) == rows_of(dcols, drows)
+    rel = con.sql(SQL[key])
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    for c, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, t.upper()) == duck_types[c], (c, t, duck_types[c])
 
 
 def test_entry_smoke(spark):

@@ -145,3 +145,16 @@ def test_store_times_as_text_including_24_00(spark):
     assert [(r.key, r.rule, r.detail) for r in bad.collect()] == [("4", "TYPE", "open_time")]
     flags = {r.store_id: r.always_open for r in store_always_open(Tables({"store": valid})).collect()}
     assert flags == {1: True, 2: False, 3: False, 5: None}
+
+
+def test_checks_find_nothing_after_a_validated_load(spark, t):
+    raw = spark.createDataFrame(
+        [(1, 1001, 2), (1, 1001, 3), (2, 1004, -1), (99, 1001, 1), (3, 9999, 1), (5, 1007, 4)],
+        "sale_id long, product_upc long, quantity int")
+    valid, bad = load_validated(raw, "sale_line_item",
+                                parents={"sale": t.sale, "product": t.product})
+    assert [tuple(r) for r in valid.collect()] == [(5, 1007, 4)]
+    assert bad.count() == 5
+    frames = dict(t)
+    frames["sale_line_item"] = t.sale_line_item.unionByName(valid)
+    assert checks.check_all(frames).count() == 0

@@ -31,6 +31,31 @@ def _v(df: DataFrame, table: str, rule: str, key: Column, detail: Column) -> Dat
                      key.alias("key"), detail.cast("string").alias("detail"))
 
 
+def _row_rules(df: DataFrame, table: str, key_cols, rules) -> DataFrame | None:
+    """All row-level rules of one table in a single pass.
+
+    ``rules`` is a list of ``(rule, failed_condition, detail)``; each row
+    yields one violation per failed rule (array of structs, exploded), so the
+    table is scanned once however many rules it carries.
+    """
+    if not rules:
+        return None
+    hits = F.array_compact(F.array(*[
+        F.when(cond, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+        for rule, cond, detail in rules]))
+    # The OR of the failure conditions goes first as a filter: when every
+    # condition is a plain comparison or NULL test it reaches the Parquet scan,
+    # and row groups whose statistics rule out a failure are skipped (on
+    # clean data only footers are read).
+    any_failed = rules[0][1]
+    for _, cond, _ in rules[1:]:
+        any_failed = any_failed | cond
+    return (df.filter(any_failed)
+            .select(key_text(key_cols).alias("key"), F.explode(hits).alias("_v"))
+            .select(F.lit(table).alias("table_name"), F.col("_v.rule").alias("rule"),
+                    "key", F.col("_v.detail").alias("detail")))
+
+
 def _union(spark, parts: list[DataFrame]) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], VIOLATION_SCHEMA)
@@ -91,14 +116,15 @@ def check_unique(tables: Mapping[str, DataFrame],
 
 # I3 ----------------------------------------------------------------------
 
+def _not_null_rules(spec: TableSpec):
+    return [("NOT_NULL", F.col(c).isNull(), F.lit(c)) for c in spec.not_null]
+
+
 def check_not_null(tables: Mapping[str, DataFrame],
                    specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
-    parts = []
-    for name, spec, df in _items(tables, specs):
-        for c in spec.not_null:
-            parts.append(_v(df.filter(F.col(c).isNull()), name, "NOT_NULL",
-                            key_text(spec.primary_key), F.lit(c)))
-    return _union(_spark(tables), parts)
+    parts = [_row_rules(df, name, spec.primary_key, _not_null_rules(spec))
+             for name, spec, df in _items(tables, specs)]
+    return _union(_spark(tables), [p for p in parts if p is not None])
 
 
 # I4 ----------------------------------------------------------------------
@@ -133,52 +159,54 @@ def check_foreign_key(tables: Mapping[str, DataFrame],
 
 # I5 ----------------------------------------------------------------------
 
+def _range_rules(spec: TableSpec):
+    # a CHECK fails when its predicate is FALSE; NULL passes
+    return [("CHECK", ~F.expr(pred), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+            for c, pred in spec.ranges.items()]
+
+
 def check_range(tables: Mapping[str, DataFrame],
                 specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """CHECK constraints: a row fails when the predicate is FALSE (NULL passes)."""
-    parts = []
-    for name, spec, df in _items(tables, specs):
-        for c, pred in spec.ranges.items():
-            bad = df.filter(~F.expr(pred))
-            parts.append(_v(bad, name, "CHECK", key_text(spec.primary_key),
-                            F.concat(F.lit(f"{c}="), F.col(c).cast("string"))))
-    return _union(_spark(tables), parts)
+    parts = [_row_rules(df, name, spec.primary_key, _range_rules(spec))
+             for name, spec, df in _items(tables, specs)]
+    return _union(_spark(tables), [p for p in parts if p is not None])
 
 
 # I6 ----------------------------------------------------------------------
 
+def _domain_rules(spec: TableSpec):
+    return [("DOMAIN", F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
+             F.concat(F.lit(f"{c}="), F.col(c))) for c, allowed in spec.domains.items()]
+
+
 def check_domain(tables: Mapping[str, DataFrame],
                  specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """ENUM columns: a set value outside the declared domain."""
-    parts = []
-    for name, spec, df in _items(tables, specs):
-        for c, allowed in spec.domains.items():
-            bad = df.filter(F.col(c).isNotNull() & ~F.col(c).isin(*allowed))
-            parts.append(_v(bad, name, "DOMAIN", key_text(spec.primary_key),
-                            F.concat(F.lit(f"{c}="), F.col(c))))
-    return _union(_spark(tables), parts)
+    parts = [_row_rules(df, name, spec.primary_key, _domain_rules(spec))
+             for name, spec, df in _items(tables, specs)]
+    return _union(_spark(tables), [p for p in parts if p is not None])
 
 
 # I7 ----------------------------------------------------------------------
 
+def _width_rules(spec: TableSpec):
+    rules = [("WIDTH", F.char_length(F.col(c)) > n,
+              F.concat(F.lit(f"{c} chars="), F.char_length(c).cast("string")))
+             for c, n in spec.widths.items()]
+    rules += [("PRECISION", F.col(c).isNotNull()
+               & F.expr(f"try_cast({c} AS decimal({p},{s}))").isNull(),
+               F.lit(f"{c} decimal({p},{s})")) for c, (p, s) in spec.decimals.items()]
+    rules += [("UNSIGNED", F.col(c) < 0, F.lit(c)) for c in spec.unsigned]
+    return rules
+
+
 def check_width(tables: Mapping[str, DataFrame],
                 specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """VARCHAR(n) length, DECIMAL(p,s) precision and unsigned columns."""
-    parts = []
-    for name, spec, df in _items(tables, specs):
-        k = key_text(spec.primary_key)
-        for c, n in spec.widths.items():
-            bad = df.filter(F.char_length(F.col(c)) > n)
-            parts.append(_v(bad, name, "WIDTH", k,
-                            F.concat(F.lit(f"{c} chars="), F.char_length(c).cast("string"))))
-        for c, (p, s) in spec.decimals.items():
-            bad = df.filter(F.col(c).isNotNull()
-                            & F.expr(f"try_cast({c} AS decimal({p},{s}))").isNull())
-            parts.append(_v(bad, name, "PRECISION", k, F.lit(f"{c} decimal({p},{s})")))
-        for c in spec.unsigned:
-            bad = df.filter(F.col(c) < 0)
-            parts.append(_v(bad, name, "UNSIGNED", k, F.lit(c)))
-    return _union(_spark(tables), parts)
+    parts = [_row_rules(df, name, spec.primary_key, _width_rules(spec))
+             for name, spec, df in _items(tables, specs)]
+    return _union(_spark(tables), [p for p in parts if p is not None])
 
 
 # I9 ----------------------------------------------------------------------
@@ -192,10 +220,22 @@ def check_sale_has_items(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def check_all(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Every rule over every table, one violations frame."""
-    parts = [check_primary_key(tables), check_unique(tables), check_not_null(tables),
-             check_foreign_key(tables), check_range(tables), check_domain(tables),
-             check_width(tables)]
+    """Every rule over every table, one violations frame.
+
+    Row rules of a table take two scans: NOT NULL and CHECK together (their
+    filter pushes down to Parquet statistics), ENUM and widths together; key
+    rules are one aggregate each; references one anti-join each.
+    """
+    spark = _spark(tables)
+    row = []
+    for name, spec, df in _items(tables, None):
+        # rules whose failure tests push down to the scan, then the rest
+        row.append(_row_rules(df, name, spec.primary_key,
+                              _not_null_rules(spec) + _range_rules(spec)))
+        row.append(_row_rules(df, name, spec.primary_key,
+                              _domain_rules(spec) + _width_rules(spec)))
+    parts = [check_primary_key(tables), check_unique(tables), check_foreign_key(tables)]
+    parts += [p for p in row if p is not None]
     if "sale" in tables and "sale_line_item" in tables:
         parts.append(check_sale_has_items(tables))
-    return _union(_spark(tables), parts)
+    return _union(spark, parts)

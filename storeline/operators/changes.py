@@ -22,6 +22,7 @@ NO_SUCH_ROW = "NO_SUCH_ROW"
 RESTRICTED = "RESTRICTED"
 DUPLICATE_KEY = "DUPLICATE_KEY"
 ROLLED_BACK = "ROLLED_BACK"
+CONFLICTING_UPDATE = "CONFLICTING_UPDATE"
 
 ITEM_KEY = ["sale_id", "product_upc"]
 
@@ -82,10 +83,15 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
     A quantity <= 0 (or NULL) on a receipt's only item is refused by the
     last-item rule (``LAST_ITEM_ZERO``); on a receipt with more items it is
     refused by the quantity CHECK (``CHECK_QUANTITY``). Positive updates are
-    accepted; they do not touch stock. ``updates``: ``sale_id, product_upc,
+    accepted; they do not touch stock. Two different new quantities for one
+    line item are both refused (``CONFLICTING_UPDATE``). ``updates``: ``sale_id, product_upc,
     new_quantity``. Returns ``(new_items, decisions)``.
     """
-    upd = updates.select(*ITEM_KEY, "new_quantity")
+    # Identical repeats of a request collapse; different new quantities for
+    # the same line item have no order to decide between them: all refused.
+    upd = updates.select(*ITEM_KEY, "new_quantity").distinct()
+    conflicts = (upd.groupBy(*ITEM_KEY).agg(F.count(F.lit(1)).alias("_n"))
+                 .filter(F.col("_n") > 1).select(*ITEM_KEY, F.lit(True).alias("_conflict")))
     n_have = (items.select("sale_id").join(upd.select("sale_id"), "sale_id", "left_semi")
               .groupBy("sale_id").agg(F.count(F.lit(1)).alias("n_have")))
     q = F.col("new_quantity")
@@ -93,8 +99,10 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
     decisions = (upd.join(items.select(*ITEM_KEY).withColumn("_hit", F.lit(True)),
                           ITEM_KEY, "left")
                  .join(n_have, "sale_id", "left")
+                 .join(conflicts, ITEM_KEY, "left")
                  .select(*ITEM_KEY, "new_quantity",
                          F.when(F.col("_hit").isNull(), F.lit(NO_SUCH_ROW))
+                         .when(F.col("_conflict"), F.lit(CONFLICTING_UPDATE))
                          .when(bad & (F.col("n_have") == 1), F.lit(LAST_ITEM_ZERO))
                          .when(bad, F.lit(CHECK_QUANTITY))
                          .otherwise(F.lit(ACCEPTED)).alias("decision")))
@@ -218,5 +226,6 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
     out = {table: remap(parent, pk)}
     for child, fk in _children(table):
         if child in tables and fk.on_update == "CASCADE":
-            out[child] = remap(tables[child], fk.columns[0])
+            # a child with several cascading keys takes every remap in turn
+            out[child] = remap(out.get(child, tables[child]), fk.columns[0])
     return out, blocked

@@ -165,3 +165,15 @@ def test_manual_cases_of_the_original(spark, t):
     _, dec = changes.guard_update_items(t.sale_line_item, spark.createDataFrame(
         [(4, 1003, 0)], "sale_id long, product_upc long, new_quantity int"))
     assert decisions(dec) == {(4, 1003): "LAST_ITEM_ZERO"}
+
+
+def test_update_guard_repeated_and_conflicting_requests(spark, t):
+    upd = spark.createDataFrame([(1, 1002, 5), (1, 1002, 5), (3, 1004, 1), (3, 1004, 2)],
+                                "sale_id long, product_upc long, new_quantity int")
+    new, dec = changes.guard_update_items(t.sale_line_item, upd)
+    assert sorted((r.sale_id, r.product_upc, r.new_quantity, r.decision) for r in dec.collect()) == [
+        (1, 1002, 5, "ACCEPTED"), (3, 1004, 1, "CONFLICTING_UPDATE"),
+        (3, 1004, 2, "CONFLICTING_UPDATE")]
+    assert new.count() == 13
+    q = {(r.sale_id, r.product_upc): r.quantity for r in new.collect()}
+    assert q[(1, 1002)] == 5 and q[(3, 1004)] == 2

@@ -8,6 +8,7 @@ access, so building a ``Tables`` never triggers a Spark job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ CLUSTER_COLUMNS = {
 
 def write_tables(tables: Tables, root: str, mode: str = "overwrite",
                  names: Iterable[str] | None = None, files_per_table: int | None = None,
-                 layout: bool = True) -> None:
+                 layout: bool = True, parallel: int = 4) -> None:
     """Write domain tables as Parquet, one folder per table.
 
     With ``layout`` the tables follow ``PARTITION_COLUMNS`` /
@@ -111,7 +112,7 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite",
     every file holds a narrow range of the cluster keys, which lets pushed
     filters skip row groups.
     """
-    for n in names or tables:
+    def write_one(n: str) -> None:
         df = conform(tables[n], SPECS[n])
         w_part = None
         if layout and n in PARTITION_COLUMNS:
@@ -125,3 +126,10 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite",
         if w_part:
             w = w.partitionBy(w_part)
         w.parquet(f"{root.rstrip('/')}/{n}")
+
+    todo = list(names or tables)
+    # The tables are independent: their write jobs are submitted together so
+    # the scheduler can run them side by side (small tables do not wait).
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(todo)))) as pool:
+        for f in [pool.submit(write_one, n) for n in todo]:
+            f.result()

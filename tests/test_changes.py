@@ -177,3 +177,23 @@ def test_update_guard_repeated_and_conflicting_requests(spark, t):
     assert new.count() == 13
     q = {(r.sale_id, r.product_upc): r.quantity for r in new.collect()}
     assert q[(1, 1002)] == 5 and q[(3, 1004)] == 2
+
+
+def test_stream_restart_resumes_from_checkpoint(spark):
+    """Stop after the first files, restart on the same checkpoint: the state
+    (remaining levels) carries over and no input is processed twice."""
+    stock = spark.createDataFrame([(1, 10, 10, 5, 1)], SPECS["stock"].schema)
+    sale = spark.createDataFrame([(i, 10, i) for i in range(1, 6)], "sale_id long, store_id int, seq long")
+    schema = "sale_id long, product_upc long, quantity int"
+    src = tempfile.mkdtemp(prefix="stream-src-", dir="/tmp")
+    sink = tempfile.mkdtemp(prefix="stream-sink-", dir="/tmp")
+    ckpt = tempfile.mkdtemp(prefix="stream-ckpt-", dir="/tmp")
+    spark.createDataFrame([(1, 1, 6), (2, 1, 7)], schema).coalesce(1).write.mode("append").parquet(src)
+    first = run_to_completion(src, schema, stock, sale, order_by=["seq"], sink_dir=sink,
+                              checkpoint_dir=ckpt, n_buckets=4)
+    assert {r.sale_id: r.decision for r in first.collect()} == {1: "OK", 2: "SHORT"}
+    spark.createDataFrame([(3, 1, 4), (4, 1, 1)], schema).coalesce(1).write.mode("append").parquet(src)
+    both = run_to_completion(src, schema, stock, sale, order_by=["seq"], sink_dir=sink,
+                             checkpoint_dir=ckpt, n_buckets=4)
+    got = sorted((r.sale_id, r.decision, r.level_after) for r in both.collect())
+    assert got == [(1, "OK", 4), (2, "SHORT", 4), (3, "OK", 0), (4, "SHORT", 0)]

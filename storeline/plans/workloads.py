@@ -170,13 +170,16 @@ def _stream(t: Tables) -> DataFrame:
 
     The stream's input is receipt lines: each item with its sale's store and
     time, as a point of sale emits them, so the job never re-reads ``sale``.
+    The history is replayed in bounded micro-batches, in arrival order.
     """
-    from storeline.streaming.stock_stream import run_to_completion, stream_stage_items
+    from storeline.streaming.stock_stream import run_to_completion, stage_in_arrival_chunks
 
     lines = _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"),
                                       "sale_id", "left")
-    folder = stream_stage_items(lines)
-    return run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER)
+    # the history arrives in bounded, time-ordered micro-batches (one chunk each)
+    folder, _ = stage_in_arrival_chunks(lines)
+    return run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER,
+                             files_per_batch=1)
 
 
 def stream_decisions(t: Tables) -> DataFrame:

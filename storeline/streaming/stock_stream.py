@@ -218,6 +218,39 @@ def stream_stage_items(items: DataFrame, path: str | None = None) -> str:
     return path
 
 
+def stage_in_arrival_chunks(lines: DataFrame, time_col: str = "date_time",
+                            rows_per_chunk: int = 1_000_000,
+                            path: str | None = None) -> tuple[str, int]:
+    """Stage a history of receipt lines as one file per arrival-time chunk.
+
+    Chunk bounds are approximate quantiles of ``time_col`` (one small
+    aggregate); chunks are written one after another, so the file source
+    reads them in arrival order, and with ``maxFilesPerTrigger=1`` each
+    micro-batch is one bounded chunk. Lines with equal times share a chunk,
+    so the in-batch order (time, then the other arrival columns) holds.
+    Returns the folder and the number of chunks.
+    """
+    spark = lines.sparkSession
+    path = path or scratch_path(spark, "stock-stream-in")
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    n = lines.count()
+    k = max(1, -(-n // rows_per_chunk))
+    if k == 1:
+        lines.coalesce(1).write.mode("append").parquet(path)
+        return path, 1
+    probs = [i / k for i in range(1, k)]
+    cuts = lines.select(F.percentile_approx(t, probs, 10_000).alias("c")).first()["c"]
+    bounds = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (t >= lo)
+        if hi is not None:
+            cond = cond & (t < hi)
+        lines.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    return path, len(bounds) - 1
+
+
 def low_stock_alerts(decisions: DataFrame, stock: DataFrame) -> DataFrame:
     """Reorder alert on the decision stream: items leaving the level below threshold."""
     th = stock.select(*KEY, "reorder_threshold")

@@ -168,3 +168,15 @@ def test_sql_over_registered_views(spark, t):
         WHERE sk.inventory_level < sk.reorder_threshold
         ORDER BY st.store_id""").collect()
     assert [tuple(r) for r in got] == rows(Q.reorder_alert(t))
+
+
+def test_command_line(spark, t, tmp_path, capsys):
+    from storeline.__main__ import main
+    from storeline.sources.tables import write_tables
+
+    write_tables(t, str(tmp_path / "chain"), files_per_table=1)
+    assert main(["--tables", str(tmp_path / "chain"), "q5"], spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "Cold Brew Black" in out and "Cold Brew Latte" in out
+    main(["--tables", str(tmp_path / "chain"), "q2", "--as-of", "2025-06-13"], spark=spark)
+    assert "12.60" in capsys.readouterr().out

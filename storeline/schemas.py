@@ -55,7 +55,7 @@ INT, LONG, STR = T.IntegerType(), T.LongType(), T.StringType()
 TS = T.TimestampNTZType()
 PRICE = T.DecimalType(9, 2)
 
-# The ENUM domains as declared for the reference's tables.
+# The ENUM domains of the original schema.
 OWNERSHIP_TYPES = ("FRANCHISE", "CORPORATE")
 LOYALTY_STATUSES = ("NONE", "SILVER", "GOLD", "VIP")
 PAYMENT_METHODS = ("CASH", "CARD", "ETC")

@@ -1,7 +1,7 @@
 """The nine domain tables as data: schema, keys and every declared rule.
 
 One ``TableSpec`` per table. The integrity checks (``operators.checks``)
-and the validated loader (``sources.tables.load_validated``) read these
+and the validated loader (``sources.loader.load_validated``) read these
 specs; nothing else hard-codes a rule.
 """
 

@@ -33,6 +33,7 @@ from storeline.session import scratch_path, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 STATE_SCHEMA = "upc array<long>, store array<int>, level array<int>"
 KEYS_PER_BUCKET = 256
@@ -139,9 +140,13 @@ def _pickle_processor_by_value() -> None:
 
 
 def ensure_state_store(spark: SparkSession) -> None:
-    """The stateful processor API needs the RocksDB state store."""
+    """The stateful processor API needs the RocksDB state store; with state as
+    large as the stock table, each commit should upload only the changes of
+    its micro-batch (changelog checkpointing) unless configured otherwise."""
     if spark.conf.get(STATE_PROVIDER, None) != ROCKSDB:
         spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    if spark.conf.get(CHANGELOG, None) is None:
+        spark.conf.set(CHANGELOG, "true")
 
 
 def state_bucket(n_buckets: int):

@@ -177,9 +177,9 @@ def _stream(t: Tables) -> DataFrame:
     lines = _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"),
                                       "sale_id", "left")
     # the history arrives in bounded, time-ordered micro-batches (one chunk each)
-    folder, _ = stage_in_arrival_chunks(lines)
+    folder, chunks = stage_in_arrival_chunks(lines)
     return run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER,
-                             files_per_batch=1)
+                             files_per_batch=1 if chunks > 1 else None)
 
 
 def stream_decisions(t: Tables) -> DataFrame:

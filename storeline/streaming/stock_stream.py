@@ -233,7 +233,9 @@ def stage_in_arrival_chunks(lines: DataFrame, time_col: str = "date_time",
     reads them in arrival order, and with ``maxFilesPerTrigger=1`` each
     micro-batch is one bounded chunk. Lines with equal times share a chunk,
     so the in-batch order (time, then the other arrival columns) holds.
-    Returns the folder and the number of chunks.
+    Returns the folder and the number of chunks: with one chunk the files are
+    written in parallel and must be read as a single micro-batch; with more,
+    read them with ``maxFilesPerTrigger=1``.
     """
     spark = lines.sparkSession
     path = path or scratch_path(spark, "stock-stream-in")
@@ -241,7 +243,8 @@ def stage_in_arrival_chunks(lines: DataFrame, time_col: str = "date_time",
     n = lines.count()
     k = max(1, -(-n // rows_per_chunk))
     if k == 1:
-        lines.coalesce(1).write.mode("append").parquet(path)
+        # one chunk = one micro-batch: its files need no order among them
+        lines.write.mode("append").parquet(path)
         return path, 1
     probs = [i / k for i in range(1, k)]
     cuts = lines.select(F.percentile_approx(t, probs, 10_000).alias("c")).first()["c"]

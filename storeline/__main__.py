@@ -22,12 +22,12 @@ COMMANDS = {
            lambda t, a: Q.product_availability(t, a.key, literal=a.literal,
                                                accent_insensitive=a.accent_insensitive)),
     "q2": ("best seller per store, past month",
-           lambda t, a: Q.top_selling_past_month(t, a.as_of, n=a.n)),
+           lambda t, a: Q.top_selling_past_month(t, a.as_of, n=a.n or 1)),
     "q3": ("best store(s) of the quarter", lambda t, a: Q.best_store_this_quarter(t, a.as_of)),
     "q4": ("vendor statistics", lambda t, a: Q.vendor_stats(t)),
     "q5": ("reorder alert", lambda t, a: Q.reorder_alert(t)),
     "q6": ("items bought with a keyword product by members",
-           lambda t, a: Q.loyalty_bundle(t, a.key, n=a.n if a.n > 1 else 3, dedupe=a.dedupe)),
+           lambda t, a: Q.loyalty_bundle(t, a.key, n=a.n or 3, dedupe=a.dedupe)),
     "q7": ("widest assortment per ownership type", lambda t, a: Q.variety_by_ownership(t)),
 }
 
@@ -41,7 +41,8 @@ def parse(argv: list[str]) -> argparse.Namespace:
                    help="; ".join(f"{k}: {v[0]}" for k, v in COMMANDS.items()))
     p.add_argument("--key", default="", help="search key (q1) or keyword (q6)")
     p.add_argument("--as-of", default=None, help="query date, default today (q2, q3)")
-    p.add_argument("--n", type=int, default=1, help="top-n per store (q2) / items (q6)")
+    p.add_argument("--n", type=int, default=None,
+                   help="top-n per store (q2, default 1) / items (q6, default 3)")
     p.add_argument("--literal", action="store_true", help="q1: no LIKE wildcards")
     p.add_argument("--accent-insensitive", action="store_true", help="q1: ignore accents")
     p.add_argument("--dedupe", action="store_true", help="q6: count each receipt once")

@@ -84,7 +84,9 @@ class StockKeeper(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.sort_values([*KEY, *self.order_by], kind="stable", ignore_index=True)
+        # same order as Spark's ascending sort: missing values first
+        pdf = pdf.sort_values([*KEY, *self.order_by], kind="stable", ignore_index=True,
+                              na_position="first")
         levels = self._load()
         upc = pdf["product_upc"].to_numpy()
         store = pdf["store_id"].to_numpy()
@@ -249,12 +251,15 @@ def stage_in_arrival_chunks(lines: DataFrame, time_col: str = "date_time",
     probs = [i / k for i in range(1, k)]
     cuts = lines.select(F.percentile_approx(t, probs, 10_000).alias("c")).first()["c"]
     bounds = [None, *sorted(set(cuts)), None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
+    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (t >= lo)
         if hi is not None:
             cond = cond & (t < hi)
+        if i == 0:
+            # lines without a time sort first (ascending, nulls first)
+            cond = cond | t.isNull()
         lines.filter(cond).coalesce(1).write.mode("append").parquet(path)
     return path, len(bounds) - 1
 

@@ -213,6 +213,7 @@ def test_history_replayed_in_arrival_chunks(spark):
     for i in range(120):
         t0 = dt.datetime(2025, 1, 1) + dt.timedelta(hours=rnd.randint(0, 500))
         rows.append((i, 1 + i % 2, rnd.randint(1, 6), 10, t0))
+    rows += [(900, 1, 2, None, None), (901, 2, 1, None, None)]   # unknown sales: no time
     lines = spark.createDataFrame(rows, "sale_id long, product_upc long, quantity int, "
                                         "store_id int, date_time timestamp_ntz")
     folder, k = stage_in_arrival_chunks(lines, rows_per_chunk=25)
@@ -221,3 +222,4 @@ def test_history_replayed_in_arrival_chunks(spark):
                             files_per_batch=1, n_buckets=2)
     _, batch = deduct_stock_rows(stock, None, lines, order_by=("date_time", "sale_id"))
     assert decisions(out) == decisions(batch)
+    assert decisions(out)[(900, 1)] == "NO_STOCK_ROW" and len(decisions(out)) == 122

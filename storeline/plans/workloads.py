@@ -121,11 +121,11 @@ def recall_deletes(t: Tables) -> DataFrame:
 
 def quantity_updates(t: Tables) -> DataFrame:
     """Zero the recalled product's items, add one unit to restocked ones."""
-    zero = _keyword_items(t, RECALL_KEYWORD).select(
-        "sale_id", "product_upc", F.lit(0).alias("new_quantity"))
+    recalled = _keyword_items(t, RECALL_KEYWORD)
+    zero = recalled.select("sale_id", "product_upc", F.lit(0).alias("new_quantity"))
     plus = (_keyword_items(t, RESTOCK_KEYWORD)
-            .join(_keyword_items(t, RECALL_KEYWORD).select("sale_id", "product_upc"),
-                  ["sale_id", "product_upc"], "left_anti")
+            .join(recalled.select("sale_id", "product_upc"), ["sale_id", "product_upc"],
+                  "left_anti")
             .select("sale_id", "product_upc", (F.col("quantity") + 1).alias("new_quantity")))
     _, decisions = changes.guard_update_items(t.sale_line_item, zero.unionByName(plus))
     return decisions

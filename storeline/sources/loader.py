@@ -163,3 +163,24 @@ def load_positional(raw: DataFrame, name: str | TableSpec,
         raise ValueError(f"{spec.name}: {len(raw.columns)} columns given, "
                          f"{len(spec.columns)} declared")
     return load_validated(raw.toDF(*spec.columns), spec, parents, atomic)
+
+
+def load_file(spark, path: str, name: str | TableSpec, fmt: str = "csv",
+              parents: Mapping[str, DataFrame] | None = None, atomic: bool = False,
+              **options) -> tuple[DataFrame, DataFrame]:
+    """Read a text source (CSV with a header line, or JSON lines) as text
+    columns and load it through ``load_validated``.
+
+    Every column is read as a string, so a malformed value becomes a
+    ``TYPE`` violation of its row instead of failing the whole read; no
+    schema inference pass runs over the data.
+    """
+    spec = SPECS[name] if isinstance(name, str) else name
+    reader = spark.read.options(**options)
+    if fmt == "csv":
+        raw = reader.option("header", True).option("inferSchema", False).csv(path)
+    elif fmt == "json":
+        raw = reader.option("primitivesAsString", True).json(path)
+    else:
+        raise ValueError(f"unsupported format {fmt!r}")
+    return load_validated(raw, spec, parents, atomic)

@@ -158,3 +158,19 @@ def test_checks_find_nothing_after_a_validated_load(spark, t):
     frames = dict(t)
     frames["sale_line_item"] = t.sale_line_item.unionByName(valid)
     assert checks.check_all(frames).count() == 0
+
+
+def test_load_csv_file(spark, tmp_path):
+    from storeline.sources.loader import load_file
+
+    p = tmp_path / "stores.csv"
+    p.write_text("store_id,name,address,ownership_type,open_time,close_time\n"
+                 "101,Gangnam,Seoul 1,FRANCHISE,00:00,00:00\n"
+                 "103,Jamsil,Seoul 3,FRANCHISE,06:00,24:00\n"
+                 "x7,Broken,Nowhere,CORPORATE,07:00,02:00\n"
+                 "104,Jongno,Seoul 4,KIOSK,00:00,00:00\n")
+    valid, bad = load_file(spark, str(p), "store")
+    assert sorted((r.store_id, r.open_s, r.close_s) for r in valid.collect()) == [
+        (101, 0, 0), (103, 21600, 86400)]
+    assert sorted((r.rule, r.detail) for r in bad.collect()) == [
+        ("DOMAIN", "ownership_type"), ("PRIMARY_KEY_NULL", "store_id"), ("TYPE", "store_id")]

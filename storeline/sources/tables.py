@@ -120,8 +120,11 @@ def write_tables(tables: Tables, root: str, mode: str = "overwrite",
             df = df.withColumn(w_part, derive())
         keys = ([w_part] if w_part else []) + list(CLUSTER_COLUMNS.get(n, ()) if layout else ())
         if keys:
-            parts = files_per_table or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+            # Without a file count, AQE merges neighbouring ranges up to its
+            # advisory partition size, so files are well sized at any volume
+            # and each still holds one contiguous key range.
+            df = (df.repartitionByRange(files_per_table, *keys) if files_per_table
+                  else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
         w = df.write.mode(mode)
         if w_part:
             w = w.partitionBy(w_part)

@@ -81,9 +81,6 @@ def apply_base_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def env_cpus(default: str = "8") -> str:
-    return os.environ.get("BENCH_CPUS", default)
-
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``storeline`` importable in executor Python workers.

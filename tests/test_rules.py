@@ -174,3 +174,12 @@ def test_load_csv_file(spark, tmp_path):
         (101, 0, 0), (103, 21600, 86400)]
     assert sorted((r.rule, r.detail) for r in bad.collect()) == [
         ("DOMAIN", "ownership_type"), ("PRIMARY_KEY_NULL", "store_id"), ("TYPE", "store_id")]
+
+
+def test_precision_and_unsigned(spark):
+    # an unvalidated frame with a wider price type and a negative UPC
+    raw = spark.createDataFrame(
+        [(-5, "Neg", D("1.00"), 1), (7, "Big", D("12345678901.00"), 1), (8, "Ok", D("3.50"), 1)],
+        "product_upc long, name string, price decimal(14,2), vendor_id int")
+    got = sorted((r.rule, r.key, r.detail) for r in checks.check_width({"product": raw}).collect())
+    assert got == [("PRECISION", "7", "price decimal(9,2)"), ("UNSIGNED", "-5", "product_upc")]

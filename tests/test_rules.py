@@ -179,7 +179,10 @@ def test_load_csv_file(spark, tmp_path):
 def test_precision_and_unsigned(spark):
     # an unvalidated frame with a wider price type and a negative UPC
     raw = spark.createDataFrame(
-        [(-5, "Neg", D("1.00"), 1), (7, "Big", D("12345678901.00"), 1), (8, "Ok", D("3.50"), 1)],
-        "product_upc long, name string, price decimal(14,2), vendor_id int")
+        [(-5, "Neg", None, None, None, D("1.00"), 1),
+         (7, "Big", None, None, None, D("12345678901.00"), 1),
+         (8, "Ok", None, None, None, D("3.50"), 1)],
+        "product_upc long, name string, brand string, size string, package_type string, "
+        "price decimal(14,2), vendor_id int")
     got = sorted((r.rule, r.key, r.detail) for r in checks.check_width({"product": raw}).collect())
     assert got == [("PRECISION", "7", "price decimal(9,2)"), ("UNSIGNED", "-5", "product_upc")]

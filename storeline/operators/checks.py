@@ -34,10 +34,12 @@ def _v(df: DataFrame, table: str, rule: str, key: Column, detail: Column) -> Dat
 def _row_rules(df: DataFrame, table: str, key_cols, rules) -> DataFrame | None:
     """All row-level rules of one table in a single pass.
 
-    ``rules`` is a list of ``(rule, failed_condition, detail)``; each row
-    yields one violation per failed rule (array of structs, exploded), so the
-    table is scanned once however many rules it carries.
+    ``rules`` is a list of ``(rule, column, failed_condition, detail)``;
+    each row yields one violation per failed rule (array of structs,
+    exploded), so the table is scanned once however many rules it carries.
+    Rules on columns the frame does not carry are skipped.
     """
+    rules = [(r, cond, detail) for r, col, cond, detail in rules if col in df.columns]
     if not rules:
         return None
     hits = F.array_compact(F.array(*[
@@ -117,7 +119,7 @@ def check_unique(tables: Mapping[str, DataFrame],
 # I3 ----------------------------------------------------------------------
 
 def _not_null_rules(spec: TableSpec):
-    return [("NOT_NULL", F.col(c).isNull(), F.lit(c)) for c in spec.not_null]
+    return [("NOT_NULL", c, F.col(c).isNull(), F.lit(c)) for c in spec.not_null]
 
 
 def check_not_null(tables: Mapping[str, DataFrame],
@@ -161,7 +163,7 @@ def check_foreign_key(tables: Mapping[str, DataFrame],
 
 def _range_rules(spec: TableSpec):
     # a CHECK fails when its predicate is FALSE; NULL passes
-    return [("CHECK", ~F.expr(pred), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+    return [("CHECK", c, ~F.expr(pred), F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
             for c, pred in spec.ranges.items()]
 
 
@@ -176,7 +178,7 @@ def check_range(tables: Mapping[str, DataFrame],
 # I6 ----------------------------------------------------------------------
 
 def _domain_rules(spec: TableSpec):
-    return [("DOMAIN", F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
+    return [("DOMAIN", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
              F.concat(F.lit(f"{c}="), F.col(c))) for c, allowed in spec.domains.items()]
 
 
@@ -191,13 +193,13 @@ def check_domain(tables: Mapping[str, DataFrame],
 # I7 ----------------------------------------------------------------------
 
 def _width_rules(spec: TableSpec):
-    rules = [("WIDTH", F.char_length(F.col(c)) > n,
+    rules = [("WIDTH", c, F.char_length(F.col(c)) > n,
               F.concat(F.lit(f"{c} chars="), F.char_length(c).cast("string")))
              for c, n in spec.widths.items()]
-    rules += [("PRECISION", F.col(c).isNotNull()
+    rules += [("PRECISION", c, F.col(c).isNotNull()
                & F.expr(f"try_cast({c} AS decimal({p},{s}))").isNull(),
                F.lit(f"{c} decimal({p},{s})")) for c, (p, s) in spec.decimals.items()]
-    rules += [("UNSIGNED", F.col(c) < 0, F.lit(c)) for c in spec.unsigned]
+    rules += [("UNSIGNED", c, F.col(c) < 0, F.lit(c)) for c in spec.unsigned]
     return rules
 
 

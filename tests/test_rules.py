@@ -186,3 +186,10 @@ def test_precision_and_unsigned(spark):
         "price decimal(14,2), vendor_id int")
     got = sorted((r.rule, r.key, r.detail) for r in checks.check_width({"product": raw}).collect())
     assert got == [("PRECISION", "7", "price decimal(9,2)"), ("UNSIGNED", "-5", "product_upc")]
+
+
+def test_row_checks_skip_absent_columns(spark):
+    partial = spark.createDataFrame([(-1, "x" * 90)], "product_upc long, name string")
+    got = sorted((r.rule, r.key) for r in checks.check_width({"product": partial}).collect())
+    assert got == [("UNSIGNED", "-1"), ("WIDTH", "-1")]
+    assert checks.check_range({"product": partial}).count() == 0

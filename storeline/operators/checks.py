@@ -31,17 +31,24 @@ def _v(df: DataFrame, table: str, rule: str, key: Column, detail: Column) -> Dat
                      key.alias("key"), detail.cast("string").alias("detail"))
 
 
-def _row_rules(df: DataFrame, table: str, key_cols, rules) -> DataFrame | None:
+def _row_rules(df: DataFrame, table: str, key_cols, rules,
+               spec: TableSpec | None = None) -> DataFrame | None:
     """All row-level rules of one table in a single pass.
 
     ``rules`` is a list of ``(rule, column, failed_condition, detail)``;
     each row yields one violation per failed rule (array of structs,
     exploded), so the table is scanned once however many rules it carries.
-    Rules on columns the frame does not carry are skipped.
+    A column the frame does not carry counts as NULL in every row: its NOT
+    NULL rule fails for every row, its other rules pass (as NULL does).
     """
-    rules = [(r, cond, detail) for r, col, cond, detail in rules if col in df.columns]
     if not rules:
         return None
+    types = {f.name: f.dataType for f in (spec or SPECS[table]).schema.fields} \
+        if (spec or table in SPECS) else {}
+    for c in dict.fromkeys(col for _, col, _, _ in rules):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(types.get(c, "string")))
+    rules = [(r, cond, detail) for r, _, cond, detail in rules]
     hits = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
         for rule, cond, detail in rules]))
@@ -124,7 +131,7 @@ def _not_null_rules(spec: TableSpec):
 
 def check_not_null(tables: Mapping[str, DataFrame],
                    specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
-    parts = [_row_rules(df, name, spec.primary_key, _not_null_rules(spec))
+    parts = [_row_rules(df, name, spec.primary_key, _not_null_rules(spec), spec)
              for name, spec, df in _items(tables, specs)]
     return _union(_spark(tables), [p for p in parts if p is not None])
 
@@ -170,7 +177,7 @@ def _range_rules(spec: TableSpec):
 def check_range(tables: Mapping[str, DataFrame],
                 specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """CHECK constraints: a row fails when the predicate is FALSE (NULL passes)."""
-    parts = [_row_rules(df, name, spec.primary_key, _range_rules(spec))
+    parts = [_row_rules(df, name, spec.primary_key, _range_rules(spec), spec)
              for name, spec, df in _items(tables, specs)]
     return _union(_spark(tables), [p for p in parts if p is not None])
 
@@ -185,7 +192,7 @@ def _domain_rules(spec: TableSpec):
 def check_domain(tables: Mapping[str, DataFrame],
                  specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """ENUM columns: a set value outside the declared domain."""
-    parts = [_row_rules(df, name, spec.primary_key, _domain_rules(spec))
+    parts = [_row_rules(df, name, spec.primary_key, _domain_rules(spec), spec)
              for name, spec, df in _items(tables, specs)]
     return _union(_spark(tables), [p for p in parts if p is not None])
 
@@ -206,7 +213,7 @@ def _width_rules(spec: TableSpec):
 def check_width(tables: Mapping[str, DataFrame],
                 specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
     """VARCHAR(n) length, DECIMAL(p,s) precision and unsigned columns."""
-    parts = [_row_rules(df, name, spec.primary_key, _width_rules(spec))
+    parts = [_row_rules(df, name, spec.primary_key, _width_rules(spec), spec)
              for name, spec, df in _items(tables, specs)]
     return _union(_spark(tables), [p for p in parts if p is not None])
 
@@ -233,9 +240,9 @@ def check_all(tables: Mapping[str, DataFrame]) -> DataFrame:
     for name, spec, df in _items(tables, None):
         # rules whose failure tests push down to the scan, then the rest
         row.append(_row_rules(df, name, spec.primary_key,
-                              _not_null_rules(spec) + _range_rules(spec)))
+                              _not_null_rules(spec) + _range_rules(spec), spec))
         row.append(_row_rules(df, name, spec.primary_key,
-                              _domain_rules(spec) + _width_rules(spec)))
+                              _domain_rules(spec) + _width_rules(spec), spec))
     parts = [check_primary_key(tables), check_unique(tables), check_foreign_key(tables)]
     parts += [p for p in row if p is not None]
     if "sale" in tables and "sale_line_item" in tables:

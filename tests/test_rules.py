@@ -188,8 +188,11 @@ def test_precision_and_unsigned(spark):
     assert got == [("PRECISION", "7", "price decimal(9,2)"), ("UNSIGNED", "-5", "product_upc")]
 
 
-def test_row_checks_skip_absent_columns(spark):
+def test_row_checks_treat_absent_columns_as_null(spark):
     partial = spark.createDataFrame([(-1, "x" * 90)], "product_upc long, name string")
     got = sorted((r.rule, r.key) for r in checks.check_width({"product": partial}).collect())
     assert got == [("UNSIGNED", "-1"), ("WIDTH", "-1")]
     assert checks.check_range({"product": partial}).count() == 0
+    # price and vendor_id are NOT NULL and absent: NULL in every row
+    got = sorted((r.rule, r.detail) for r in checks.check_not_null({"product": partial}).collect())
+    assert got == [("NOT_NULL", "price"), ("NOT_NULL", "vendor_id")]

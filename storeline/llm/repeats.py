@@ -263,6 +263,9 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
     texts, n_blocks = B.with_blocks(docs, block_bytes, ["doc_id", "text", *keep])
     n_buckets = max(6, n_blocks // 4)
 
+    def in_order(pdf):  # a shuffle may deliver rows in another order in each pass
+        return pdf.sort_values(["doc_id", "text"], ignore_index=True)
+
     def block(pdf, *answers) -> _Block:
         b = _Block(pdf, unit)
         b.n_buckets = n_buckets
@@ -271,18 +274,19 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
         return b
 
     def send_anchors(key, pdf):
-        b = block(pdf)
+        b = block(in_order(pdf))
         return _packed(key[0], b.anchors, n_buckets, lambda i, j:
                        b.anchors[i:j].tobytes() + b.anchor_docs[i:j].astype(np.uint32).tobytes())
 
     def send_contexts(key, pdf, got):
-        b = block(pdf, got) if len(pdf) else None
+        b = block(in_order(pdf), got) if len(pdf) else None
         if b is None:
             return pd.DataFrame(columns=["blk", "bucket", "data"])
         return _packed(key[0], b.kh, n_buckets, lambda i, j:
                        np.stack([b.kh[i:j], b.kc[i:j], b.kd[i:j].view(np.uint64)]).tobytes())
 
     def send_cores(key, pdf, got):
+        pdf = in_order(pdf)
         b = block(pdf, got, got) if len(pdf) else None
         if b is None or not len(b.send):
             return pd.DataFrame(columns=["blk", "bucket", "data"])
@@ -299,6 +303,7 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
         return _packed(key[0], b.kh[b.send], n_buckets, body)
 
     def cover(key, pdf, got):
+        pdf = in_order(pdf)
         b = block(pdf, got, got)
         return finish(pdf, b.repeated(got), b.picks.starts)
 

@@ -39,10 +39,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = U(1)
-    return np.cumprod(out, dtype=np.uint64)[:n]
+    """``base`` to the powers 0 to n-1, kept for the next call."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = U(1)
+        _powers[int(base)] = have = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
 
 
 def with_blocks(docs: DataFrame, block_bytes: int, columns: list[str]) -> tuple[DataFrame, int]:

@@ -39,16 +39,23 @@ WINDOW, GRAM, HOT = 50, 16, 2000
 NO_ID = -(2**63)
 PACKED = "blk long, bucket int, data binary"
 ANSWER = "blk long, bucket int, tag string, data binary"
-_STEP, _LOW = 1 << 20, U((1 << 21) - 1)
+_STEP, _LOW = 1 << 14, U((1 << 15) - 1)  # grams are hashed in pieces that stay in the CPU's cache
+
+
+_FACTORS = {1: B.BASE, 2: B.MIX, 4: U(0xD6E8FEB86659FD93), 8: U(0xA0761D6478BD642F)}
+_AT = np.arange(_STEP + WINDOW, dtype=np.uint64)
 
 
 def _gram(s: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-unit grams, by doubling."""
+    """Hashes of all GRAM-unit grams, by doubling; the units are random 64-bit symbols."""
     span = 1
     while span < GRAM:
-        s = s[:-span] * B.BASE + (s[span:] ^ (s[span:] >> U(31))) * B.MIX
+        s = s[:-span] * _FACTORS[span] + s[span:]
         span *= 2
-    return B.mix(s)
+    s ^= s >> U(32)
+    s *= B.MIX
+    s ^= s >> U(29)
+    return s
 
 
 def _smallest(key: np.ndarray, width: int) -> np.ndarray:
@@ -63,45 +70,55 @@ def _smallest(key: np.ndarray, width: int) -> np.ndarray:
 class Picks:
     """The contexts of a block: runs of windows ``first..last`` with one anchor.
 
-    ``h``: anchor hash, ``c``: context hash, ``doc``: index of the document.
+    ``h``: anchor hash, ``doc``: index of the document.
     """
 
     def __init__(self, sym: np.ndarray, starts: np.ndarray):
-        self.sym, self.starts = sym, starts
+        self.sym, self.starts, self.total = sym, starts, None
         n = len(sym) - WINDOW + 1
         empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
-        self.h = self.c = np.zeros(0, np.uint64)
+        self.first = self.last = self.doc = self.anchor = empty
+        self.h = np.zeros(0, np.uint64)
         if n <= 0:
             return
         valid = np.ones(n, bool)
         for a, b in zip(starts[:-1], starts[1:]):
             valid[max(a, b - WINDOW + 1):b] = False
         parts = []
-        for i in range(0, n, _STEP):  # bounded memory, however long the texts are
+        for i in range(0, n, _STEP):
             s = sym[i:min(i + _STEP, n) + WINDOW - 1]
             g = _gram(s)
-            at = np.arange(len(g), dtype=np.uint64)
-            p = (_smallest((g & ~_LOW) | at, WINDOW - GRAM + 1) & _LOW).astype(np.int64)
+            p = (_smallest((g & ~_LOW) | _AT[:len(g)], WINDOW - GRAM + 1) & _LOW).astype(np.int64)
             v = np.flatnonzero(valid[i:i + len(p)])
             if not len(v):
                 continue
             p = p[v]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (v[1:] != v[:-1] + 1)])
-            parts.append((v[new] + i, v[np.concatenate([new[1:], [True]])] + i, p[new] + i, g[p[new]]))
+            new = np.empty(len(v), bool)
+            new[0] = True
+            new[1:] = (p[1:] != p[:-1]) | (v[1:] != v[:-1] + 1)
+            new = np.flatnonzero(new)
+            last = np.append(v[new[1:] - 1], v[-1])
+            parts.append((v[new] + i, last + i, p[new] + i, g[p[new]]))
         if not parts:
             return
-        self.first, self.last, anchor, self.h = (np.concatenate(x) for x in zip(*parts))
+        first, last, anchor, h = (np.concatenate(x) for x in zip(*parts))
+        new = np.ones(len(first), bool)  # a run may go on in the next piece
+        new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
+        self.first, self.last = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
+        self.h, self.anchor = h[new], anchor[new]
         self.doc = np.searchsorted(starts, self.first, "right") - 1
-        self.c = self.ranges(self.first, self.last + WINDOW, anchor - self.first)
+
+    def contexts(self) -> np.ndarray:
+        """Hashes of the contexts, with the place of the anchor in them."""
+        return self.ranges(self.first, self.last + WINDOW, self.anchor - self.first)
 
     def ranges(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         """Hashes of the unit ranges ``[a, b)``, independent of their place."""
-        total = np.concatenate([np.zeros(1, np.uint64),
-                                np.cumsum(B.mix(self.sym) * B.powers(B.BASE, len(self.sym)))])
-        back = B.powers(B.BASE_INV, len(self.sym) + 1)
-        return B.mix(B.mix((total[b] - total[a]) * back[a]) + np.asarray(salt).astype(np.uint64) * B.MIX
-                     + (b - a).astype(np.uint64))
+        if self.total is None:
+            self.total = np.zeros(len(self.sym) + 1, np.uint64)
+            np.cumsum(self.sym * B.powers(B.BASE, len(self.sym)), out=self.total[1:])
+        h = (self.total[b] - self.total[a]) * B.powers(B.BASE_INV, len(self.sym) + 1)[a]
+        return B.mix(B.mix(h) + np.asarray(salt).astype(np.uint64) * B.MIX + (b - a).astype(np.uint64))
 
 
 def _byte_units(texts):
@@ -125,8 +142,15 @@ class _Block:
         self.ids = docs["doc_id"].to_numpy(np.int64)
         self.picks = Picks(*UNITS[unit](docs["text"]))
         p = self.picks
-        pair = np.unique(np.stack([p.h, self.ids[p.doc].astype(np.uint64)], 1), axis=0)[:, 0] if len(p.h) else p.h
-        self.anchors, self.anchor_docs = np.unique(pair, return_counts=True)
+        order = np.argsort(p.h, kind="stable")  # documents are in the order of their ids
+        h, d = p.h[order], self.ids[p.doc[order]]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        other = new.copy()
+        other[1:] |= d[1:] != d[:-1]
+        at = np.flatnonzero(new)
+        self.anchors = h[at]
+        self.anchor_docs = np.add.reduceat(other, at, dtype=np.int64) if len(at) else at
 
     def shared(self, answers: pd.DataFrame) -> None:
         """Keys of step 2: contexts of shared anchors, single windows of hot ones."""
@@ -138,7 +162,7 @@ class _Block:
         self.single = np.repeat(p.first[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         w = p.ranges(self.single, self.single + WINDOW) if len(hot) else np.zeros(0, np.uint64)
         h = np.concatenate([p.h[self.whole], B.mix(w ^ np.repeat(p.h[hot], n))])
-        c = np.concatenate([p.c[self.whole], w])
+        c = np.concatenate([p.contexts()[self.whole], w]) if len(self.whole) else w
         self.key_ids = self.ids[np.concatenate([p.doc[self.whole], np.repeat(p.doc[hot], n)])]
         order = np.lexsort((self.key_ids, c, h))
         h, c, d = h[order], c[order], self.key_ids[order]
@@ -261,7 +285,7 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
     """
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", *keep)
     texts, n_blocks = B.with_blocks(docs, block_bytes, ["doc_id", "text", *keep])
-    n_buckets = max(6, n_blocks // 4)
+    n_buckets = max(6, n_blocks)
 
     def in_order(pdf):  # a shuffle may deliver rows in another order in each pass
         return pdf.sort_values(["doc_id", "text"], ignore_index=True)

@@ -194,7 +194,7 @@ class _Block:
         if len(self.send):
             at = self.whole[self.kat[self.send]]
             size = p.last[at] - p.first[at] + 1
-            begin = _bit_starts(size, self.kh[self.send], self.n_buckets)
+            begin = _bit_starts(size, self.kh[self.send], self.n_shards)
             place = np.full(len(self.kh), -1, np.int64)
             place[self.send] = np.arange(len(self.send))
             rest = np.flatnonzero(~dup[:n] & (place[self.key[:n]] >= 0))
@@ -208,10 +208,10 @@ class _Block:
         return np.cumsum(mark[:-1]) > 0
 
 
-def _bit_starts(size: np.ndarray, h: np.ndarray, n_buckets: int) -> np.ndarray:
+def _bit_starts(size: np.ndarray, h: np.ndarray, n_shards: int) -> np.ndarray:
     """Where the answer bits of each sent context start; each bucket's answer fills whole bytes."""
     out, at = np.zeros(len(size), np.int64), 0
-    cuts = B.bucket_cuts(h, n_buckets)
+    cuts = B.bucket_cuts(h, n_shards)
     for a, b in zip(cuts[:-1], cuts[1:]):
         total = np.cumsum(size[a:b])
         out[a:b] = at + total - size[a:b]
@@ -286,13 +286,14 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", *keep)
     texts, n_blocks = B.with_blocks(docs, block_bytes, ["doc_id", "text", *keep])
     n_buckets = max(6, n_blocks)
+    n_shards = 4 * n_buckets  # a core needs about a hundred bytes of memory for each of its own
 
     def in_order(pdf):  # a shuffle may deliver rows in another order in each pass
         return pdf.sort_values(["doc_id", "text"], ignore_index=True)
 
     def block(pdf, *answers) -> _Block:
         b = _Block(pdf, unit)
-        b.n_buckets = n_buckets
+        b.n_shards = n_shards
         for step, a in zip((b.shared, b.owned), answers):
             step(a)
         return b
@@ -324,7 +325,7 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
             return (np.array([j - i]).tobytes() + ids[i:j].tobytes() + size[i:j].tobytes()
                     + b"".join(data[x:x + k + WINDOW - 1].tobytes() for x, k in zip(a[i:j], size[i:j])))
 
-        return _packed(key[0], b.kh[b.send], n_buckets, body)
+        return _packed(key[0], b.kh[b.send], n_shards, body)
 
     def cover(key, pdf, got):
         pdf = in_order(pdf)

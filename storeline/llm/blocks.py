@@ -69,12 +69,12 @@ def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), starts
 
 
-def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: first byte, end byte, and for each text the
+def word_spans(data: np.ndarray, starts: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or runs of ``letters``): first byte, end byte, and for each text the
     index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    solid = ~SPACE[data]
+    solid = ~SPACE[data] if letters is None else letters[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
     first = solid & (np.r_[True, ~solid[:-1]] | edge[:-1])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 K, W = 4, 8
 _LOW = (1 << 24) - 1
 RUN_IDS = 4096
+BROADCAST_RUNS = 100_000  # rows of 16 bytes
 
 
 def _with(value: Column, use) -> Column:
@@ -46,7 +47,7 @@ def _least(g: Column, w: int) -> Column:
     """The minimum of each window of w grams, by doubling; of all, when there are fewer."""
     def pairs(x: Column, span: int) -> Column:
         n = F.size(x) - span
-        return F.zip_with(F.slice(x, 1, n), F.slice(x, span + 1, n), F.least)
+        return F.zip_with(F.slice(x, 1, n), F.slice(x, span + 1, n), lambda a, b: F.least(a, b))
 
     span = 1
     steps = []
@@ -94,11 +95,15 @@ def with_next(docs: DataFrame, run_ids: int = RUN_IDS) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "run", F.coalesce(F.floor(F.col("doc_id") / run_ids), F.lit(-(2**62))))
-    rank = F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")
+    firsts = docs.groupBy("run").agg(F.min("doc_id").alias("doc_id"))
     after = Window.orderBy("run")
-    heads = docs.groupBy("run").agg(F.min_by("text", rank).alias("text")).select(
-        F.coalesce(F.lag("run").over(after), F.max("run").over(Window.partitionBy())).alias("run"),
-        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("extra"))
+    firsts = firsts.select("doc_id", F.coalesce(F.lag("run").over(after),
+                                                F.max("run").over(Window.partitionBy())).alias("to_run"))
+    if docs.select("run").distinct().count() <= BROADCAST_RUNS:
+        firsts = F.broadcast(firsts)
+    heads = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"])).groupBy("to_run").agg(
+        F.min("text").alias("text")).select(
+        F.col("to_run").alias("run"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("extra"))
     rows = docs.select("run", "doc_id", "text", F.lit(0).alias("extra")).unionByName(heads)
     order = Window.partitionBy("run").orderBy("extra", F.asc_nulls_first("doc_id"), "text")
     return rows.withColumn("own", selected(F.col("text"))).select(

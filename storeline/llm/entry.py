@@ -1,4 +1,8 @@
-"""The subpackage's queries, by name, and DuckDB SQL for those that SQL can express."""
+"""The subpackage's queries, by name, and DuckDB SQL for those that SQL can express.
+
+None of the operators has SQL that finishes on whole tables in reasonable time or gives the same hashes;
+``tests/llm`` compares each with a brute-force version instead.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storeline.llm.cotraining import op4_cotraining
+from storeline.llm.mixing import op2_mixing
+from storeline.llm.multi_index import op5_multi_index
+from storeline.llm.piece_bpe import op3_piece_bpe
 from storeline.llm.substring_rlz import op8_substring_rlz
 from storeline.llm.suffix_array import op9_suffix_array
+from storeline.llm.suffix_tree_lm import op1_suffix_tree_lm
+from storeline.llm.superminhash import op6_superminhash
+from storeline.llm.toxicity_crf import op10_toxicity_crf
+from storeline.llm.winnowing import op7_winnowing
 from storeline.session import ensure_checkpoint_dir, ship_package
 
-OPERATORS = [op8_substring_rlz, op9_suffix_array]
+OPERATORS = [op1_suffix_tree_lm, op2_mixing, op3_piece_bpe, op4_cotraining, op5_multi_index, op6_superminhash,
+             op7_winnowing, op8_substring_rlz, op9_suffix_array, op10_toxicity_crf]
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,8 +34,14 @@ def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _ready(q) for q in OPERATORS}
+    return {q.__name__: _ready(q) for q in OPERATORS} | {"pipeline": _ready(_pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

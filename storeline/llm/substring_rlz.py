@@ -13,6 +13,8 @@ with is consulted, and no other.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -57,34 +59,47 @@ def factor(units: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return hit & equal
 
 
-def _finish(docs: pd.DataFrame, covered: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+_WORD = re.compile(rb"[^ \t-\r]+")
+
+
+def _finish(docs: pd.DataFrame, covered: np.ndarray, starts: np.ndarray, layout: bool = False) -> pd.DataFrame:
     kept, removed, spans = [], [], []
     for text, a, b in zip(docs["text"], starts[:-1], starts[1:]):
         c = covered[a:b]
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        if c.any():
-            words = [w for w, x in zip(words, c) if not x]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]])))
-        spans.append([{"first": int(i), "end": int(j)} for i, j in edge.reshape(-1, 2)])
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(np.int8), [0]]))).reshape(-1, 2)
+        if not layout:
+            words = raw.split()
+            raw = b" ".join([w for w, x in zip(words, c) if not x] if len(edge) else words)
+        elif len(edge):
+            begin = [m.start() for m in _WORD.finditer(raw)] + [len(raw)]
+            at = [0, *[begin[i] for i in edge.reshape(-1)], len(raw)]
+            raw = b"".join(raw[i:j] for i, j in zip(at[::2], at[1::2]))
+        spans.append([{"first": int(i), "end": int(j)} for i, j in edge])
         removed.append(int(c.sum()))
-        kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        kept.append(raw.decode("utf-8", "surrogatepass"))
     out = docs.drop(columns=["text", "blk"])
     return out.assign(n_words=np.diff(starts), n_removed=removed, spans=spans, kept=kept)
 
 
-def remove_repeated_passages(docs: DataFrame, keep: tuple[str, ...] = (),
-                             block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES,
+                             hot: int = HOT, layout: bool = False) -> DataFrame:
     """Removes the words of ``text`` in any window of 50 words that starts in an
     earlier document (smaller doc_id) too; windows are judged on the input.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Returns doc_id, the string columns ``keep``,
-    n_words, n_removed, spans (removed runs of words: first, end) and kept (the
-    rest, joined by one space): one row per input row. A null text is empty; an empty table
-    gives an empty result; a null doc_id counts as the smallest id; rows that repeat a
-    doc_id don't remove from each other; other columns are ignored.
+    n_words, n_removed, spans (removed runs of words: first, end) and kept: the
+    other words joined by one space, or with ``layout`` the text as it is without the removed runs.
+    One row per input row. A null text is empty; an empty table gives an empty result; a null doc_id
+    counts as the smallest id; rows that repeat a doc_id don't remove from each other; other
+    columns are ignored.
     """
     kept = "".join(f"{k} string, " for k in keep)
-    return find_repeats(docs, "words", factor, _finish, f"doc_id long, {kept}n_words long, n_removed long, "
+
+    def finish(pdf, covered, starts):
+        return _finish(pdf, covered, starts, layout)
+
+    return find_repeats(docs, "words", factor, finish, f"doc_id long, {kept}n_words long, n_removed long, "
                         "spans array<struct<first: long, end: long>>, kept string", block_bytes, keep, hot)
 
 

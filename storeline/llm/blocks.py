@@ -69,6 +69,14 @@ def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), starts
 
 
+def pieces(pdf, size: int = 1 << 19):
+    """The rows of a batch in pieces of about ``size`` characters of text: memory stays bounded
+    however many rows a batch has."""
+    part = np.cumsum(pdf["text"].fillna("").str.len().to_numpy()) // size
+    for _, rows in pdf.groupby(part, sort=True):
+        yield rows.reset_index(drop=True)
+
+
 def word_spans(data: np.ndarray, starts: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` (or runs of ``letters``): first byte, end byte, and for each text the
     index of its first word (one more at the end)."""

@@ -86,9 +86,10 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
     """Both views of the documents in ``ids`` (a bounded number): columns y, text_x, meta_x."""
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "doc_id": pdf["doc_id"],
-                                "text_x": list(text_view(pdf["text"]).astype(np.float32)),
-                                "meta_x": list(metadata_view(pdf).astype(np.float32))})
+            for part in B.pieces(pdf):
+                yield pd.DataFrame({"y": part["y"], "doc_id": part["doc_id"],
+                                    "text_x": list(text_view(part["text"]).astype(np.float32)),
+                                    "meta_x": list(metadata_view(part).astype(np.float32))})
 
     picked = docs.where("doc_id is not null").join(F.broadcast(ids), "doc_id")
     return (_views(picked, "doc_id", "y").mapInPandas(
@@ -144,8 +145,7 @@ def score_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_
 
     def run(batches):
         for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                part = pdf.iloc[i:i + 1000].reset_index(drop=True)
+            for part in B.pieces(pdf):
                 odds = np.stack([predict(text_view(part["text"]), model["views"][0]),
                                  predict(metadata_view(part), model["views"][1])], 1)
                 yield part[inner].assign(text_score=sigmoid(odds[:, 0]), meta_score=sigmoid(odds[:, 1]),

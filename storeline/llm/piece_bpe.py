@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_KEEP_WORDS, _KEEP_LENGTH = 400_000, 48
+_KEEP_WORDS, _KEEP_PAIRS, _KEEP_LENGTH = 200_000, 500_000, 48
 NORMAL, CONTROL, BYTE_KIND = 1, 3, 6
 
 
@@ -81,6 +81,8 @@ class Codec:
         """Whether merging ``a + b`` gives ``a`` and ``b``; with an empty ``a``: ``b`` alone."""
         known = self._fits.get((a, b))
         if known is None:
+            if len(self._fits) >= _KEEP_PAIRS:
+                self._fits.clear()
             known = self._fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return known
 
@@ -168,6 +170,7 @@ _codecs: dict[str, Codec] = {}
 def _codec(name: str, shared) -> Codec:
     """One codec for each broadcast model and worker process."""
     if name not in _codecs:
+        _codecs.clear()  # a worker outlives queries
         _codecs[name] = Codec(shared.value)
     return _codecs[name]
 

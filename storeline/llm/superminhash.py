@@ -23,6 +23,7 @@ from storeline.llm.components import connected_components
 
 U = np.uint64
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 150_000
+PIECE = 1 << 18
 
 
 def shingles(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +79,8 @@ def _set_keys(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[:, starts[1:]] - total[:, starts[:-1]]).view(np.int64)
 
 
-def _pieces(batches, size: int = 1 << 19):
-    for pdf in batches:
-        part = np.cumsum(pdf["text"].fillna("").str.len().to_numpy()) // size
-        for _, rows in pdf.groupby(part, sort=True):
-            yield rows
-
-
 def _described(batches, words: int, bands: int, rows: int):
-    for part in _pieces(batches):
+    for part in (p for pdf in batches for p in B.pieces(pdf, PIECE)):
         s, starts = shingles(part["text"], words)
         bits = signatures(s, starts, bands * rows).view(np.uint64).reshape(len(part), bands, rows)
         keys = np.zeros((len(part), bands), np.uint64)
@@ -100,7 +94,7 @@ def _described(batches, words: int, bands: int, rows: int):
 
 
 def _sets(batches, words: int):
-    for part in _pieces(batches):
+    for part in (p for pdf in batches for p in B.pieces(pdf, PIECE)):
         s, starts = shingles(part["text"], words)
         a, b = _set_keys(s, starts)
         s = s.view(np.int64)

@@ -50,7 +50,7 @@ def token_keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarr
 
 def _counts(batches):
     """For each key its number of toxic and of clean documents."""
-    for pdf in batches:
+    for pdf in (p for batch in batches for p in B.pieces(batch, 1 << 21)):
         _, _, text, keys = token_keys(pdf["text"])
         key = np.concatenate(keys)
         pair = np.stack([key.astype(np.uint64), np.tile(text, len(keys)).astype(np.uint64)])
@@ -238,8 +238,7 @@ def tag_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id
 
     def run(batches):
         for pdf in batches:
-            for i in range(0, len(pdf), 500):
-                part = pdf.iloc[i:i + 500].reset_index(drop=True)
+            for part in B.pieces(pdf):
                 at, end, text, keys = token_keys(part["text"])
                 first = _firsts(text)
                 x = features(keys, text, model["lexicon"])

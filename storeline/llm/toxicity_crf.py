@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from storeline.llm import blocks as B
 from storeline.llm.samples import fit_logistic, labelled, predict, sigmoid
 
-SAMPLE_DOCS = 4000      # documents that the scores are calibrated on
+SAMPLE_DOCS = 3000      # documents that the scores are calibrated on
 FIELD_DOCS = 400        # of them, those that the field is fitted on
 LEXICON = 20000         # tokens and prefixes with the highest odds that become features
 MIN_DOCS = 3
@@ -213,19 +213,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     model = {"lexicon": (key[order], top["odds"].to_numpy(float)[order])}
     ids = F.broadcast(labelled(labels, "toxic", sample_docs, fold=0))
     pdf = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y").toPandas()
-    _, _, text, keys = token_keys(pdf["text"])
-    y = pdf["y"].to_numpy(np.int64)
+    head = pdf.head(FIELD_DOCS)
+    _, _, text, keys = token_keys(head["text"])
     x = features(keys, text, model["lexicon"])
-    strong = x[:, 1:N_FEATURES - 2].reshape(len(x), -1, 4)[:, :, 2:].any((1, 2))
-    own = (text if len(text) else np.zeros(0, np.int64)) < FIELD_DOCS
-    tag = (strong & (y[text] == 1)).astype(np.int64)[own] if len(text) else np.zeros(0, np.int64)
-    first = _firsts(text)
-    model["w"], model["t"] = fit_field(x[own].astype(float), tag, first[own])
-    post, _ = marginals(x @ model["w"], model["t"], first)
-    model["c"] = fit_logistic(_document_features(post[:, 1], text, len(y)), y, ridge=0.1)
+    strong = x[:, 1:N_FEATURES - 2].reshape(len(x), len(PREFIXES) + 1, 4)[:, :, 2:].any((1, 2))
+    tag = (strong & (head["y"].to_numpy(np.int64)[text] == 1)).astype(np.int64)
+    model["w"], model["t"] = fit_field(x.astype(float), tag, _firsts(text))
+    parts = [part[["y"]].assign(x=list(_described(part, model)[0])) for part in B.pieces(pdf)]
+    seen = np.array([v for part in parts for v in part["x"]]).reshape(-1, 3)
+    y = np.array([v for part in parts for v in part["y"]], float)
+    model["c"] = fit_logistic(seen, y, ridge=0.1)
     return model
 
 
+def _described(part: pd.DataFrame, model: dict):
+    """Document features, and of every token its first and end byte, text and marginal."""
+    at, end, text, keys = token_keys(part["text"])
+    post = marginals(features(keys, text, model["lexicon"]) @ model["w"], model["t"], _firsts(text))[0][:, 1]
+    return _document_features(post, text, len(part)), at, end, text, post
+
+
 def tag_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, score (0 to 1) and spans (first, end byte and marginal of toxic tokens)
     of every whole text.
@@ -239,11 +246,8 @@ def tag_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id
     def run(batches):
         for pdf in batches:
             for part in B.pieces(pdf):
-                at, end, text, keys = token_keys(part["text"])
-                first = _firsts(text)
-                x = features(keys, text, model["lexicon"])
-                post = marginals(x @ model["w"], model["t"], first)[0][:, 1]
-                score = sigmoid(predict(_document_features(post, text, len(part)), model["c"]))
+                found, at, end, text, post = _described(part, model)
+                score = sigmoid(predict(found, model["c"]))
                 spans = [[] for _ in range(len(part))]
                 for j in np.flatnonzero(post >= 0.5):
                     spans[text[j]].append({"first": int(at[j]), "end": int(end[j]), "marginal": float(post[j])})

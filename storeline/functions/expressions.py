@@ -29,8 +29,8 @@ def money(c: Column) -> Column:
 
 
 def like_pattern(key: str) -> str:
-    """``%key%``: the key's own ``%`` and ``_`` stay wildcards."""
-    return f"%{key}%"
+    """``%key%``: the key's own ``%`` and ``_`` stay wildcards; a backslash is itself."""
+    return "%" + key.replace("\\", "\\\\") + "%"
 
 
 ACCENT_INSENSITIVE = "UNICODE_CI_AI"

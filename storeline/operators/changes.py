@@ -19,6 +19,7 @@ LAST_ITEM = "LAST_ITEM"
 LAST_ITEM_ZERO = "LAST_ITEM_ZERO"
 CHECK_QUANTITY = "CHECK_QUANTITY"
 NO_SUCH_ROW = "NO_SUCH_ROW"
+NOT_NULL = "NOT_NULL"
 RESTRICTED = "RESTRICTED"
 DUPLICATE_KEY = "DUPLICATE_KEY"
 ROLLED_BACK = "ROLLED_BACK"
@@ -80,9 +81,9 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
                        ) -> tuple[DataFrame, DataFrame]:
     """Set new quantities on line items.
 
-    A quantity <= 0 (or NULL) on a receipt's only item is refused by the
-    last-item rule (``LAST_ITEM_ZERO``); on a receipt with more items it is
-    refused by the quantity CHECK (``CHECK_QUANTITY``). Positive updates are
+    A quantity <= 0 on a receipt's only item is refused by the last-item rule
+    (``LAST_ITEM_ZERO``); on a receipt with more items it is refused by the
+    quantity CHECK (``CHECK_QUANTITY``). A NULL one is refused by ``NOT_NULL``. Positive updates are
     accepted; they do not touch stock. Two different new quantities for one
     line item are both refused (``CONFLICTING_UPDATE``). ``updates``: ``sale_id, product_upc,
     new_quantity``. Returns ``(new_items, decisions)``.
@@ -95,7 +96,7 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
     n_have = (items.select("sale_id").join(upd.select("sale_id"), "sale_id", "left_semi")
               .groupBy("sale_id").agg(F.count(F.lit(1)).alias("n_have")))
     q = F.col("new_quantity")
-    bad = q.isNull() | (q <= 0)
+    bad = q <= 0
     decisions = (upd.join(items.select(*ITEM_KEY).withColumn("_hit", F.lit(True)),
                           ITEM_KEY, "left")
                  .join(n_have, "sale_id", "left")
@@ -103,6 +104,7 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
                  .select(*ITEM_KEY, "new_quantity",
                          F.when(F.col("_hit").isNull(), F.lit(NO_SUCH_ROW))
                          .when(F.col("_conflict"), F.lit(CONFLICTING_UPDATE))
+                         .when(q.isNull(), F.lit(NOT_NULL))
                          .when(bad & (F.col("n_have") == 1), F.lit(LAST_ITEM_ZERO))
                          .when(bad, F.lit(CHECK_QUANTITY))
                          .otherwise(F.lit(ACCEPTED)).alias("decision")))
@@ -197,14 +199,30 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
 
     ON UPDATE CASCADE children get the new value; a RESTRICT child (or no
     action clause) referencing the old key blocks the change, as does a new
-    key that already exists. Returns ``(new_tables, blocked)`` with
-    ``blocked = (old_id, new_id, reason)``.
+    key that already exists or that two old keys are to get (``DUPLICATE_KEY``),
+    a NULL new key (``NOT_NULL``), an old key that no row has
+    (``NO_SUCH_ROW``), and one old key with several new ones
+    (``CONFLICTING_UPDATE``). A key mapped to itself is no change. Returns
+    ``(new_tables, blocked)`` with ``blocked = (old_id, new_id, reason)``.
     """
     (pk,) = _key_cols(table)
-    m = mapping.select("old_id", "new_id").distinct()
     parent = tables[table]
+    typ = dict(parent.dtypes)[pk]
+    m = (mapping.select(F.col("old_id").cast(typ), F.col("new_id").cast(typ)).distinct()
+         .filter(~F.col("old_id").eqNullSafe(F.col("new_id"))))
     exists = parent.select(F.col(pk).alias("new_id"))
-    dup = m.join(exists, "new_id", "left_semi").withColumn("reason", F.lit(DUPLICATE_KEY))
+
+    def several(key: str, reason: str) -> DataFrame:
+        many = m.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        return m.join(many, key, "left_semi").select("old_id", "new_id").withColumn("reason", F.lit(reason))
+
+    dup = (m.join(exists, "new_id", "left_semi").select("old_id", "new_id")
+           .withColumn("reason", F.lit(DUPLICATE_KEY))
+           .unionByName(several("new_id", DUPLICATE_KEY))
+           .unionByName(several("old_id", CONFLICTING_UPDATE))
+           .unionByName(m.filter("new_id is null").withColumn("reason", F.lit(NOT_NULL)))
+           .unionByName(m.join(parent.select(F.col(pk).alias("old_id")), "old_id", "left_anti")
+                        .select("old_id", "new_id").withColumn("reason", F.lit(NO_SUCH_ROW))))
     restrict = []
     for child, fk in _children(table):
         if child in tables and fk.on_update != "CASCADE":
@@ -215,7 +233,7 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
     for r in restrict:
         blocked = blocked.unionByName(r)
     blocked = blocked.groupBy("old_id", "new_id").agg(_names("reason").alias("reason"))
-    ok = m.join(blocked.select("old_id"), "old_id", "left_anti")
+    ok = m.filter("old_id is not null").join(blocked.select("old_id"), "old_id", "left_anti")
 
     def remap(df: DataFrame, col: str) -> DataFrame:
         typ = dict(df.dtypes)[col]

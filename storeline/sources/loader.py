@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from storeline.functions.expressions import seconds_of_day
 from storeline.operators.checks import key_text
@@ -64,6 +64,13 @@ def _issue(cond: Column, text: str | Column) -> Column:
     return F.when(cond, text if isinstance(text, Column) else F.lit(text))
 
 
+def _loses_fraction(raw: DataFrame, field: T.StructField) -> Column:
+    have = raw.schema[field.name].dataType
+    if isinstance(field.dataType, T.IntegralType) and isinstance(have, T.FractionalType):
+        return F.col(field.name) != F.floor(F.col(field.name))
+    return F.lit(False)
+
+
 def load_validated(raw: DataFrame, name: str | TableSpec,
                    parents: Mapping[str, DataFrame] | None = None,
                    atomic: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +84,11 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
     spec = SPECS[name] if isinstance(name, str) else name
     raw_d, text_issues = _from_text(raw, spec)
     raw_d = _with_defaults(raw_d, spec)
-    # Type issues look at the raw value: set, but not castable to the type.
+    # Type issues look at the raw value: set, but not castable to the type, or a
+    # fraction for a whole-number column (refused from text and from numbers alike).
     type_issues = text_issues + [_issue(F.col(f.name).isNotNull()
-                                        & F.col(f.name).try_cast(f.dataType).isNull(),
+                                        & (F.col(f.name).try_cast(f.dataType).isNull()
+                                           | _loses_fraction(raw_d, f)),
                                         f"TYPE:{f.name}") for f in spec.schema.fields]
     staged = raw_d.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in spec.schema.fields],

@@ -177,7 +177,8 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
     ensure_state_store(items.sparkSession)
     ship_package(items.sparkSession)
     _pickle_processor_by_value()
-    n_buckets = n_buckets or default_buckets(stock)
+    # the state is found by bucket: the number must not change with the stock table
+    n_buckets = n_buckets or MIN_BUCKETS
     missing = [c for c in ("store_id", *order_by) if c not in items.columns]
     if missing:
         if sale is None:
@@ -192,6 +193,21 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
         outputMode="Append", timeMode="None", initialState=init)
 
 
+def kept_buckets(stock: DataFrame, checkpoint_dir: str, n_buckets: int | None) -> int:
+    """The number of state buckets of a checkpoint: chosen at its first start, written beside it,
+    and read back at every later one, whatever the stock table's size is by then."""
+    spark, path = stock.sparkSession, f"{checkpoint_dir.rstrip('/')}-buckets"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        kept = spark.read.parquet(path).first()["n_buckets"]
+        if n_buckets not in (None, kept):
+            raise ValueError(f"the checkpoint has {kept} state buckets, not {n_buckets}")
+        return kept
+    n_buckets = n_buckets or default_buckets(stock)
+    spark.range(1).select(F.lit(n_buckets).cast("int").alias("n_buckets")).write.parquet(path)
+    return n_buckets
+
+
 def run_to_completion(items_dir: str, items_schema: T.StructType | str, stock: DataFrame,
                       sale: DataFrame | None = None,
                       order_by: Sequence[str] = ("date_time", "sale_id"),
@@ -206,9 +222,9 @@ def run_to_completion(items_dir: str, items_schema: T.StructType | str, stock: D
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     items = reader.parquet(items_dir)
-    out = deduct_stock_stream(items, stock, sale, order_by, n_buckets)
     sink_dir = sink_dir or scratch_path(spark, "stock-stream-out")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stock-stream-ckpt")
+    out = deduct_stock_stream(items, stock, sale, order_by, kept_buckets(stock, checkpoint_dir, n_buckets))
     q = (out.writeStream.format("parquet").outputMode("append")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())

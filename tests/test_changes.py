@@ -52,7 +52,7 @@ def test_update_guard(spark, t):
     new, dec = changes.guard_update_items(t.sale_line_item, upd)
     assert decisions(dec) == {(4, 1003): "LAST_ITEM_ZERO", (1, 1001): "CHECK_QUANTITY",
                               (1, 1002): "ACCEPTED", (9, 1): "NO_SUCH_ROW",
-                              (3, 1006): "CHECK_QUANTITY"}
+                              (3, 1006): "NOT_NULL"}
     q = {(r.sale_id, r.product_upc): r.quantity for r in new.collect()}
     assert q[(1, 1002)] == 5 and q[(4, 1003)] == 4 and q[(1, 1001)] == 2
 
@@ -223,3 +223,34 @@ def test_history_replayed_in_arrival_chunks(spark):
     _, batch = deduct_stock_rows(stock, None, lines, order_by=("date_time", "sale_id"))
     assert decisions(out) == decisions(batch)
     assert decisions(out)[(900, 1)] == "NO_STOCK_ROW" and len(decisions(out)) == 122
+
+
+def test_key_change_conflicts(spark, t):
+    ids = sorted(r[0] for r in t.customer.select("customer_id").collect())
+    a, b, c = ids[:3]
+    mapping = spark.createDataFrame(
+        [(a, 9001), (b, 9001), (c, 9002), (c, 9003), (a, a), (77777, 9004), (ids[3], None)],
+        "old_id long, new_id long")
+    out, blocked = changes.cascade_update(t.as_dict() if hasattr(t, "as_dict") else t, "customer", mapping)
+    got = {(r.old_id, r.new_id): r.reason for r in blocked.collect()}
+    assert got == {(a, 9001): "DUPLICATE_KEY", (b, 9001): "DUPLICATE_KEY", (c, 9002): "CONFLICTING_UPDATE",
+                   (c, 9003): "CONFLICTING_UPDATE", (77777, 9004): "NO_SUCH_ROW", (ids[3], None): "NOT_NULL"}
+    assert sorted(r[0] for r in out["customer"].select("customer_id").collect()) == ids
+
+
+def test_key_change_identity_is_no_change(spark, t):
+    a = t.customer.first().customer_id
+    mapping = spark.createDataFrame([(a, a)], "old_id long, new_id long")
+    out, blocked = changes.cascade_update(t.as_dict() if hasattr(t, "as_dict") else t, "customer", mapping)
+    assert blocked.count() == 0 and out["customer"].count() == t.customer.count()
+
+
+def test_stream_bucket_count_survives_growth(spark, tmp_path):
+    from storeline.streaming.stock_stream import kept_buckets
+
+    path = f"file://{tmp_path}/ckpt"
+    small = spark.range(10)
+    first = kept_buckets(small, path, None)
+    assert kept_buckets(spark.range(10_000_000), path, None) == first
+    with pytest.raises(ValueError):
+        kept_buckets(small, path, first + 1)

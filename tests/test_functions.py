@@ -54,3 +54,23 @@ def test_quarter_filter_reaches_the_scan(spark, tmp_path):
     start, end = quarter_range("2025-06-13")
     p = plan(spark.read.parquet(path).filter((F.col("ts") >= start) & (F.col("ts") < end)))
     assert "GreaterThanOrEqual(ts,2025-04-01T00:00)" in p and "LessThan(ts,2025-07-01T00:00)" in p
+
+
+def test_backslash_in_a_key_is_itself(spark):
+    from storeline.functions.expressions import text_match
+
+    df = spark.createDataFrame([("a\\b c",), ("x\\",), ("50% off",), ("axb",)], "name string")
+    for key, want in (("a\\b", {"a\\b c"}), ("x\\", {"x\\"}), ("50%", {"50% off"})):
+        assert {r[0] for r in df.filter(text_match("name", key)).collect()} == want
+
+
+def test_shared_folder_is_required_off_local():
+    from types import SimpleNamespace
+
+    import pytest
+    from storeline.session import ensure_checkpoint_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d),
+                          sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(far)

@@ -20,7 +20,7 @@ DateLike = "str | _dt.date | _dt.datetime | Column | None"
 
 def line_revenue(quantity: str = "quantity", price: str = "price") -> Column:
     """quantity x current list price, exact decimal arithmetic."""
-    return F.col(quantity).cast("decimal(10,0)") * F.col(price)
+    return F.col(quantity).cast("decimal(19,0)") * F.col(price)
 
 
 def money(c: Column) -> Column:

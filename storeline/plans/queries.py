@@ -9,14 +9,13 @@ tie-break is added and documented at the function.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeline.functions.expressions import (
-    always_open, key_as_bigint, line_revenue, money, month_back, quarter_range, text_match,
+    always_open, key_as_bigint, money, month_back, quarter_range, text_match,
 )
-from storeline.functions.sizing import one_row
-from storeline.plans.revenue import sales_lines
+from storeline.plans.revenue import product_revenue
 from storeline.plans.topk import top_n_per_group
 from storeline.schemas import COUNT_ORDER, MEMBER_LEVELS
 from storeline.sources.tables import Tables
@@ -56,16 +55,12 @@ def top_selling_past_month(t: Tables, as_of=None, n: int = 1) -> DataFrame:
     """Per store, the product with the highest revenue in sales dated on or
     after ``as_of`` minus one month (midnight). Revenue is returned as text.
 
-    Ties on revenue go to the smallest UPC. For the single winner (``n=1``)
-    only hash aggregates run: the per-store maximum (one row per store, small
-    enough for AQE to broadcast), a join back to the per-product sums, then
-    the smallest UPC among the ties. Map-side partial aggregation keeps a
-    store holding a large share of the rows from landing whole in one task.
-    ``n > 1`` returns the top ``n`` per store with their rank ``rn``.
+    Ties on revenue go to the smallest UPC. Map-side partial aggregation and
+    the partial limit before the ranking keep a store holding a large share
+    of the rows from landing whole in one task. ``n > 1`` returns the top
+    ``n`` per store with their rank ``rn``.
     """
-    lines = sales_lines(t, since=month_back(as_of))
-    per_product = lines.groupBy("store_id", "product_upc").agg(
-        F.sum(line_revenue()).alias("revenue"))
+    per_product = product_revenue(t, since=month_back(as_of))
     best = top_n_per_group(per_product, "store_id", "revenue", "product_upc", n)
     names = t.product.select("product_upc", "name")
     cols = ["store_id", "store", "product_upc", "name",
@@ -83,15 +78,16 @@ def top_selling_past_month(t: Tables, as_of=None, n: int = 1) -> DataFrame:
 def best_store_this_quarter(t: Tables, as_of=None) -> DataFrame:
     """Store(s) with the highest revenue in the calendar quarter of ``as_of``.
 
-    All stores tied at the maximum are returned. Revenue is aggregated once;
-    the maximum is a one-row aggregate joined back by broadcast (no global
-    single-partition window).
+    All stores tied at the maximum are returned. Revenue is planned once: the
+    stores are ranked by it, and a partial limit before the ranking sends only
+    each partition's best stores to the task that ranks them.
     """
     start, end = quarter_range(as_of)
-    lines = sales_lines(t, since=start, until=end)
-    per_store = lines.groupBy("store_id").agg(money(F.sum(line_revenue())).alias("revenue"))
-    top = one_row(per_store.agg(F.max("revenue").alias("max_revenue")))
-    winners = per_store.join(top, per_store.revenue == top.max_revenue).drop("max_revenue")
+    per_store = (product_revenue(t, since=start, until=end).groupBy("store_id")
+                 .agg(money(F.sum("revenue")).alias("revenue"))
+                 .filter(F.col("revenue").isNotNull()))
+    winners = (per_store.withColumn("rk", F.rank().over(Window.orderBy(F.desc("revenue"))))
+               .filter(F.col("rk") == 1).drop("rk"))
     return (winners.join(t.store.select("store_id", "name"), "store_id")
             .select("store_id", "name", "revenue"))
 

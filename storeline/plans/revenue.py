@@ -1,10 +1,11 @@
-"""Shared fact frame: sold line items with their store, date and price."""
+"""Shared fact frame: revenue per store and product in a date window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storeline.functions.expressions import line_revenue
 from storeline.sources.tables import PARTITION_COLUMNS, Tables
 
 MONTH_COLUMN = PARTITION_COLUMNS["sale"][0]
@@ -32,17 +33,21 @@ def sale_window(sale: DataFrame, since: Column | None = None,
     return sale.filter(cond)
 
 
-def sales_lines(t: Tables, since: Column | None = None, until: Column | None = None
-                ) -> DataFrame:
-    """``(sale_id, store_id, product_upc, quantity, price)`` for sold items.
+def product_revenue(t: Tables, since: Column | None = None, until: Column | None = None
+                    ) -> DataFrame:
+    """``(store_id, product_upc, revenue)`` of the items sold in the window.
 
     The date window is applied to ``sale`` before the join, so it reaches the
     scan (and the month folders) under the sale table; the item side is only
     joined to the surviving sales (AQE broadcasts them when they turn out
     small, and the runtime bloom filter prunes the item scan at scale).
+    Quantities are summed per (store, product) first: a hot product is
+    combined before it is shuffled, and its price is looked up once per store.
     """
     sale = sale_window(t.sale, since, until).select("sale_id", "store_id")
     price = t.product.select("product_upc", "price")
     return (t.sale_line_item.select("sale_id", "product_upc", "quantity")
             .join(sale, "sale_id")
-            .join(price, "product_upc"))
+            .groupBy("store_id", "product_upc").agg(F.sum("quantity").alias("quantity"))
+            .join(price, "product_upc")
+            .select("store_id", "product_upc", line_revenue().alias("revenue")))

@@ -1,4 +1,4 @@
-"""Top rows per group: hash aggregates for the winner, a limited window for top-n."""
+"""Top rows per group by a window that limits each map partition first."""
 
 from __future__ import annotations
 
@@ -6,34 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top1_per_group(df: DataFrame, group: str, value: str, tiebreak: str) -> DataFrame:
-    """Row with the largest ``value`` per ``group``; ties -> smallest ``tiebreak``.
-
-    Equivalent to ``row_number() over (partition by group order by value desc,
-    tiebreak) = 1`` but planned as three hash aggregates/joins: the per-group
-    maximum has one row per group, so the join back does not shuffle ``df``
-    once AQE sees its size, and no group is ever sorted or buffered whole.
-    Returns ``(group, value, tiebreak)``.
-    """
-    top = df.groupBy(group).agg(F.max(value).alias("_max"))
-    cand = df.join(top, [group]).filter(F.col(value) == F.col("_max"))
-    return cand.groupBy(group, value).agg(F.min(tiebreak).alias(tiebreak)) \
-               .select(group, value, tiebreak)
-
-
 def top_n_per_group(df: DataFrame, group: str, value: str, tiebreak: str, n: int) -> DataFrame:
     """The ``n`` rows with the largest ``value`` per ``group`` (ties ->
-    smaller ``tiebreak``), with their rank ``rn`` (1..n).
+    smaller ``tiebreak``), with their rank ``rn`` (1..n); NULL values don't rank.
 
-    ``n == 1`` uses the hash-aggregate plan of ``top1_per_group``. For larger
-    ``n`` it is ``row_number() over (partition by group order by value desc,
-    tiebreak) <= n``: Spark plans a partial ``WindowGroupLimit`` before the
-    shuffle, so each map partition sends at most ``n`` rows per group and no
-    group is shipped whole to one task.
+    Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each map
+    partition sends at most ``n`` rows per group, no group is shipped whole
+    to one task, and ``df`` is planned once.
     """
-    if n == 1:
-        return top1_per_group(df, group, value, tiebreak).withColumn("rn", F.lit(1))
     w = Window.partitionBy(group).orderBy(F.col(value).desc(), F.col(tiebreak).asc())
-    return (df.withColumn("rn", F.row_number().over(w))
+    return (df.filter(F.col(value).isNotNull())
+            .withColumn("rn", F.row_number().over(w))
             .filter(F.col("rn") <= n)
             .select(group, value, tiebreak, "rn"))

@@ -8,21 +8,25 @@ position is marked in a bitfield as failed and the last piece is shortened. The
 first sequence that reaches the end is the one that the merges produce.
 
 No piece holds a white-space mark after another character, so merges never
-cross into the next word: texts are encoded word by word, and words that recur
-are looked up.
+cross into the next word; where no piece mixes Latin letters with other characters
+either, merges do not cross between those. Texts are encoded word by word by the finest such
+split of which every piece is one word, and words that recur are looked up.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_LATIN = "A-Za-z\u00c0-\u024f"
+_LETTERS_APART = re.compile(f"{MARK}*[{_LATIN}]+|{MARK}*[^{_LATIN}{MARK}]+|{MARK}+")
+_MARKS_APART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _KEEP_WORDS, _KEEP_PAIRS, _KEEP_LENGTH = 200_000, 500_000, 48
 NORMAL, CONTROL, BYTE_KIND = 1, 3, 6
 
@@ -57,11 +61,18 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE_KIND}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.eos = next(i for i, (p, _, k) in enumerate(pieces) if k == CONTROL and p == "</s>")
+        self.text = [p.replace(MARK, " ") if k == NORMAL else "" for p, _, k in pieces]
+        self.size = [len(p) for p, _, _ in pieces]
+        # the longest piece that is a proper prefix of the piece
+        self.shorter = {i: next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None)
+                        for p, i in self.ids.items() if len(p) > 1}
+        self.words = next(w for w in (_LETTERS_APART, _MARKS_APART) if all(w.fullmatch(p) for p in self.ids))
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, len(p))
+        for p, i in self.ids.items():
+            if len(p) > 1:
+                self.automaton.add_word(p, (i, len(p) - 1))
         self.automaton.make_automaton()
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._words: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -77,57 +88,64 @@ class Codec:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether merging ``a + b`` gives ``a`` and ``b``; with an empty ``a``: ``b`` alone."""
-        known = self._fits.get((a, b))
-        if known is None:
-            if len(self._fits) >= _KEEP_PAIRS:
-                self._fits.clear()
-            known = self._fits[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+    def fits(self, a: int, b: int) -> bool:
+        """Whether merging the texts of ``a`` and ``b`` gives these two again (so each alone is
+        merged to itself as well); ``a`` -1: ``b`` alone."""
+        if len(self._fits) >= _KEEP_PAIRS:
+            self._fits.clear()
+        parts = [self.pieces[i][0] for i in (a, b) if i >= 0]
+        known = self._fits[(a + 1) * len(self.pieces) + b] = self.merge("".join(parts)) == parts
         return known
 
-    def segment(self, text: str) -> list[str]:
-        """The pieces of a text whose characters are all pieces."""
+    def segment(self, text: str, single: list[int]) -> list[int]:
+        """The piece ids of a text of which every character is a piece (``single``)."""
+        longest = list(single)
+        for end, (i, back) in self.automaton.iter(text):  # of those that start at a place the last is the longest
+            longest[end - back] = i
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.automaton.iter(text):
-            lengths[end - size + 1].append(size)
-        for x in lengths:
-            x.reverse()
+        known, count, size, shorter = self._fits, len(self.pieces), self.size, self.shorter
         failed = bytearray(n // 8 + 1)
-        out: list[str] = []
-        at = 0
+        out: list[int] = []
+        at, last = 0, -1
         while at < n:
-            last = out[-1] if out else ""
-            for size in lengths[at]:
-                end = at + size
-                piece = text[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits("", piece) and self.fits(last, piece):
-                    out.append(piece)
-                    at = end
-                    break
+            i = longest[at]
+            while i is not None:
+                end = at + size[i]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fit = known.get((last + 1) * count + i)
+                    if self.fits(last, i) if fit is None else fit:
+                        out.append(i)
+                        at, last = end, i
+                        break
+                i = shorter.get(i)
             else:
                 if not out:
                     raise ValueError("no sequence of pieces")
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
+                at -= size[out.pop()]
+                last = out[-1] if out else -1
         return out
 
     def encode_word(self, word: str) -> list[int]:
+        single = list(map(self.ids.get, word))
+        if None not in single:
+            return self.segment(word, single)
         out: list[int] = []
-        known = ""
-        for c in [*word, ""]:
-            if c in self.ids:
-                known += c
-                continue
-            if known:
-                out += [self.ids[p] for p in self.segment(known)]
-                known = ""
-            out += [self.bytes[b] for b in c.encode("utf-8")]
+        known = 0  # start of the run of characters that are pieces
+        for i, c in enumerate(word):
+            if single[i] is None:
+                if known < i:
+                    out += self.segment(word[known:i], single[known:i])
+                out += [self.bytes[b] for b in c.encode("utf-8")]
+                known = i + 1
+        if known < len(word):
+            out += self.segment(word[known:], single[known:])
         return out
 
     def decode_ids(self, ids: list[int]) -> str:
         """The pieces' text, white-space marks as spaces; control ids are left out."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.text[i] for i in ids])
         out: list[str] = []
         run = bytearray()
         for i in ids:
@@ -135,19 +153,18 @@ class Codec:
                 run.append(self.byte_of[i])
                 continue
             if run:
-                out.append(run.decode("utf-8", "replace"))
+                out.append(run.decode("utf-8", "replace").replace(MARK, " "))
                 run.clear()
-            if self.pieces[i][2] == NORMAL:
-                out.append(self.pieces[i][0])
-        out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")
+            out.append(self.text[i])
+        out.append(run.decode("utf-8", "replace").replace(MARK, " "))
+        return "".join(out)
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids (packed 32-bit) and decoded text of one word."""
         got = self._words.get(word)
         if got is None:
             ids = self.encode_word(word)
-            got = np.array(ids, np.int32).tobytes(), self.decode_ids(ids)
+            got = array("i", ids).tobytes(), self.decode_ids(ids)
             if len(word) <= _KEEP_LENGTH:
                 if len(self._words) >= _KEEP_WORDS:
                     self._words.clear()
@@ -156,10 +173,10 @@ class Codec:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Packed ids of a text with the end id, and the text decoded from them."""
-        end = np.array([self.eos], np.int32).tobytes()
+        end = array("i", [self.eos]).tobytes()
         if not text:
             return end, ""
-        known, words = self._words, _WORD.findall(MARK + text.replace(" ", MARK))
+        known, words = self._words, self.words.findall(MARK + text.replace(" ", MARK))
         got = [known.get(w) or self.word(w) for w in words]
         return b"".join([g[0] for g in got]) + end, "".join([g[1] for g in got])[1:]
 

@@ -134,12 +134,13 @@ def _refs(child: DataFrame, fk: ForeignKey, keys: DataFrame) -> DataFrame:
     return child.join(k, list(fk.columns), "left_semi")
 
 
-def restrict_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame
-                    ) -> tuple[DataFrame, DataFrame]:
+def restrict_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame,
+                    atomic: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split requested parent keys into allowed and blocked deletes.
 
     A key is blocked when a RESTRICT child references it, directly or through
-    rows that a CASCADE would remove. Returns ``(allowed, blocked)``;
+    rows that a CASCADE would remove. ``atomic=True`` allows no key when any is
+    blocked, as one statement does. Returns ``(allowed, blocked)``;
     ``blocked`` carries ``blocked_by`` (the child table).
     """
     pk = _key_cols(table)
@@ -164,18 +165,21 @@ def restrict_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame
         blocked = blocked.unionByName(b)
     blocked = blocked.groupBy(*pk).agg(_names("blocked_by").alias("blocked_by"))
     allowed = keys.join(blocked.select(*pk), pk, "left_anti")
+    if atomic:
+        allowed = allowed.filter(~blocked.exists())
     return allowed, blocked
 
 
-def cascade_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame
-                   ) -> tuple[dict[str, DataFrame], DataFrame]:
+def cascade_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame,
+                   atomic: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Delete parent rows with their CASCADE children (RESTRICT is checked).
 
     Returns ``(new_tables, blocked)``: the changed tables only, and the keys
     refused because a RESTRICT child still references them. Cascaded rows are
     removed without firing row guards (cascaded deletes fire no trigger).
+    ``atomic=True`` removes nothing when any key is refused.
     """
-    allowed, blocked = restrict_delete(tables, table, keys)
+    allowed, blocked = restrict_delete(tables, table, keys, atomic)
     out: dict[str, DataFrame] = {}
 
     def remove(name: str, dead: DataFrame) -> None:
@@ -193,8 +197,8 @@ def cascade_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame
 
 # C6 ----------------------------------------------------------------------
 
-def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFrame
-                   ) -> tuple[dict[str, DataFrame], DataFrame]:
+def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFrame,
+                   atomic: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Change single-column primary keys ``old_id -> new_id`` of ``table``.
 
     ON UPDATE CASCADE children get the new value; a RESTRICT child (or no
@@ -202,7 +206,8 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
     key that already exists or that two old keys are to get (``DUPLICATE_KEY``),
     a NULL new key (``NOT_NULL``), an old key that no row has
     (``NO_SUCH_ROW``), and one old key with several new ones
-    (``CONFLICTING_UPDATE``). A key mapped to itself is no change. Returns
+    (``CONFLICTING_UPDATE``). A key mapped to itself is no change.
+    ``atomic=True`` changes nothing when anything is blocked. Returns
     ``(new_tables, blocked)`` with ``blocked = (old_id, new_id, reason)``.
     """
     (pk,) = _key_cols(table)
@@ -234,6 +239,8 @@ def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFra
         blocked = blocked.unionByName(r)
     blocked = blocked.groupBy("old_id", "new_id").agg(_names("reason").alias("reason"))
     ok = m.filter("old_id is not null").join(blocked.select("old_id"), "old_id", "left_anti")
+    if atomic:
+        ok = ok.filter(~blocked.exists())
 
     def remap(df: DataFrame, col: str) -> DataFrame:
         typ = dict(df.dtypes)[col]

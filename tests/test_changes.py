@@ -254,3 +254,22 @@ def test_stream_bucket_count_survives_growth(spark, tmp_path):
     assert kept_buckets(spark.range(10_000_000), path, None) == first
     with pytest.raises(ValueError):
         kept_buckets(small, path, first + 1)
+
+
+def test_referential_actions_are_all_or_nothing_when_atomic(t):
+    tables = {n: t[n] for n in SPECS}
+    keys = t.vendor.select("vendor_id")
+    allowed, blocked = changes.restrict_delete(tables, "vendor", keys)
+    assert allowed.count() and blocked.count()
+    assert changes.restrict_delete(tables, "vendor", keys, atomic=True)[0].count() == 0
+    new, refused = changes.cascade_delete(tables, "vendor", keys, atomic=True)
+    assert new["vendor"].count() == keys.count() and refused.count() == blocked.count()
+    fine = changes.cascade_delete(tables, "vendor", allowed, atomic=True)[0]
+    assert fine["vendor"].count() == keys.count() - allowed.count()
+    ids = [r.customer_id for r in t.customer.select("customer_id").collect()]
+    mapping = t.customer.sparkSession.createDataFrame(
+        [(ids[0], 9001), (10**6, 9002)], "old_id int, new_id int")
+    for atomic, want in ((False, 1), (True, 0)):
+        new, refused = changes.cascade_update(tables, "customer", mapping, atomic=atomic)
+        assert [r.reason for r in refused.collect()] == ["NO_SUCH_ROW"]
+        assert new["customer"].filter("customer_id = 9001").count() == want

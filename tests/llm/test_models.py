@@ -137,3 +137,64 @@ def test_mix_meets_budget_and_limit(spark):
     share = flat.groupby(flat["source"].fillna(""))["n_tokens"].sum() / budget
     assert share[""] == pytest.approx(0.5, rel=0.03)
     assert mixing.mixed(docs.limit(0), repetitions=2.0).count() == 0
+
+
+def test_tree_equals_brute_force_at_any_depth(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(rng.randrange(30)):
+            a = rng.choice("ab")
+            # what follows is told by the word three back only
+            words += rng.choice([[a, "x", "y", "p" if a == "a" else "q"], ["z", "y", "s"], [f"r{rng.randrange(40)}"]])
+        rows.append((i, " ".join(words)))
+    rows += [(1000, None), (None, "a x y p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    got = {r.doc_id: r for r in suffix_tree_lm.score_documents(
+        docs, suffix_tree_lm.fit(train), block_bytes=2000).collect()}
+
+    tokens = {d: [*(t or "").split(), None] for d, t in rows}
+    # every context of a text, of any length, from END on
+    follows = collections.defaultdict(collections.Counter)
+    used = [ts for d, ts in tokens.items() if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    count = collections.Counter(x for ts in used for x in ts)
+    total, den = sum(count.values()), sum(count.values()) + 0.5 * (len(count) + 1)
+    for ts in used:
+        for i, x in enumerate(ts):
+            for k in range(1, i + 2):
+                follows[tuple([None, *ts][i + 1 - k:i + 1])][x] += 1
+    kept = {}
+
+    def p(context, x):
+        if not context:
+            return (count[x] + 0.5) / den
+        parent = p(context[1:], x)
+        if context not in kept:
+            return parent
+        n, entries, k, size, rest = kept[context]
+        return ((entries[x] if x in entries else rest * parent) + k * parent) / (size + k)
+
+    for length in range(1, 100):
+        found = {}
+        for c, n in follows.items():
+            size = sum(n.values())
+            entries = {x: m for x, m in n.items() if m >= suffix_tree_lm.ENTRY_COUNT}
+            if len(c) != length or size < suffix_tree_lm.CONTEXT_COUNT or not entries:
+                continue
+            parent = {x: p(c[1:], x) for x in entries}
+            rest, left = size - sum(entries.values()), 1 - sum(parent.values())
+            gain = sum(m * math.log(m / size / parent[x]) for x, m in entries.items())
+            gain += rest * math.log(rest / size / max(left, 1e-12)) if rest else 0
+            if gain >= 0.5 * len(entries) * math.log(size) and gain >= suffix_tree_lm.LEAST_DIVERGENCE * size:
+                found[c] = (n, entries, len(entries) + 1, size, rest / max(left, 1e-9))
+        kept |= found
+        if not found:
+            break
+    assert length > 3  # contexts of three words are kept
+    for d, ts in tokens.items():
+        want = sum(math.log10(p(tuple([None, *ts][:i + 1]), x)) if i < 12 else
+                   math.log10(p(tuple(ts[i - 12:i]), x)) for i, x in enumerate(ts))
+        assert got[d].score == pytest.approx(want, rel=1e-9)
+        assert got[d].train_tokens == total

@@ -3,7 +3,8 @@
 Two tags (other, toxic) over the letter runs of a text. Token labels come from the
 document labels: document counts of every token and token prefix, gathered
 over all training documents, give log odds; tokens of toxic documents with high odds are labelled toxic.
-The field is fitted on a bounded sample of documents by its likelihood. Forward-backward
+The lexicon holds every key whose odds are significant among all keys tested.
+The field is fitted on a bounded sample of documents of each label by its likelihood. Forward-backward
 marginals give the spans; their sum and maximum give, calibrated on the
 sample's document labels, the document's score.
 """
@@ -17,9 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 from storeline.llm import blocks as B
 from storeline.llm.samples import fit_logistic, labelled, predict, sigmoid
 
-SAMPLE_DOCS = 3000      # documents that the scores are calibrated on
-FIELD_DOCS = 400        # of them, those that the field is fitted on
-LEXICON = 20000         # tokens and prefixes with the highest odds that become features
+SAMPLE_DOCS = 4000      # documents that the scores are calibrated on
+FIELD_DOCS = 400        # documents that the field is fitted on, half of them of each label
 MIN_DOCS = 3
 PRIOR = 5               # documents of the usual mix that every key is taken to have besides its own
 PREFIXES = (4, 5, 6)
@@ -191,11 +191,24 @@ def _document_features(post: np.ndarray, text: np.ndarray, n: int) -> np.ndarray
     return out
 
 
+def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> pd.DataFrame:
+    """text, y, field (at most FIELD_DOCS / 2 documents of each label) and calibrate (at most ``sample_docs``),
+    all chosen by a hash of doc_id and in its order, whatever the table's order; of a repeated doc_id one text."""
+    parts = [labelled(labels, "toxic", sample_docs, fold=0).withColumns({"field": F.lit(False), "calibrate": F.lit(True)})]
+    parts += [labelled(labels, "toxic", FIELD_DOCS // 2, fold=0, only=y).withColumns(
+        {"field": F.lit(True), "calibrate": F.lit(False)}) for y in (0, 1)]
+    ids = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("doc_id", "y").agg(
+        F.max("field").alias("field"), F.max("calibrate").alias("calibrate"))
+    rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(
+        "doc_id", "y", "field", "calibrate").agg(F.min("text").alias("text"), F.xxhash64("doc_id").alias("place"))
+    return rows.toPandas().sort_values(["place", "doc_id"], ignore_index=True).drop(columns=["doc_id", "place"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model: lexicon, field weights, calibration. ``labels``: doc_id, toxic.
 
-    Token counts cover all labelled documents outside the held-out fold; the field is
-    fitted on at most FIELD_DOCS of them, the calibration on at most ``sample_docs``.
+    Token counts cover all labelled documents outside the held-out fold; the field and the
+    calibration are fitted on ``sampled`` ones.
     """
     rows = labelled(labels, "toxic", 2**31 - 1, fold=0)
     train = docs.where("doc_id is not null").select("doc_id", "text").join(rows, "doc_id")
@@ -206,14 +219,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     share = (toxic + 1) / (toxic + clean + 2)
     odds = (F.log((F.col("toxic") + PRIOR * share) / (F.col("clean") + PRIOR * (1 - share)))
             - F.lit(float(np.log(share / (1 - share)))))
-    top = (counts.where(F.col("toxic") >= MIN_DOCS).select("key", odds.alias("odds")).where("odds > 0.5")
-           .orderBy(F.desc("odds"), "key").limit(LEXICON).toPandas())
+    tested = counts.where(F.col("toxic") >= MIN_DOCS).withColumn("n", F.col("toxic") + F.col("clean")).checkpoint()
+    # likelihood ratio of the key's own share against the usual one, at one false key among all tested
+    gain = 2 * (F.col("toxic") * F.log(F.col("toxic") / F.col("n") / share) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / F.col("n") / (1 - share))).otherwise(0.0))
+    top = (tested.select("key", odds.alias("odds"), gain.alias("gain")).where("odds > 0.5")
+           .where(F.col("gain") >= 2 * float(np.log(max(tested.count(), 1)))).select("key", "odds").toPandas())
     key = top["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     model = {"lexicon": (key[order], top["odds"].to_numpy(float)[order])}
-    ids = F.broadcast(labelled(labels, "toxic", sample_docs, fold=0))
-    pdf = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "y").toPandas()
-    head = pdf.head(FIELD_DOCS)
+    pdf = sampled(docs, labels, sample_docs)
+    head = pdf[pdf["field"]].reset_index(drop=True)
+    pdf = pdf[pdf["calibrate"]].reset_index(drop=True)
     _, _, text, keys = token_keys(head["text"])
     x = features(keys, text, model["lexicon"])
     strong = x[:, 1:N_FEATURES - 2].reshape(len(x), len(PREFIXES) + 1, 4)[:, :, 2:].any((1, 2))

@@ -198,3 +198,33 @@ def test_tree_equals_brute_force_at_any_depth(spark):
                    math.log10(p(tuple(ts[i - 12:i]), x)) for i, x in enumerate(ts))
         assert got[d].score == pytest.approx(want, rel=1e-9)
         assert got[d].train_tokens == total
+
+
+def test_toxicity_on_a_clustered_table(spark):
+    rng = random.Random(5)
+
+    def text(words, n=30):
+        return " ".join(rng.choice(words) for _ in range(n))
+    calm = [f"calm{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    # one clean source comes first and holds a third of all rows; toxic documents lie behind it
+    rows = [(i, text(calm), 0) for i in range(900)]
+    rows += [(900 + i, text(calm, 25) + (" vileword grimword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(1)
+    docs, labels = frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+    picked = toxicity_crf.sampled(docs, labels)
+    assert picked[picked["field"]]["y"].value_counts().to_dict() == {0: 200, 1: 200}
+    assert toxicity_crf.sampled(docs.orderBy("text"), labels).equals(picked)
+    out = toxicity_crf.tag_documents(docs, toxicity_crf.fit(docs, labels)).toPandas().set_index("doc_id")
+    for d, _, y in rows:
+        assert (out.loc[d, "score"] >= 0.5) == (y == 1) and (len(out.loc[d, "spans"]) == 2) == (y == 1)
+
+
+def test_lexicon_has_no_size_limit(spark):
+    def name(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+    # 24,000 words that only toxic documents hold
+    rows = [(i, " ".join(name(j) for j in range(i % 40 * 600, i % 40 * 600 + 600)) if i < 1200 else "calm text", int(i < 1200))
+            for i in range(3600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_crf.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert len(model["lexicon"][0]) >= 24_000

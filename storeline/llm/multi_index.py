@@ -7,8 +7,9 @@ a codeword's region. A link (cosine >= c) means a squared distance of at most 2
 when the sum exceeds that: every link is met (target recall 1). Pairs met are verified by their cosine in
 double precision.
 
-Equal vectors are one vertex with a count. A cell's residents are cut into blocks of a
-bounded size; a block returns link counts and a spanning forest, never the pairs.
+Equal vectors are one vertex with a count. The codebooks grow with the number of vectors. A cell's
+residents are cut into blocks of a bounded size, and so are its visitors; a pair of blocks
+returns link counts and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from storeline.llm.components import connected_components
 
 SAMPLE, CODEWORDS, BLOCK = 20000, 24, 512
+CELL = 128  # vectors for each cell of a grid that is larger than CODEWORDS squared
 
 
 def codebook(x: np.ndarray, k: int = CODEWORDS, rounds: int = 12) -> np.ndarray:
@@ -73,30 +75,21 @@ def _visits(batches, books: dict, most: float):
 
 
 def _links(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links of a block's residents with each other and with its visitors: (a: vertex, n: rows linked,
-    b: smallest vertex of its part of the block)."""
+    """Links of a block's residents with another block, or with each other when there is no other: (a: vertex,
+    n: rows linked, b: smallest vertex of its part of both blocks)."""
     pdf = pdf.sort_values("rep", ignore_index=True)
     x = np.array(pdf["vec"].tolist(), float)
     norm = np.sqrt((x * x).sum(1))
-    ids, rows, resident = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["resident"].to_numpy(bool)
-    r = np.flatnonzero(resident)
-    n = np.zeros(len(ids), np.int64)
+    ids, rows, one = pdf["rep"].to_numpy(), pdf["m"].to_numpy(), pdf["resident"].to_numpy(bool)
+    link = (x @ x.T) / (norm[:, None] * norm[None, :]) >= least
+    same = pdf["block"].iloc[0] == pdf["met"].iloc[0]
+    link &= ~np.eye(len(ids), dtype=bool) if same else one[:, None] != one[None, :]
+    n = link @ rows
     label = np.arange(len(ids))
-    near = []
-    for at in range(0, len(ids), 2048):
-        part = np.arange(at, min(at + 2048, len(ids)))
-        link = (x[part] @ x[r].T) / (norm[part][:, None] * norm[r][None, :]) >= least
-        link &= part[:, None] != r[None, :]
-        n[part] += link @ rows[r]
-        # what visits from elsewhere counts for the resident too
-        n[r] += rows[part][~resident[part]] @ link[~resident[part]]
-        p, q = np.nonzero(link)
-        near.append((part[p], r[q]))
-    p, q = (np.concatenate(c) for c in zip(*near))
+    p, q = np.nonzero(link)
     while len(p):
         low = label.copy()
         np.minimum.at(low, p, label[q])
-        np.minimum.at(low, q, label[p])
         low = low[low]
         if (low == label).all():
             break
@@ -123,24 +116,34 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     key = ["label", "vec"]
     vertex = rows.where("fine").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")).withColumn(
         "dim", F.size("vec")).checkpoint()
+    words = max(CODEWORDS, int(np.sqrt(vertex.count() / CELL)))
     sample = vertex.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dim", "vec").toPandas()
     books = {}
     for dim in [r[0] for r in vertex.select("dim").distinct().collect()]:
         own = sample[sample["dim"] == dim]["vec"].tolist() or [[1.0] + [0.0] * (dim - 1)]
         x = _unit(np.array(own, float).reshape(-1, dim))
-        books[dim] = codebook(x[:, :dim // 2]), codebook(x[:, dim // 2:])
+        books[dim] = codebook(x[:, :dim // 2], words), codebook(x[:, dim // 2:], words)
     schema = f"label {vectors.schema['label'].dataType.simpleString()}, vec array<double>, rep long, m long, dim int"
     seen = vertex.mapInPandas(lambda b: _visits(b, books, 2 - 2 * cosine + 1e-9),
                               schema + ", cell long, visits array<long>").checkpoint()
     place = ["label", "dim", "cell"]
-    size = seen.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    # a resident's block by hash; it visits the later blocks of its own cell and all of other cells
     visit = seen.select("label", "dim", "vec", "rep", "m", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
-    visit = visit.join(size, place).withColumn("home", F.when(
-        F.col("own") == F.col("cell"), F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.lit(0)))
-    visit = visit.withColumn("block", F.explode(F.sequence("home", F.col("blocks") - 1))).withColumn(
-        "resident", (F.col("own") == F.col("cell")) & (F.col("block") == F.col("home")))
-    links = visit.select(*place, "block", "rep", "m", "resident", "vec").groupBy(*place, "block").applyInPandas(
+    visit = visit.withColumn("lives", F.col("own") == F.col("cell"))
+    lives, goes = F.col("lives"), ~F.col("lives")
+    size = visit.groupBy(*place).agg(F.ceil(F.count_if(lives) / BLOCK).alias("blocks"),
+                                     F.ceil(F.count_if(goes) / BLOCK).alias("guests"))
+    # blocks by hash: a resident's block meets itself and the cell's other ones (the earlier of a pair counts
+    # as the residents'), and each of the visitors' blocks, which are numbered behind them
+    visit = visit.join(size.where("blocks > 0"), place).withColumn("home", F.when(
+        lives, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(
+            F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("guests"))))
+    visit = visit.withColumn("other", F.explode(F.when(
+        lives, F.sequence(F.lit(0), F.col("blocks") + F.col("guests") - 1)).otherwise(
+            F.sequence(F.lit(0), F.col("blocks") - 1))))
+    visit = visit.withColumns({"block": F.least("home", "other"), "met": F.greatest("home", "other"),
+                               "resident": F.col("home") <= F.col("other")})
+    links = visit.select(*place, "block", "met", "rep", "m", "resident", "vec").groupBy(
+        *place, "block", "met").applyInPandas(
         lambda pdf: _links(pdf, cosine), "a long, n long, b long").checkpoint()
     found = connected_components(links.select("a", "b"))
     count = links.groupBy("a").agg(F.sum("n").alias("n"))

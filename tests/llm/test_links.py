@@ -89,3 +89,22 @@ def test_pipeline_runs_all_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
     assert 0 < len(out) and set(out["doc_id"]) <= set(docs["doc_id"])
     assert (out["n_tokens"] == out["ids"].map(len)).all()
+
+
+def test_blocks_of_a_cell_are_bounded(spark, monkeypatch):
+    rng = np.random.RandomState(6)
+    x = rng.randn(8) + 0.02 * rng.randn(3000, 8)  # one label, one dense cell and its neighbours
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    largest = spark.sparkContext.accumulator(0)
+    pairs = spark.sparkContext.accumulator(0)
+    links = multi_index._links
+
+    def counted(pdf, least):
+        pairs.add(len(pdf) > 3 * multi_index.BLOCK)
+        largest.add(1)
+        return links(pdf, least)
+    monkeypatch.setattr(multi_index, "_links", counted)
+    monkeypatch.setattr(multi_index, "CODEWORDS", 2)
+    got = multi_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
+    assert (got["n_links"] == 2999).all() and (got["component_id"] == 0).all()
+    assert largest.value > 1 and pairs.value == 0

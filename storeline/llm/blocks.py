@@ -53,11 +53,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def with_blocks(docs: DataFrame, block_bytes: int, columns: list[str]) -> tuple[DataFrame, int]:
-    """``columns`` plus ``blk``, a hash of doc_id into blocks of about
-    ``block_bytes`` bytes of text, and the number of blocks."""
+    """``columns`` plus ``blk``, a hash of doc_id and text into blocks of about
+    ``block_bytes`` bytes of text, and the number of blocks. Rows of one doc_id, or of none, may lie in
+    several blocks; rows that repeat both lie in one."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n)).alias("blk")), n
+    return docs.select(*columns, F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(n)).alias("blk")), n
 
 
 def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:

@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     sent = sent.select("rep", *key, "grp", F.least(own, far).alias("low"), F.greatest(own, far).alias("high"),
                        (own > far).cast("int").alias("side"))
     sets = known.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
-        lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>")
+        lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>").dropDuplicates(["rep", *key])
     links = sent.join(sets, ["rep", *key]).groupBy("grp", "low", "high").applyInPandas(
         lambda pdf: _links(pdf, percent), "a long, b long").checkpoint()
     found = connected_components(links)

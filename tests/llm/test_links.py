@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from storeline.llm import entry, multi_index, superminhash
+from storeline.llm import blocks, entry, multi_index, superminhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -108,3 +108,23 @@ def test_blocks_of_a_cell_are_bounded(spark, monkeypatch):
     got = multi_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas()
     assert (got["n_links"] == 2999).all() and (got["component_id"] == 0).all()
     assert largest.value > 1 and pairs.value == 0
+
+
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text)] * 200 + [(2, text + " end")]
+    many = spark.sparkContext.accumulator(0)
+    links = superminhash._links
+
+    def counted(pdf, percent):
+        many.add(len(pdf) > 2)
+        return links(pdf, percent)
+    monkeypatch.setattr(superminhash, "_links", counted)
+    got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == 201 and (got["component_id"] == 1).all() and many.value == 0
+
+
+def test_rows_without_id_lie_in_several_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    texts, n = blocks.with_blocks(docs, 1000, ["doc_id", "text"])
+    assert n > 3 and texts.groupBy("blk").count().agg({"count": "max"}).first()[0] < 200

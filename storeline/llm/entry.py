@@ -1,7 +1,7 @@
 """The subpackage's queries, by name, and DuckDB SQL for those that SQL can express.
 
-None of the operators has SQL that finishes on whole tables in reasonable time or gives the same hashes;
-``tests/llm`` compares each with a brute-force version instead.
+The others have no SQL that finishes on whole tables in reasonable time or gives the same hashes;
+``tests/llm`` compares them with brute-force versions instead.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from storeline.llm.cotraining import op4_cotraining
+from storeline.llm import merkle
+from storeline.llm.merkle import op13_merkle_manifest
 from storeline.llm.mixing import op2_mixing
 from storeline.llm.multi_index import op5_multi_index
 from storeline.llm.piece_bpe import op3_piece_bpe
@@ -23,7 +25,7 @@ from storeline.llm.winnowing import op7_winnowing
 from storeline.session import ensure_checkpoint_dir, ship_package
 
 OPERATORS = [op1_suffix_tree_lm, op2_mixing, op3_piece_bpe, op4_cotraining, op5_multi_index, op6_superminhash,
-             op7_winnowing, op8_substring_rlz, op9_suffix_array, op10_toxicity_crf]
+             op7_winnowing, op8_substring_rlz, op9_suffix_array, op10_toxicity_crf, op13_merkle_manifest]
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -45,4 +47,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_manifest": merkle.sql()}

@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storeline.llm import divergence, merkle, pivot_index
 from storeline.llm.cotraining import op4_cotraining
-from storeline.llm import merkle
+from storeline.llm.divergence import op11_source_divergence
 from storeline.llm.merkle import op13_merkle_manifest
 from storeline.llm.mixing import op2_mixing
 from storeline.llm.multi_index import op5_multi_index
 from storeline.llm.piece_bpe import op3_piece_bpe
+from storeline.llm.pivot_index import op12_pivot_top_k
 from storeline.llm.substring_rlz import op8_substring_rlz
 from storeline.llm.suffix_array import op9_suffix_array
 from storeline.llm.suffix_tree_lm import op1_suffix_tree_lm
@@ -25,7 +27,7 @@ from storeline.llm.winnowing import op7_winnowing
 from storeline.session import ensure_checkpoint_dir, ship_package
 
 OPERATORS = [op1_suffix_tree_lm, op2_mixing, op3_piece_bpe, op4_cotraining, op5_multi_index, op6_superminhash,
-             op7_winnowing, op8_substring_rlz, op9_suffix_array, op10_toxicity_crf, op13_merkle_manifest]
+             op7_winnowing, op8_substring_rlz, op9_suffix_array, op10_toxicity_crf, op11_source_divergence, op12_pivot_top_k, op13_merkle_manifest]
 
 
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -47,4 +49,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_merkle_manifest": merkle.sql()}
+    return {"op11_source_divergence": divergence.SQL, "op12_pivot_top_k": pivot_index.SQL,
+            "op13_merkle_manifest": merkle.sql()}

@@ -221,7 +221,7 @@ t AS (SELECT 0 AS level, source, pos, n, leaf AS digest FROM p
       SELECT level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM t
       WHERE n > 1 GROUP BY level, source, pos // 3, n),
 s AS (SELECT source, digest, level AS height,
-             row_number() OVER (ORDER BY (source IS NOT NULL), CAST(source AS BLOB)) - 1 AS pos,
+             row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
              count(*) OVER () AS n FROM t WHERE n = 1),
 u AS (SELECT 0 AS level, pos, n, digest FROM s
       UNION ALL

@@ -7,12 +7,13 @@ All are aggregations and semi/anti-joins on keys.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeline.schemas import SPECS, ForeignKey
+from storeline.session import ensure_checkpoint_dir
 
 ACCEPTED = "ACCEPTED"
 LAST_ITEM = "LAST_ITEM"
@@ -117,6 +118,55 @@ def guard_update_items(items: DataFrame, updates: DataFrame, atomic: bool = Fals
     return new_items, decisions
 
 
+# C2 and C3, row by row ----------------------------------------------------
+
+def replay_item_changes(items: DataFrame, changes: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Apply a log of single-row deletes and updates one by one.
+
+    ``changes``: ``sale_id, product_upc, new_quantity, delete`` (boolean) and
+    the columns ``order_by``; rows that these do not tell apart are taken in the order of the log.
+    Each change sees the receipt as the accepted ones before it left it, so the deletes of a whole receipt
+    remove all but its last item. Decisions: ``ACCEPTED``; ``NO_SUCH_ROW``, also for an item
+    deleted before; ``LAST_ITEM`` for a delete on a receipt of one; ``LAST_ITEM_ZERO`` for a
+    quantity <= 0 on a receipt of one; else ``CHECK_QUANTITY`` and ``NOT_NULL`` for such a quantity.
+    Returns ``(new_items, decisions)``; decisions carry all columns of ``changes``.
+
+    A receipt of n items loses the first n - 1 of its products for which a delete arrives, each at its
+    first delete; the n-th stays for good. So no receipt's log is walked: the first delete of each
+    (receipt, product) is an aggregate, its place among the receipt's products a row number, and a receipt has one item
+    left from the (n - 1)-th of them on.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    log = changes.withColumn("_line", F.monotonically_increasing_id()).checkpoint(eager=True)
+    at = F.struct(*order_by, "_line")
+    log = log.withColumn("_at", at)
+    firsts = (log.filter("delete").groupBy(*ITEM_KEY).agg(F.min("_at").alias("_first"))
+              .join(items.select(*ITEM_KEY), ITEM_KEY, "left_semi"))
+    place = F.row_number().over(Window.partitionBy("sale_id").orderBy("_first"))
+    touched = log.select("sale_id").distinct()
+    sizes = (items.join(touched, "sale_id", "left_semi").groupBy("sale_id").agg(F.count(F.lit(1)).alias("_n")))
+    firsts = firsts.withColumn("_place", place).join(sizes, "sale_id")
+    gone = firsts.filter(F.col("_place") < F.col("_n")).select(*ITEM_KEY, F.col("_first").alias("_gone"))
+    # when a receipt comes down to one item; those of one item are there from the start
+    single = sizes.join(firsts.filter(F.col("_place") == F.col("_n") - 1).select("sale_id", F.col("_first").alias("_single")),
+                        "sale_id", "left")
+    seen = (log.join(items.select(*ITEM_KEY).withColumn("_hit", F.lit(True)), ITEM_KEY, "left")
+            .join(gone, ITEM_KEY, "left").join(single, "sale_id", "left"))
+    q = F.col("new_quantity")
+    alone = (F.col("_n") == 1) | F.coalesce(F.col("_at") > F.col("_single"), F.lit(False))
+    decision = (F.when(F.col("_hit").isNull() | F.coalesce(F.col("_at") > F.col("_gone"), F.lit(False)), F.lit(NO_SUCH_ROW))
+                .when(F.col("delete"), F.when(alone, F.lit(LAST_ITEM)).otherwise(F.lit(ACCEPTED)))
+                .when(q.isNull(), F.lit(NOT_NULL))
+                .when((q <= 0) & alone, F.lit(LAST_ITEM_ZERO)).when(q <= 0, F.lit(CHECK_QUANTITY))
+                .otherwise(F.lit(ACCEPTED)))
+    decided = seen.withColumn("decision", decision)
+    last = (decided.filter(~F.col("delete") & (F.col("decision") == ACCEPTED))
+            .groupBy(*ITEM_KEY).agg(F.max_by("new_quantity", "_at").alias("_set")))
+    new_items = (items.join(gone.select(*ITEM_KEY), ITEM_KEY, "left_anti").join(last, ITEM_KEY, "left")
+                 .withColumn("quantity", F.coalesce("_set", "quantity").cast("int")).select(*items.columns))
+    return new_items, decided.select(*changes.columns, "decision")
+
+
 # C4 / C5 -----------------------------------------------------------------
 
 def _children(parent: str) -> list[tuple[str, ForeignKey]]:

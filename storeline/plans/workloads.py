@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from storeline.functions.expressions import text_match
 from storeline.operators import changes, checks
 from storeline.operators.deduction import deduct_stock_atomic, deduct_stock_rows
+from storeline.operators.inserts import insert_line_items
 from storeline.plans.queries import reorder_alert
 from storeline.schemas import SALE_LINE_ITEM, SPECS
 from storeline.sources.loader import load_positional, load_validated
@@ -107,6 +108,56 @@ def reorder_alert_after_sales(t: Tables) -> DataFrame:
     return reorder_alert(t.replace(stock=new_stock))
 
 
+# receipts of the source repeat some line numbers; the smaller quantity comes first then
+LINE_ORDER = ("date_time", "sale_id", "line_no", "quantity")
+
+
+def inserted_lines(t: Tables, arriving: DataFrame, atomic: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every line sent again from the beginning, into a table that holds the items of the sales before
+    ARCHIVE_BEFORE: those are stored already, and receipts repeat some products."""
+    old = t.sale.filter(F.col("date_time") < F.lit(ARCHIVE_BEFORE).cast("timestamp_ntz")).select("sale_id")
+    stored = t.sale_line_item.join(old, "sale_id", "left_semi")
+    return insert_line_items(stored, t.stock, t.sale, arriving, order_by=LINE_ORDER, product=t.product, atomic=atomic)
+
+
+def insert_decisions(t: Tables, arriving: DataFrame, atomic: bool = False) -> DataFrame:
+    return inserted_lines(t, arriving, atomic)[2].select(
+        "sale_id", "line_no", "product_upc", "store_id", "quantity", "decision")
+
+
+def stock_after_insert(t: Tables, arriving: DataFrame) -> DataFrame:
+    """Stock rows that the inserted lines took from."""
+    return inserted_lines(t, arriving)[1].select(*t.stock.columns)
+
+
+def items_after_insert(t: Tables, arriving: DataFrame) -> DataFrame:
+    return inserted_lines(t, arriving)[0]
+
+
+def change_log(t: Tables) -> DataFrame:
+    """Single-row changes in the order of ``step``, then product: recalled products are set to zero, deleted and
+    set to five; restocked ones get one more; of the sales before ARCHIVE_BEFORE every item is deleted, then set to zero."""
+    def steps(items: DataFrame, first: int, *news) -> DataFrame:
+        one = [F.struct(F.lit(first + i).alias("step"), n.cast("int").alias("new_quantity"),
+                        F.lit(d).alias("delete")) for i, (n, d) in enumerate(news)]
+        return items.select("sale_id", "product_upc", F.explode(F.array(*one)).alias("c")).select(
+            "sale_id", "product_upc", "c.*")
+
+    none = F.lit(None)
+    old = t.sale.filter(F.col("date_time") < F.lit(ARCHIVE_BEFORE).cast("timestamp_ntz")).select("sale_id")
+    return (steps(_keyword_items(t, RECALL_KEYWORD), 1, (F.lit(0), False), (none, True), (F.lit(5), False))
+            .unionByName(steps(_keyword_items(t, RESTOCK_KEYWORD), 4, (F.col("quantity") + 1, False)))
+            .unionByName(steps(t.sale_line_item.join(old, "sale_id", "left_semi"), 5, (none, True), (F.lit(0), False))))
+
+
+def replayed_changes(t: Tables) -> DataFrame:
+    return changes.replay_item_changes(t.sale_line_item, change_log(t), ("step", "product_upc"))[1]
+
+
+def items_after_changes(t: Tables) -> DataFrame:
+    return changes.replay_item_changes(t.sale_line_item, change_log(t), ("step", "product_upc"))[0]
+
+
 def _keyword_items(t: Tables, keyword: str) -> DataFrame:
     hit = t.product.filter(text_match("name", keyword)).select("product_upc")
     return t.sale_line_item.join(hit, "product_upc", "left_semi")

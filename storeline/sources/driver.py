@@ -192,12 +192,6 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables({n: (lambda f=f: f(spark, sf_dir)) for n, f in _ADAPTERS.items()})
 
 
-def line_item_arrivals(t: Tables) -> DataFrame:
-    """Line items with their store and arrival order (sale time, sale id)."""
-    s = t.sale.select("sale_id", "date_time", "store_id")
-    return t.sale_line_item.join(s, "sale_id", "inner")
-
-
 def raw_lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item rows as they arrive (source types, one row per source line)."""
     li = _src(spark, sf_dir, "lineitem")
@@ -206,6 +200,13 @@ def raw_lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_quantity").alias("quantity"))
 
 
+def arriving_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a point of sale sends them: one row per source line, with its number on the receipt."""
+    li = _src(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("sale_id"), F.col("l_partkey").alias("product_upc"),
+                     F.col("l_quantity").cast("int").alias("quantity"), F.col("l_linenumber").cast("int").alias("line_no"))
+
+
 def positional_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order history rows with unnamed columns, in the declared column order."""
     return order_list(spark, sf_dir).toDF(*[f"_{i}" for i in range(1, 6)])

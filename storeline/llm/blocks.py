@@ -40,15 +40,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+_PIECE = 1 << 19
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to n-1, kept for the next call."""
+    """``base`` to the powers 0 to n-1; up to a million are kept for the next call."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = U(1)
-        _powers[int(base)] = have = np.cumprod(have, dtype=np.uint64)
+        np.cumprod(have, out=have)
+        if len(have) <= 1 << 20:
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -93,15 +96,21 @@ def word_spans(data: np.ndarray, starts: np.ndarray, letters: np.ndarray | None
 
 
 def span_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span ``[at, end)``; spans are in order, apart, not empty."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    n = end - at
-    total = np.concatenate([[0], np.cumsum(n)])
-    place = np.arange(total[-1]) - np.repeat(total[:-1], n)
-    inside = np.repeat(at, n) + place
-    values = BYTE[data[inside]] * powers(BASE, int(n.max()))[place]
-    return mix(np.add.reduceat(values, total[:-1]) + n.astype(np.uint64) * MIX)
+    """A 64-bit hash of each byte span ``[at, end)``; spans are in order, apart, not empty.
+
+    Spans are hashed in pieces of some _PIECE bytes: what is held for each byte is many times its size.
+    """
+    out = np.zeros(len(at), np.uint64)
+    size = end - at
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _PIECE, prepend=-1)).tolist() + [len(at)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        n = size[a:b]
+        total = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(total[-1]) - np.repeat(total[:-1], n)
+        inside = np.repeat(at[a:b], n) + place
+        values = BYTE[data[inside]] * powers(BASE, int(n.max()))[place]
+        out[a:b] = np.add.reduceat(values, total[:-1]) + n.astype(np.uint64) * MIX
+    return mix(out)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

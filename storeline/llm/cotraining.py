@@ -91,7 +91,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
                                     "text_x": list(text_view(part["text"]).astype(np.float32)),
                                     "meta_x": list(metadata_view(part).astype(np.float32))})
 
-    picked = docs.where("doc_id is not null").join(F.broadcast(ids), "doc_id")
+    picked = docs.where("doc_id is not null").select("doc_id", "text", "source", "lang").join(F.broadcast(ids), "doc_id")
     return (_views(picked, "doc_id", "y").mapInPandas(
         run, "doc_id long, y int, text_x array<float>, meta_x array<float>")
         .toPandas().sort_values("doc_id").drop_duplicates("doc_id"))
@@ -140,7 +140,7 @@ def score_documents(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_
     as they are; other columns are left out; an empty table gives an empty result.
     """
     inner = [f"keep_{i}" for i in range(len(keep))]
-    frame = docs.select("*", *[F.col(k).alias(i) for i, k in zip(inner, keep)])
+    frame = docs.select("text", "source", "lang", *[F.col(k).alias(i) for i, k in zip(inner, keep)])
     schema = ", ".join(f"{i} {docs.schema[k].dataType.simpleString()}" for i, k in zip(inner, keep))
 
     def run(batches):

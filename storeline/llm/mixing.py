@@ -61,15 +61,17 @@ def mixed(docs: DataFrame, source: str = "source", budget: int | None = None, en
     permutation. ``budget``: tokens of the mix (default: those of ``docs``). Give ``entropy`` (nats) or
     ``repetitions``. No source exceeds its budget; a document is taken whole or not at all.
     A null source counts as the empty name. Documents without words cost nothing and are read as often as their
-    source; a source without any words gets weight 0 and no rows. Rows that repeat a doc_id share their
-    place in the permutation. Columns block, order_key, n_tokens and names that start with
+    source; a source without any words gets weight 0 and no rows. The place in the permutation comes from
+    doc_id, text and source, so rows without an id, or of one id, have places of their own; rows that repeat all three
+    share theirs. Columns block, order_key, n_tokens and names that start with
     mix_ are replaced if present. An empty table gives an empty result.
     """
     docs = docs.drop("block", "order_key", "n_tokens", *[c for c in docs.columns if c.startswith("mix_")])
     named = docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     named = named.withColumn("n_tokens", n_tokens(F.col("text")))
     # place in the last block's permutation: a fraction of the range of longs
-    place = F.xxhash64("doc_id", F.lit(seed))
+    row = F.xxhash64("doc_id", "text", "mix_source")
+    place = F.xxhash64(row, F.lit(seed))
     sized = named.select("mix_source", "n_tokens", place.alias("mix_place")).checkpoint()
     totals = sized.groupBy("mix_source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).where(
         "tokens > 0").checkpoint()
@@ -102,7 +104,7 @@ def mixed(docs: DataFrame, source: str = "source", budget: int | None = None, en
     out = out.withColumn("block", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))))
     # the last, partial block reads the permutation up to the cut
     return out.withColumn("order_key", F.when(F.col("block") == F.col("mix_full"), F.col("mix_place")).otherwise(
-        F.xxhash64("doc_id", F.lit(seed), F.col("block") + 1))).drop("mix_source", "mix_place", "mix_full", "mix_cut")
+        F.xxhash64(row, F.lit(seed), F.col("block") + 1))).drop("mix_source", "mix_place", "mix_full", "mix_cut")
 
 
 def _few(totals: DataFrame) -> bool:

@@ -105,7 +105,8 @@ class Picks:
         new = np.ones(len(first), bool)  # a run may go on in the next piece
         new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
         self.first, self.last = first[new], last[np.append(np.flatnonzero(new)[1:] - 1, len(last) - 1)]
-        self.h, self.anchor = h[new], anchor[new]
+        # an anchor is the smallest of its window's hashes; mixed, anchors spread evenly over the key ranges
+        self.h, self.anchor = B.mix(h[new]), anchor[new]
         self.doc = np.searchsorted(starts, self.first, "right") - 1
 
     def contexts(self) -> np.ndarray:

@@ -25,11 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id.
+
+    Of rows that repeat doc_id and text one stays. Rows without an id belong to no group; each text of theirs stays once.
+    """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     kept = superminhash.near_duplicates(docs, words=5, percent=80, bands=37, rows=6).where("kept")
-    return docs.join(kept.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +41,30 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     document of which nothing is left goes."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    out = substring_rlz.remove_repeated_passages(docs, keep=("lang", "source"), layout=True)
+    # the other columns travel as one text, whatever their types
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    name = "passage_" + "_".join(rest)
+    packed = docs.select("doc_id", "text", F.to_json(F.struct(*rest)).alias(name))
+    out = substring_rlz.remove_repeated_passages(packed, keep=(name,), layout=True)
     return out.where("n_removed = 0 or n_removed < n_words").select(
-        "doc_id", F.col("kept").alias("text"), "lang", "source",
-        F.char_length("kept").cast("long").alias("n_chars")).select(*docs.columns)
+        "doc_id", F.col("kept").alias("text"), F.char_length("kept").cast("long").alias("n_chars"),
+        F.from_json(name, docs.select(*rest).schema).alias(name)).select("doc_id", "text", "n_chars", f"`{name}`.*").select(
+        *[f"`{c}`" for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As flat a mix of sources as REPETITIONS allows, of as many tokens as there are."""
+    """As flat a mix of sources as REPETITIONS allows, of as many tokens as there are. Columns block, order_key
+    and n_tokens of the input come back null: the mix has its own."""
     ensure_checkpoint_dir(spark)
-    return mixing.mixed(docs, repetitions=REPETITIONS).select(*docs.columns)
+    own = ("block", "order_key", "n_tokens")
+    out = mixing.mixed(docs.drop(*own, *[c for c in docs.columns if c.startswith("mix_")]), repetitions=REPETITIONS).drop(*own)
+    return out.select(*[F.col(f"`{c}`") if c in out.columns else F.lit(None).cast(docs.schema[c].dataType).alias(c)
+                        for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it (they do unless it holds the space mark itself)."""
+    """Token ids of each text, and whether they decode to it (they do unless it holds the space mark itself).
+    Columns that ``documents`` does not have are left out."""
     import public_tokenizers
 
     ensure_checkpoint_dir(spark)

@@ -216,30 +216,62 @@ def renumber_stores_blocked(t: Tables) -> DataFrame:
     return blocked
 
 
-def _stream(t: Tables) -> DataFrame:
-    """Every sold item through the streaming deduction job (drained).
+# the history is replayed in at least four micro-batches at every size
+CHUNKS = 4
+EVENT_ORDER = ("date_time", "step", "sale_id")
+CORRECTED_AT = "1998-01-01"  # stock rows without a threshold are counted again at this time
+
+
+def _receipt_lines(t: Tables) -> DataFrame:
+    """Each item with its sale's store and time, as a point of sale emits it."""
+    return _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"), "sale_id", "left")
 
-    The stream's input is receipt lines: each item with its sale's store and
-    time, as a point of sale emits them, so the job never re-reads ``sale``.
-    The history is replayed in bounded micro-batches, in arrival order.
-    """
-    from storeline.streaming.stock_stream import run_to_completion, stage_in_arrival_chunks
 
-    lines = _items_with_order(t).join(t.sale.select("sale_id", "store_id", "date_time"),
-                                      "sale_id", "left")
-    # the history arrives in bounded, time-ordered micro-batches (one chunk each)
-    folder, chunks = stage_in_arrival_chunks(lines)
-    return run_to_completion(folder, lines.schema, t.stock, order_by=ARRIVAL_ORDER,
-                             files_per_batch=1 if chunks > 1 else None)
+def _replayed(t: Tables, events: DataFrame, order_by):
+    from storeline.streaming.arrivals import ROWS_PER_CHUNK
+    from storeline.streaming.stock_stream import replay
+
+    rows = events.count()
+    return replay(events, t.stock, order_by, rows_per_chunk=max(1, min(ROWS_PER_CHUNK, -(-rows // CHUNKS))))
 
 
 def stream_decisions(t: Tables) -> DataFrame:
-    return _stream(t).select("sale_id", "product_upc", "store_id", "quantity", "decision")
+    """Every sold item through the streaming deduction job (drained)."""
+    return _replayed(t, _receipt_lines(t), ARRIVAL_ORDER).decisions().select(
+        "sale_id", "product_upc", "store_id", "quantity", "decision")
 
 
 def stream_low_stock(t: Tables) -> DataFrame:
-    """Reorder alerts raised on the decision stream (level left below threshold)."""
-    from storeline.streaming.stock_stream import low_stock_alerts
-
-    return low_stock_alerts(_stream(t), t.stock).select(
+    """Reorder alerts raised by the stream (level left below threshold)."""
+    return _replayed(t, _receipt_lines(t), ARRIVAL_ORDER).alerts().select(
         "sale_id", "product_upc", "store_id", "level_after", "reorder_threshold")
+
+
+def stock_events(t: Tables) -> DataFrame:
+    """Receipt lines and changes of stock as one history, ordered by time and step.
+
+    Every order of ``order_list`` arrives as a delivery (RESTOCK); a product that a store orders without
+    having a stock row for it is listed at its first order, with a threshold of 10; stock rows without
+    a threshold are set to their reorder quantity, with a threshold of 5, at CORRECTED_AT.
+    """
+    none = F.lit(None)
+    lines = _receipt_lines(t).select(F.lit("LINE").alias("kind"), F.lit(2).alias("step"), "sale_id", "product_upc", "store_id",
+                                     "quantity", none.cast("int").alias("reorder_threshold"), "date_time")
+    orders = t.order_list.select(F.lit("RESTOCK").alias("kind"), F.lit(1).alias("step"), F.col("order_id").alias("sale_id"),
+                                 "product_upc", "store_id", F.col("order_quantity").alias("quantity"),
+                                 none.cast("int").alias("reorder_threshold"), F.col("order_datetime").alias("date_time"))
+    listed = (t.order_list.join(t.stock.select("product_upc", "store_id"), ["product_upc", "store_id"], "left_anti")
+              .groupBy("product_upc", "store_id").agg(F.min("order_datetime").alias("date_time"))
+              .select(F.lit("STOCK").alias("kind"), F.lit(0).alias("step"), none.cast("long").alias("sale_id"), "product_upc",
+                      "store_id", F.lit(0).alias("quantity"), F.lit(10).alias("reorder_threshold"), "date_time"))
+    counted = (t.stock.filter(F.col("reorder_threshold").isNull())
+               .select(F.lit("STOCK").alias("kind"), F.lit(0).alias("step"), none.cast("long").alias("sale_id"), "product_upc",
+                       "store_id", F.col("reorder_quantity").alias("quantity"), F.lit(5).alias("reorder_threshold"),
+                       F.lit(CORRECTED_AT).cast("timestamp_ntz").alias("date_time")))
+    return lines.unionByName(orders).unionByName(listed).unionByName(counted)
+
+
+def stream_restock(t: Tables) -> DataFrame:
+    """Sales, deliveries, listings and corrections through the stream: each event's decision and the level it left."""
+    return _replayed(t, stock_events(t), EVENT_ORDER).decisions().select(
+        "kind", "sale_id", "product_upc", "store_id", "quantity", "decision", "level_after", "reorder_threshold", "low")

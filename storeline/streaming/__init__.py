@@ -1,5 +1,5 @@
 """Structured Streaming jobs."""
 
 from storeline.streaming.stock_stream import (  # noqa: F401
-    StockKeeper, deduct_stock_stream, low_stock_alerts, run_to_completion, stream_stage_items,
+    StockKeeper, deduct_stock_stream, replay, run_to_completion,
 )

@@ -1,18 +1,25 @@
 """Stock deduction as a stateful Structured Streaming job.
 
-Receipt lines (item plus its sale's store and time) arrive as a stream,
-are grouped by a hash bucket of (product, store), and a stateful processor
-holds the remaining level of each key, seeded from the ``stock`` table. Decisions
+Events arrive as a stream: receipt lines (an item plus its sale's store and time) and changes of stock. They
+are grouped by a hash bucket of (product, store); a stateful processor holds level and threshold of each key as an
+entry of the bucket's map state, seeded from the ``stock`` table. Lines
 follow the row-by-row rule of ``operators.deduction``: NO_STOCK_ROW when the
 key has no stock, CHECK_QUANTITY for a non-positive quantity, SHORT when
 the level is too low (nothing consumed), else OK and the level drops.
+Changes of stock (``kind``):
+
+* ``STOCK`` — the shelf's level becomes ``quantity`` and its threshold ``reorder_threshold``: a product is
+  listed (LISTED) or its level corrected (CORRECTED); a level below 0 is refused (CHECK_LEVEL);
+* ``RESTOCK`` — ``quantity`` more (RESTOCKED; NO_STOCK_ROW, CHECK_QUANTITY);
+* ``DELIST`` — the row goes (DELISTED; NO_STOCK_ROW).
 
 Order: micro-batches in arrival order; inside a micro-batch the rows of one
-key are sorted by the arrival columns. State lives in the RocksDB state
+key are sorted by the arrival columns. A micro-batch reads and writes the entries of the keys that
+it touches, no others. State lives in the RocksDB state
 store under the query's checkpoint, so a lost executor or a restarted query
 resumes from the last committed batch. Each decision carries the remaining
-level, so ``level_after < reorder_threshold`` downstream is the reorder
-alert on a stream.
+level and says whether it left the level below the threshold: the reorder alert on the
+stream, written by the same job to a sink of its own.
 """
 
 from __future__ import annotations
@@ -28,17 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from storeline.operators.deduction import BAD_QTY, KEY, NO_STOCK, OK, SHORT
+from storeline.operators import fold
+from storeline.operators.deduction import BAD_QTY, NO_STOCK, OK, SHORT
+from storeline.operators.fold import KEY, take_in_order
 from storeline.session import scratch_path, ship_package
+from storeline.streaming import arrivals
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
-STATE_SCHEMA = "upc array<long>, store array<int>, level array<int>"
 KEYS_PER_BUCKET = 256
 MIN_BUCKETS = 64
 
+LINE, STOCK, RESTOCK, DELIST = "LINE", "STOCK", "RESTOCK", "DELIST"
+LISTED, CORRECTED, RESTOCKED, DELISTED, BAD_LEVEL = "LISTED", "CORRECTED", "RESTOCKED", "DELISTED", "CHECK_LEVEL"
+
 DECISION_SCHEMA = T.StructType([
     T.StructField("sale_id", T.LongType()),
     T.StructField("product_upc", T.LongType()),
@@ -46,86 +58,111 @@ DECISION_SCHEMA = T.StructType([
     T.StructField("quantity", T.IntegerType()),
     T.StructField("decision", T.StringType()),
     T.StructField("level_after", T.IntegerType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("reorder_threshold", T.IntegerType()),
+    T.StructField("low", T.BooleanType()),
 ])
 
 
+def _whole(v):
+    return None if v is None or pd.isna(v) else int(v)
+
+
+class Shelf:
+    """Level and threshold of one key while a micro-batch passes; no level, no stock row."""
+
+    def __init__(self, level: int | None, threshold: int | None):
+        self.level, self.threshold = level, threshold
+
+    def lines(self, quantity: pd.Series) -> tuple[np.ndarray, list]:
+        """Decisions and levels after each of a run of receipt lines."""
+        n = len(quantity)
+        if self.level is None:
+            return np.full(n, NO_STOCK, dtype=object), [None] * n
+        q = quantity.fillna(0).to_numpy(np.int64)
+        valid = q > 0
+        before, self.level = take_in_order(q, valid, self.level)
+        ok = valid & (q <= before)
+        return np.where(ok, OK, np.where(valid, SHORT, BAD_QTY)).astype(object), (before - np.where(ok, q, 0)).tolist()
+
+    def change(self, kind: str, quantity: int | None, threshold: int | None) -> str:
+        if kind == STOCK:
+            if quantity is None or quantity < 0:
+                return BAD_LEVEL
+            done = LISTED if self.level is None else CORRECTED
+            self.level, self.threshold = quantity, threshold
+            return done
+        if self.level is None:
+            return NO_STOCK
+        if kind == DELIST:
+            self.level = self.threshold = None
+            return DELISTED
+        if quantity is None or quantity <= 0:
+            return BAD_QTY
+        self.level += quantity
+        return RESTOCKED
+
+
 class StockKeeper(StatefulProcessor):
-    """Remaining levels of one bucket of (product, store) keys.
+    """Levels of one bucket of (product, store) keys.
 
     The grouping key is a hash bucket of (product, store), so one Python
-    call folds every key of the bucket that a micro-batch touches, instead of
-    one call per key. The bucket's state is one value holding parallel arrays
-    ``(upc, store, level)``, seeded once from ``stock`` as initial state.
+    call serves every key of the bucket that a micro-batch touches, instead of
+    one call per key. Each key is an entry of the bucket's map state.
     """
 
     def __init__(self, order_by: Sequence[str] = ("date_time", "sale_id")):
         self.order_by = tuple(order_by)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getValueState("levels", STATE_SCHEMA)
-
-    def _load(self) -> dict:
-        if not self.levels.exists():
-            return {}
-        upc, store, level = self.levels.get()
-        return dict(zip(zip(upc, store), level))
-
-    def _save(self, levels: dict) -> None:
-        keys = list(levels)
-        self.levels.update(([k[0] for k in keys], [k[1] for k in keys],
-                            [int(v) for v in levels.values()]))
+        self.shelves = handle.getMapState("shelves", "upc long, store int", "level int, threshold int")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        levels = self._load()
-        for u, st, lv in zip(initialState["product_upc"], initialState["store_id"],
-                             initialState["inventory_level"]):
-            levels[(int(u), int(st))] = int(lv)
-        self._save(levels)
+        for u, st, lv, th in zip(initialState["product_upc"], initialState["store_id"],
+                                 initialState["inventory_level"], initialState["reorder_threshold"]):
+            self.shelves.updateValue((int(u), int(st)), (int(lv), _whole(th)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
         # same order as Spark's ascending sort: missing values first
         pdf = pdf.sort_values([*KEY, *self.order_by], kind="stable", ignore_index=True,
                               na_position="first")
-        levels = self._load()
-        upc = pdf["product_upc"].to_numpy()
-        store = pdf["store_id"].to_numpy()
-        qty = pdf["quantity"].to_numpy()
-        n = len(pdf)
-        decision = np.empty(n, dtype=object)
-        after = np.full(n, -1, dtype=np.int64)
-        has = np.zeros(n, dtype=bool)
-        cur, r = None, None
-        for i in range(n):
-            k = (int(upc[i]), None if pd.isna(store[i]) else int(store[i]))
-            if k != cur:
-                if cur is not None and r is not None:
-                    levels[cur] = r
-                cur, r = k, levels.get(k)
-            q = qty[i]
-            if r is None:
-                decision[i] = NO_STOCK
-                continue
-            if pd.isna(q) or q <= 0:
-                decision[i] = BAD_QTY
-            elif q <= r:
-                r -= int(q)
-                decision[i] = OK
-            else:
-                decision[i] = SHORT
-            after[i] = r
-            has[i] = True
-        if cur is not None and r is not None:
-            levels[cur] = r
-        self._save(levels)
+        decision, after, threshold = np.empty(len(pdf), dtype=object), [], []
+        lines = (pdf["kind"] == LINE).to_numpy()
+        store = pdf["store_id"].fillna(-1)
+        edge = (pdf["product_upc"] != pdf["product_upc"].shift()) | (store != store.shift())
+        edges = [*np.flatnonzero(edge), len(pdf)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            st = _whole(pdf["store_id"].iat[a])
+            at = None if st is None else (int(pdf["product_upc"].iat[a]), st)
+            had = self.shelves.getValue(at) if at else None
+            shelf = Shelf(*(had or (None, None)))
+            i = a
+            while i < b:
+                if not lines[i]:
+                    decision[i] = shelf.change(pdf["kind"].iat[i], _whole(pdf["quantity"].iat[i]),
+                                               _whole(pdf["reorder_threshold"].iat[i])) if at else NO_STOCK
+                    after.append(shelf.level)
+                    j = i + 1
+                else:
+                    stop = np.flatnonzero(~lines[i:b])
+                    j = i + int(stop[0]) if len(stop) else b
+                    decision[i:j], left = shelf.lines(pdf["quantity"].iloc[i:j])
+                    after += left
+                threshold += [shelf.threshold] * (j - i)
+                i = j
+            now = None if shelf.level is None else (shelf.level, shelf.threshold)
+            if at and now is not None and now != (had and tuple(had)):
+                self.shelves.updateValue(at, now)
+            elif had is not None and now is None:
+                self.shelves.removeKey(at)
+        after, threshold = pd.array(after, dtype="Int32"), pd.array(threshold, dtype="Int32")
+        low = pd.Series(after < threshold).fillna(False).to_numpy(bool) & (decision == OK)
         yield pd.DataFrame({
-            "sale_id": pdf["sale_id"].astype("int64"),
-            "product_upc": pdf["product_upc"].astype("int64"),
-            "store_id": pdf["store_id"].astype("Int32"),
-            "quantity": pdf["quantity"].astype("Int32"),
-            "decision": decision,
-            "level_after": pd.Series(after, dtype="Int32").mask(~has),
-        })
+            "sale_id": pdf["sale_id"].astype("Int64"), "product_upc": pdf["product_upc"].astype("int64"),
+            "store_id": pdf["store_id"].astype("Int32"), "quantity": pdf["quantity"].astype("Int32"),
+            "decision": decision, "level_after": after, "kind": pdf["kind"],
+            "reorder_threshold": threshold, "low": low})
 
     def close(self) -> None:
         pass
@@ -138,7 +175,8 @@ def _pickle_processor_by_value() -> None:
     Python runner that does not see files added with ``addPyFile``; pickled
     by value, the processor needs nothing but pyspark, pandas and numpy.
     """
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    for module in (sys.modules[__name__], fold):
+        cloudpickle.register_pickle_by_value(module)
 
 
 def ensure_state_store(spark: SparkSession) -> None:
@@ -161,13 +199,20 @@ def default_buckets(stock: DataFrame) -> int:
     return max(MIN_BUCKETS, stock.count() // KEYS_PER_BUCKET)
 
 
+def as_events(items: DataFrame) -> DataFrame:
+    """Receipt lines as events; frames that have ``kind`` stay as they are."""
+    if "kind" in items.columns:
+        return items
+    return items.withColumn("kind", F.lit(LINE)).withColumn("reorder_threshold", F.lit(None).cast("int"))
+
+
 def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | None = None,
                         order_by: Sequence[str] = ("date_time", "sale_id"),
                         n_buckets: int | None = None) -> DataFrame:
     """Streaming decisions for a streaming ``items`` frame.
 
     ``items`` is a stream of receipt lines: ``sale_id, product_upc, quantity``
-    plus ``store_id`` and the arrival columns. Lines that do not carry their
+    plus ``store_id`` and the arrival columns; or of events, with ``kind`` and ``reorder_threshold`` too. Lines that do not carry their
     store are looked up in the static ``sale`` table (a stream-static join
     that re-reads ``sale`` every micro-batch, so prefer lines that carry it).
     Stock is loaded into the state once, as initial state; afterwards a
@@ -179,6 +224,7 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
     _pickle_processor_by_value()
     # the state is found by bucket: the number must not change with the stock table
     n_buckets = n_buckets or MIN_BUCKETS
+    items = as_events(items)
     missing = [c for c in ("store_id", *order_by) if c not in items.columns]
     if missing:
         if sale is None:
@@ -186,7 +232,7 @@ def deduct_stock_stream(items: DataFrame, stock: DataFrame, sale: DataFrame | No
         s = sale.select("sale_id", *[c for c in missing if c != "sale_id"])
         items = items.join(s, "sale_id", "left")
     keyed = items.withColumn("bucket", state_bucket(n_buckets))
-    init = (stock.select(*KEY, "inventory_level")
+    init = (stock.select(*KEY, "inventory_level", "reorder_threshold")
             .withColumn("bucket", state_bucket(n_buckets)).groupBy("bucket"))
     return keyed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StockKeeper(order_by), outputStructType=DECISION_SCHEMA,
@@ -208,6 +254,46 @@ def kept_buckets(stock: DataFrame, checkpoint_dir: str, n_buckets: int | None) -
     return n_buckets
 
 
+class Sinks:
+    """Decisions and reorder alerts of a stream: one Parquet folder for each micro-batch and sink, written over
+    when a micro-batch is run again. Alerts are read from the written decisions, so the stateful operator runs
+    once a micro-batch."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.root}/decisions/batch={batch_id}")
+        (batch.sparkSession.read.schema(DECISION_SCHEMA).parquet(f"{self.root}/decisions/batch={batch_id}")
+         .filter("low").write.mode("overwrite").parquet(f"{self.root}/alerts/batch={batch_id}"))
+
+    def _read(self, name: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], DECISION_SCHEMA)
+        return self.spark.read.schema(DECISION_SCHEMA).parquet(f"{self.root}/{name}").select(*DECISION_SCHEMA.names)
+
+    def decisions(self) -> DataFrame:
+        return self._read("decisions")
+
+    def alerts(self) -> DataFrame:
+        return self._read("alerts")
+
+
+def _drain(out: DataFrame, sinks: Sinks, checkpoint_dir: str, available_now: bool) -> None:
+    writer = out.writeStream.foreachBatch(sinks.write).option("checkpointLocation", checkpoint_dir)
+    q = (writer.trigger(availableNow=True) if available_now else writer).start()
+    try:
+        if available_now:
+            q.awaitTermination()
+        else:
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def run_to_completion(items_dir: str, items_schema: T.StructType | str, stock: DataFrame,
                       sale: DataFrame | None = None,
                       order_by: Sequence[str] = ("date_time", "sale_id"),
@@ -215,73 +301,34 @@ def run_to_completion(items_dir: str, items_schema: T.StructType | str, stock: D
                       checkpoint_dir: str | None = None,
                       n_buckets: int | None = None) -> DataFrame:
     """Drain every file under ``items_dir`` through the job and return the
-    decisions as a batch DataFrame (``availableNow`` trigger, Parquet sink,
-    checkpoint in the shared folder)."""
+    decisions as a batch DataFrame (``availableNow`` trigger, checkpoint in the shared folder)."""
     spark = stock.sparkSession
     reader = spark.readStream.schema(items_schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    items = reader.parquet(items_dir)
-    sink_dir = sink_dir or scratch_path(spark, "stock-stream-out")
+    sinks = Sinks(spark, sink_dir or scratch_path(spark, "stock-stream-out"))
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stock-stream-ckpt")
-    out = deduct_stock_stream(items, stock, sale, order_by, kept_buckets(stock, checkpoint_dir, n_buckets))
-    q = (out.writeStream.format("parquet").outputMode("append")
-         .option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.schema(DECISION_SCHEMA).parquet(sink_dir)
-
+    out = deduct_stock_stream(reader.parquet(items_dir), stock, sale, order_by,
+                              kept_buckets(stock, checkpoint_dir, n_buckets))
+    _drain(out, sinks, checkpoint_dir, available_now=True)
+    return sinks.decisions()
 
-def stream_stage_items(items: DataFrame, path: str | None = None) -> str:
-    """Write a batch of items as the stream's input files; returns the folder."""
-    path = path or scratch_path(items.sparkSession, "stock-stream-in")
-    items.write.mode("overwrite").parquet(path)
-    return path
 
+def replay(events: DataFrame, stock: DataFrame, order_by: Sequence[str] = ("date_time", "sale_id"),
+           rows_per_chunk: int = arrivals.ROWS_PER_CHUNK, sink_dir: str | None = None,
+           checkpoint_dir: str | None = None, n_buckets: int | None = None, staged: tuple[str, int] | None = None) -> Sinks:
+    """Stream a history of events through the job in arrival order, one chunk a micro-batch.
 
-def stage_in_arrival_chunks(lines: DataFrame, time_col: str = "date_time",
-                            rows_per_chunk: int = 1_000_000,
-                            path: str | None = None) -> tuple[str, int]:
-    """Stage a history of receipt lines as one file per arrival-time chunk.
-
-    Chunk bounds are approximate quantiles of ``time_col`` (one small
-    aggregate); chunks are written one after another, so the file source
-    reads them in arrival order, and with ``maxFilesPerTrigger=1`` each
-    micro-batch is one bounded chunk. Lines with equal times share a chunk,
-    so the in-batch order (time, then the other arrival columns) holds.
-    Returns the folder and the number of chunks: with one chunk the files are
-    written in parallel and must be read as a single micro-batch; with more,
-    read them with ``maxFilesPerTrigger=1``.
+    ``events`` carry their store and the arrival columns. ``staged``: folder and number of chunks when
+    they are staged already. A run on the ``checkpoint_dir`` of an earlier one goes on
+    after the chunks that it read. Returns the sinks.
     """
-    spark = lines.sparkSession
-    path = path or scratch_path(spark, "stock-stream-in")
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    n = lines.count()
-    k = max(1, -(-n // rows_per_chunk))
-    if k == 1:
-        # one chunk = one micro-batch: its files need no order among them
-        lines.write.mode("append").parquet(path)
-        return path, 1
-    probs = [i / k for i in range(1, k)]
-    cuts = lines.select(F.percentile_approx(t, probs, 10_000).alias("c")).first()["c"]
-    bounds = [None, *sorted(set(cuts)), None]
-    for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t >= lo)
-        if hi is not None:
-            cond = cond & (t < hi)
-        if i == 0:
-            # lines without a time sort first (ascending, nulls first)
-            cond = cond | t.isNull()
-        lines.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path, len(bounds) - 1
-
-
-def low_stock_alerts(decisions: DataFrame, stock: DataFrame) -> DataFrame:
-    """Reorder alert on the decision stream: items leaving the level below threshold."""
-    th = stock.select(*KEY, "reorder_threshold")
-    return (decisions.filter(F.col("decision") == OK).join(th, KEY)
-            .filter(F.col("level_after") < F.col("reorder_threshold")))
+    spark = stock.sparkSession
+    events = as_events(events)
+    folder, chunks = staged or arrivals.stage_by_arrival(events, order_by, rows_per_chunk)
+    sinks = Sinks(spark, sink_dir or scratch_path(spark, "stock-stream-out"))
+    checkpoint_dir = checkpoint_dir or scratch_path(spark, "stock-stream-ckpt")
+    stream = arrivals.read_arrivals(spark, folder, chunks, events.schema, checkpoint_dir)
+    out = deduct_stock_stream(stream, stock, order_by=order_by, n_buckets=kept_buckets(stock, checkpoint_dir, n_buckets))
+    _drain(out, sinks, checkpoint_dir, available_now=False)
+    return sinks

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from storeline.operators import changes
 from storeline.operators.deduction import deduct_stock_rows
@@ -205,7 +206,8 @@ def test_history_replayed_in_arrival_chunks(spark):
     import datetime as dt
     import random
 
-    from storeline.streaming.stock_stream import stage_in_arrival_chunks
+    from storeline.streaming.arrivals import stage_by_arrival
+    from storeline.streaming.stock_stream import as_events, replay
 
     rnd = random.Random(3)
     stock = spark.createDataFrame([(1, 10, 30, 5, 1), (2, 10, 12, 5, 1)], SPECS["stock"].schema)
@@ -216,10 +218,15 @@ def test_history_replayed_in_arrival_chunks(spark):
     rows += [(900, 1, 2, None, None), (901, 2, 1, None, None)]   # unknown sales: no time
     lines = spark.createDataFrame(rows, "sale_id long, product_upc long, quantity int, "
                                         "store_id int, date_time timestamp_ntz")
-    folder, k = stage_in_arrival_chunks(lines, rows_per_chunk=25)
+    order = ("date_time", "sale_id")
+    folder, k = stage_by_arrival(as_events(lines), order, rows_per_chunk=25)
     assert k >= 4
-    out = run_to_completion(folder, lines.schema, stock, order_by=("date_time", "sale_id"),
-                            files_per_batch=1, n_buckets=2)
+    # a chunk holds nothing that arrives after the next one begins
+    spans = (spark.read.parquet(folder).groupBy("chunk").agg(F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("b"))
+             .orderBy("chunk").collect())
+    key = lambda r: (r.date_time is not None, r.date_time or dt.datetime.min, r.sale_id)
+    assert len(spans) == k and all(key(x.b) < key(y.a) for x, y in zip(spans, spans[1:]))
+    out = replay(lines, stock, order, staged=(folder, k), n_buckets=2).decisions()
     _, batch = deduct_stock_rows(stock, None, lines, order_by=("date_time", "sale_id"))
     assert decisions(out) == decisions(batch)
     assert decisions(out)[(900, 1)] == "NO_STOCK_ROW" and len(decisions(out)) == 122

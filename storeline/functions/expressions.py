@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,19 +34,49 @@ def like_pattern(key: str) -> str:
     return "%" + key.replace("\\", "\\\\") + "%"
 
 
-ACCENT_INSENSITIVE = "UNICODE_CI_AI"
+#: Names, unique texts and ENUM labels compare without regard to case and accents.
+COLLATION = "UNICODE_CI_AI"
+
+
+def collated(c: Column) -> Column:
+    """``c`` for grouping, joining and membership tests under COLLATION."""
+    return F.collate(c, COLLATION)
+
+
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks and the letters that they are built on, then the combining marks alone."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and all(unicodedata.combining(x) for x in parts[1:]):
+            marked.append(chr(code))
+            plain.append(parts[0])
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+_MARKED, _PLAIN = _accents()
+
+
+def without_accents(c: Column) -> Column:
+    """``c`` in lower case, letters without their marks; combining marks go."""
+    return F.lower(F.translate(c, _MARKED, _PLAIN))
+
+
+def key_without_accents(key: str) -> str:
+    table = {ord(m): (_PLAIN[i] if i < len(_PLAIN) else None) for i, m in enumerate(_MARKED)}
+    return key.translate(table).lower()
 
 
 def text_match(column: str, key: str, literal: bool = False,
                accent_insensitive: bool = False) -> Column:
     """Case-insensitive substring match, as a ``LIKE '%key%'`` test.
 
-    ``accent_insensitive`` compares under a case- and accent-insensitive
-    collation (``'cafe'`` finds ``'Café'``); collated strings support
-    ``contains`` but not ``LIKE``, so the key is then matched literally.
+    ``accent_insensitive`` also ignores accents (``'caf_'`` finds ``'Café'``): collated strings refuse
+    ``LIKE``, so text and key are compared without their marks.
     """
     if accent_insensitive:
-        return F.contains(F.collate(F.col(column), ACCENT_INSENSITIVE), F.lit(key))
+        text, key = without_accents(F.col(column)), key_without_accents(key)
+        return text.contains(key) if literal else text.like(like_pattern(key))
     if literal:
         return F.lower(F.col(column)).contains(key.lower())
     return F.col(column).ilike(like_pattern(key))

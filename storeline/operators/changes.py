@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeline.schemas import SPECS, ForeignKey
@@ -249,58 +249,72 @@ def cascade_delete(tables: Mapping[str, DataFrame], table: str, keys: DataFrame,
 
 def cascade_update(tables: Mapping[str, DataFrame], table: str, mapping: DataFrame,
                    atomic: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Change single-column primary keys ``old_id -> new_id`` of ``table``.
+    """Change primary keys of ``table``: ``old_id -> new_id``, or for a key of several columns
+    ``old_<column>... -> new_<column>...``.
 
     ON UPDATE CASCADE children get the new value; a RESTRICT child (or no
     action clause) referencing the old key blocks the change, as does a new
     key that already exists or that two old keys are to get (``DUPLICATE_KEY``),
-    a NULL new key (``NOT_NULL``), an old key that no row has
-    (``NO_SUCH_ROW``), and one old key with several new ones
-    (``CONFLICTING_UPDATE``). A key mapped to itself is no change.
+    a NULL in the new key (``NOT_NULL``), an old key that no row has
+    (``NO_SUCH_ROW``), one old key with several new ones
+    (``CONFLICTING_UPDATE``), and a key column that refers to a given table where the new
+    value has no row (``FOREIGN_KEY:<table>``). A key mapped to itself is no change.
     ``atomic=True`` changes nothing when anything is blocked. Returns
-    ``(new_tables, blocked)`` with ``blocked = (old_id, new_id, reason)``.
+    ``(new_tables, blocked)``; ``blocked`` has the columns of the mapping and ``reason``.
     """
-    (pk,) = _key_cols(table)
+    pk = _key_cols(table)
     parent = tables[table]
-    typ = dict(parent.dtypes)[pk]
-    m = (mapping.select(F.col("old_id").cast(typ), F.col("new_id").cast(typ)).distinct()
-         .filter(~F.col("old_id").eqNullSafe(F.col("new_id"))))
-    exists = parent.select(F.col(pk).alias("new_id"))
-
-    def several(key: str, reason: str) -> DataFrame:
-        many = m.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        return m.join(many, key, "left_semi").select("old_id", "new_id").withColumn("reason", F.lit(reason))
-
-    dup = (m.join(exists, "new_id", "left_semi").select("old_id", "new_id")
-           .withColumn("reason", F.lit(DUPLICATE_KEY))
-           .unionByName(several("new_id", DUPLICATE_KEY))
-           .unionByName(several("old_id", CONFLICTING_UPDATE))
-           .unionByName(m.filter("new_id is null").withColumn("reason", F.lit(NOT_NULL)))
-           .unionByName(m.join(parent.select(F.col(pk).alias("old_id")), "old_id", "left_anti")
-                        .select("old_id", "new_id").withColumn("reason", F.lit(NO_SUCH_ROW))))
-    restrict = []
+    types = dict(parent.dtypes)
+    given = ([("old_id", "new_id")] if len(pk) == 1 else [(f"old_{c}", f"new_{c}") for c in pk])
+
+    def key(*columns: Column) -> Column:
+        return F.struct(*[v.cast(types[c]).alias(c) for v, c in zip(columns, pk)])
+
+    m = (mapping.select(key(*[F.col(o) for o, _ in given]).alias("old"), key(*[F.col(n) for _, n in given]).alias("new"))
+         .distinct().filter(~F.col("old").eqNullSafe(F.col("new"))))
+    here = key(*[F.col(c) for c in pk])
+
+    def several(side: str, reason: str) -> DataFrame:
+        many = m.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        return because(m.join(many, side, "left_semi"), reason)
+
+    def because(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select("old", "new", F.lit(reason).alias("reason"))
+
+    no_key = F.exists(F.array(*[F.col(f"new.{c}").isNull() for c in pk]), lambda x: x)
+    blocked = (because(m.join(parent.select(here.alias("new")), "new", "left_semi"), DUPLICATE_KEY)
+               .unionByName(several("new", DUPLICATE_KEY))
+               .unionByName(several("old", CONFLICTING_UPDATE))
+               .unionByName(because(m.filter(no_key), NOT_NULL))
+               .unionByName(because(m.join(parent.select(here.alias("old")), "old", "left_anti"), NO_SUCH_ROW)))
     for child, fk in _children(table):
         if child in tables and fk.on_update != "CASCADE":
-            (c,) = fk.columns
-            hit = m.join(tables[child].select(F.col(c).alias("old_id")), "old_id", "left_semi")
-            restrict.append(hit.withColumn("reason", F.lit(f"{RESTRICTED}:{child}")))
-    blocked = dup
-    for r in restrict:
-        blocked = blocked.unionByName(r)
-    blocked = blocked.groupBy("old_id", "new_id").agg(_names("reason").alias("reason"))
-    ok = m.filter("old_id is not null").join(blocked.select("old_id"), "old_id", "left_anti")
+            at = dict(zip(fk.parent_columns, fk.columns))
+            used = tables[child].select(key(*[F.col(at[c]) for c in pk]).alias("old"))
+            blocked = blocked.unionByName(because(m.join(used, "old", "left_semi"), f"{RESTRICTED}:{child}"))
+    for fk in SPECS[table].foreign_keys:
+        if fk.parent in tables and set(fk.columns) <= set(pk):
+            known = tables[fk.parent].select(*[F.col(p).alias(f"_{p}") for p in fk.parent_columns])
+            found = [F.col(f"new.{c}") == F.col(f"_{p}") for c, p in zip(fk.columns, fk.parent_columns)]
+            blocked = blocked.unionByName(because(m.filter(~no_key).join(known, found, "left_anti"), f"FOREIGN_KEY:{fk.parent}"))
+    blocked = blocked.groupBy("old", "new").agg(_names("reason").alias("reason"))
+    ok = m.join(blocked.select("old"), "old", "left_anti")
     if atomic:
         ok = ok.filter(~blocked.exists())
 
-    def remap(df: DataFrame, col: str) -> DataFrame:
-        typ = dict(df.dtypes)[col]
-        j = df.join(ok.select(F.col("old_id").alias(col), F.col("new_id").alias("_new")),
-                    col, "left")
-        return j.withColumn(col, F.coalesce("_new", col).cast(typ)).select(*df.columns)
+    def remap(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """``df`` with the key in ``columns`` (in the order of the primary key) changed."""
+        own = dict(df.dtypes)
+        moved = df.join(ok, key(*[F.col(c) for c in columns]) == F.col("old"), "left")
+        return moved.select(*[
+            F.when(F.col("new").isNotNull(), F.col(f"new.{pk[columns.index(c)]}")).otherwise(F.col(c)).cast(own[c]).alias(c)
+            if c in columns else F.col(c) for c in df.columns])
 
     out = {table: remap(parent, pk)}
     for child, fk in _children(table):
         if child in tables and fk.on_update == "CASCADE":
+            at = dict(zip(fk.parent_columns, fk.columns))
             # a child with several cascading keys takes every remap in turn
-            out[child] = remap(out.get(child, tables[child]), fk.columns[0])
-    return out, blocked
+            out[child] = remap(out.get(child, tables[child]), [at[c] for c in pk])
+    return out, blocked.select(*[F.col(f"old.{c}").alias(o) for c, (o, _) in zip(pk, given)],
+                               *[F.col(f"new.{c}").alias(n) for c, (_, n) in zip(pk, given)], "reason")

@@ -11,11 +11,12 @@ parts written ``NULL``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from storeline.functions.expressions import collated
 from storeline.schemas import SPECS, VIOLATION_SCHEMA, TableSpec
 
 NULL_TEXT = "NULL"
@@ -110,14 +111,21 @@ def check_primary_key(tables: Mapping[str, DataFrame],
 
 # I2 ----------------------------------------------------------------------
 
+def unique_key(df: DataFrame, c: str) -> Column:
+    """What a unique column is compared by: texts without regard to case and accents."""
+    return collated(F.col(c)) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+
+
 def check_unique(tables: Mapping[str, DataFrame],
                  specs: Mapping[str, TableSpec] | None = None) -> DataFrame:
-    """Secondary unique columns; NULLs never collide."""
+    """Secondary unique columns; NULLs never collide. Texts that differ in case or accents
+    only are equal; the smallest of them is the key."""
     parts = []
     for name, spec, df in _items(tables, specs):
         for c in spec.unique:
-            dup = (df.select(c).filter(F.col(c).isNotNull()).groupBy(c).count()
-                     .filter(F.col("count") > 1))
+            dup = (df.select(c).filter(F.col(c).isNotNull())
+                     .groupBy(unique_key(df, c).alias("_k")).agg(F.count(F.lit(1)).alias("count"), F.min(c).alias(c))
+                     .filter(F.col("count") > 1).drop("_k"))
             parts.append(_v(dup, name, "UNIQUE", F.col(c).cast("string"),
                             F.concat(F.lit(f"{c} rows="), F.col("count").cast("string"))))
     return _union(_spark(tables), parts)
@@ -184,8 +192,13 @@ def check_range(tables: Mapping[str, DataFrame],
 
 # I6 ----------------------------------------------------------------------
 
+def outside_domain(c: str, allowed: Sequence[str]) -> Column:
+    """Whether a set value is none of the labels, which are compared without regard to case and accents."""
+    return F.col(c).isNotNull() & ~collated(F.col(c)).isin(*allowed)
+
+
 def _domain_rules(spec: TableSpec):
-    return [("DOMAIN", c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
+    return [("DOMAIN", c, outside_domain(c, allowed),
              F.concat(F.lit(f"{c}="), F.col(c))) for c, allowed in spec.domains.items()]
 
 

@@ -34,8 +34,7 @@ def product_availability(t: Tables, key: str, literal: bool = False,
 
     A non-numeric key never equals a UPC. With ``literal=False`` the key's own
     ``%``/``_`` act as wildcards, as in ``LIKE '%key%'``; ``literal=True``
-    matches the text as is; ``accent_insensitive=True`` also ignores accents
-    (literal match under a collation). An empty key matches every product.
+    matches the text as is; ``accent_insensitive=True`` also ignores accents. An empty key matches every product.
     """
     upc = key_as_bigint(key)
     cond = (text_match("name", key, literal, accent_insensitive)

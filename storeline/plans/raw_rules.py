@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storeline.operators import changes, checks
+from storeline.plans import queries as Q
 from storeline.plans.workloads import ARCHIVE_BEFORE
 from storeline.schemas import SPECS
 from storeline.sources.loader import load_validated
@@ -103,3 +104,35 @@ def conflicting_renumbering(t: Tables) -> DataFrame:
     """Pairs of customers are to get one new id: refused, but for a customer that has one alone."""
     mapping = t.customer.select(F.col("customer_id").alias("old_id"), F.expr("-(customer_id div 2)").alias("new_id"))
     return changes.cascade_update({n: t[n] for n in SPECS}, "customer", mapping)[1]
+
+
+# Collation: the same checks and the search on texts that differ in case and accents only.
+
+def _accented(name):
+    """The name in capitals where the part's size is even, with é for e where it is divisible by 3."""
+    name = F.when(F.col("p_size") % 2 == 0, F.upper(name)).otherwise(name)
+    return F.when(F.col("p_size") % 3 == 0, F.translate(name, "eE", "éÉ")).otherwise(name)
+
+
+def collated_unique(spark, sf_dir: str) -> DataFrame:
+    """Part names as vendor names: equal but for case and accents is equal."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return checks.check_unique({"vendor": part.select(F.col("p_partkey").alias("vendor_id"),
+                                                      _accented(F.col("p_name")).alias("vendor_name"))})
+
+
+def collated_domain(spark, sf_dir: str) -> DataFrame:
+    """Statuses written in small letters or with an accent are in the domain, other words are not."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    seg = F.col("c_mktsegment")
+    status = (F.when(seg == "AUTOMOBILE", "vip").when(seg == "BUILDING", "Góld").when(seg == "FURNITURE", "silver")
+              .otherwise(F.lower(seg)))
+    return checks.check_domain({"customer": c.select(F.col("c_custkey").alias("customer_id"), status.alias("loyalty_status"))})
+
+
+def product_availability_accent(t, spark, sf_dir: str, key: str) -> DataFrame:
+    """Q1 on names with accents, for a key with another accent and a wildcard."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("product_upc"),
+                                                              _accented(F.col("p_name")).alias("accented"))
+    product = t.product.join(part, "product_upc").withColumn("name", F.col("accented")).drop("accented")
+    return Q.product_availability(t.replace(product=product), key, accent_insensitive=True)

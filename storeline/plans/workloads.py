@@ -16,7 +16,7 @@ from storeline.operators.deduction import deduct_stock_atomic, deduct_stock_rows
 from storeline.operators.inserts import insert_line_items
 from storeline.plans.queries import reorder_alert
 from storeline.schemas import SALE_LINE_ITEM, SPECS
-from storeline.sources.loader import load_positional, load_validated
+from storeline.sources.loader import load_all, load_into, load_positional, load_validated
 from storeline.sources.tables import Tables
 
 RAW_ITEMS = "sale_line_item_raw"
@@ -62,6 +62,68 @@ def positional_order_list_violations(t: Tables, positional: DataFrame) -> DataFr
     return violations
 
 
+LATE_FROM = "1995-01-01"  # the late batch starts a year before what is stored ends
+
+
+def _late_load(t: Tables, raw_lineitem: DataFrame):
+    """Raw lines of the sales from LATE_FROM on, into a table that holds the items of those before ARCHIVE_BEFORE."""
+    def since(day, before=None):
+        c = F.col("date_time") >= F.lit(day).cast("timestamp_ntz") if before is None else F.col("date_time") < F.lit(before).cast("timestamp_ntz")
+        return t.sale.filter(c).select("sale_id")
+
+    stored = t.sale_line_item.join(since(None, ARCHIVE_BEFORE), "sale_id", "left_semi")
+    batch = raw_lineitem.join(since(LATE_FROM), "sale_id", "left_semi")
+    return load_into(batch, "sale_line_item", stored, parents={"sale": t.sale, "product": t.product})
+
+
+def late_violations(t: Tables, raw_lineitem: DataFrame) -> DataFrame:
+    return _late_load(t, raw_lineitem)[2]
+
+
+def late_table(t: Tables, raw_lineitem: DataFrame) -> DataFrame:
+    return _late_load(t, raw_lineitem)[0]
+
+
+def whole_load(t: Tables, overdrawn: DataFrame) -> tuple[dict, DataFrame]:
+    """All tables loaded at once, the vendors of ``overdrawn`` without their names: they are rejected, and with them their
+    products, the stock rows, orders and line items of those, and sales without any other item."""
+    frames = {n: t[n] for n in SPECS}
+    gone = overdrawn.select("vendor_id", F.lit(True).alias("_gone"))
+    frames["vendor"] = (t.vendor.join(gone, "vendor_id", "left")
+                        .withColumn("vendor_name", F.when(F.col("_gone").isNull(), F.col("vendor_name"))).drop("_gone"))
+    return load_all(frames)
+
+
+def whole_load_violations(t: Tables, overdrawn: DataFrame) -> DataFrame:
+    return whole_load(t, overdrawn)[1]
+
+
+def whole_load_counts(t: Tables, overdrawn: DataFrame) -> DataFrame:
+    """Accepted rows of each table."""
+    done, _ = whole_load(t, overdrawn)
+    out = None
+    for n, df in done.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _moves(t: Tables) -> DataFrame:
+    """Stock rows without a threshold move to the store with the next number."""
+    c = F.col
+    return t.stock.filter(c("reorder_threshold").isNull()).select(
+        c("product_upc").alias("old_product_upc"), c("store_id").alias("old_store_id"),
+        c("product_upc").alias("new_product_upc"), (c("store_id") + 1).alias("new_store_id"))
+
+
+def moved_stock(t: Tables) -> DataFrame:
+    return changes.cascade_update({n: t[n] for n in SPECS}, "stock", _moves(t))[0]["stock"]
+
+
+def moved_stock_blocked(t: Tables) -> DataFrame:
+    return changes.cascade_update({n: t[n] for n in SPECS}, "stock", _moves(t))[1]
+
+
 def _items_with_order(t: Tables) -> DataFrame:
     return t.sale_line_item.select("sale_id", "product_upc", "quantity")
 

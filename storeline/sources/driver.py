@@ -14,9 +14,9 @@ Mapping (fixed rules of this adapter):
                  FURNITURE SILVER, other NONE; no e-mail when key mod 5 = 0
   sale           orders joined to customer; store = customer's nation;
                  priority 1-2 CARD, 3 CASH, 4-5 ETC
-  sale_customer  orders except key mod 8 = 0 (those are non-member sales)
+  sale_customer  orders of customers whose account is not overdrawn (others are non-member sales)
   sale_line_item lineitem summed per (order, part)
-  stock          part x nation where (p + n) mod 17 <> 0
+  stock          part x nation; corporate stores carry no part of a size above 45
   order_list     lineitem joined to supplier, per (order, part, nation)
 """
 
@@ -33,9 +33,8 @@ from storeline.sources.tables import Tables, conform
 
 # Fixed values of the adapter (see module docstring).
 LOYALTY_BY_SEGMENT = {"AUTOMOBILE": "VIP", "BUILDING": "GOLD", "FURNITURE": "SILVER"}
-NON_MEMBER_EVERY = 8
 NO_EMAIL_EVERY = 5
-STOCK_GAP_MOD = 17
+LARGEST_CORPORATE_SIZE = 45
 NULL_THRESHOLD_MOD = 11
 # Upper bound on the store dimension for the stock cross product.
 MAX_STORES = 10_000
@@ -120,7 +119,8 @@ def sale(spark, sf_dir) -> DataFrame:
 
 def sale_customer(spark, sf_dir) -> DataFrame:
     o = _src(spark, sf_dir, "orders")
-    return conform(o.filter(F.col("o_orderkey") % NON_MEMBER_EVERY != 0).select(
+    members = _src(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0).select("c_custkey")
+    return conform(o.join(members, o.o_custkey == members.c_custkey, "left_semi").select(
         F.col("o_orderkey").alias("sale_id"),
         F.col("o_custkey").alias("customer_id"),
     ), SPECS["sale_customer"])
@@ -147,15 +147,15 @@ def raw_line_items(spark, sf_dir) -> DataFrame:
 
 
 def stock(spark, sf_dir) -> DataFrame:
-    """Stock for every (part, nation) pair except every 17th.
+    """Stock for every (part, nation) pair that the store carries.
 
     Stock is by definition a product x store relation. The store side is a
     size-checked broadcast; the join condition filters while pairing.
     """
-    part = _src(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    part = _src(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("size"))
     nation = _src(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"))
     nation, _ = bounded_broadcast(nation, MAX_STORES)
-    pn = part.join(nation, (F.col("p") + F.col("n")) % STOCK_GAP_MOD != 0, "inner")
+    pn = part.join(nation, (F.col("n") % 2 == 0) | (F.col("size") <= LARGEST_CORPORATE_SIZE), "inner")
     p, n = F.col("p"), F.col("n")
     return conform(pn.select(
         p.alias("product_upc"),
@@ -207,6 +207,12 @@ def arriving_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_quantity").cast("int").alias("quantity"), F.col("l_linenumber").cast("int").alias("line_no"))
 
 
+def overdrawn_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with a negative account."""
+    return _src(spark, sf_dir, "supplier").filter(F.col("s_acctbal") < 0).select(
+        F.col("s_suppkey").cast("int").alias("vendor_id"))
+
+
 def positional_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order history rows with unnamed columns, in the declared column order."""
     return order_list(spark, sf_dir).toDF(*[f"_{i}" for i in range(1, 6)])

@@ -17,9 +17,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
-from storeline.functions.expressions import seconds_of_day
-from storeline.operators.checks import key_text
+from storeline.functions.expressions import collated, seconds_of_day
+from storeline.operators.checks import key_text, outside_domain, unique_key
 from storeline.schemas import SPECS, TableSpec
+from storeline.session import ensure_checkpoint_dir
 from storeline.sources.tables import conform
 
 
@@ -82,6 +83,79 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
     when any row breaks a rule, as a single multi-row INSERT statement does.
     """
     spec = SPECS[name] if isinstance(name, str) else name
+    return _split(judged(raw, spec, parents), spec, atomic)
+
+
+def load_into(raw: DataFrame, name: str | TableSpec, stored: DataFrame,
+              parents: Mapping[str, DataFrame] | None = None,
+              atomic: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Load ``raw`` into a table that holds rows: its keys and unique values must not be stored yet.
+
+    Returns ``(new_table, valid, violations)``; a clash with a stored row is PRIMARY_KEY_STORED or UNIQUE_STORED.
+    Only stored rows in the batch's range of the first key column can clash, so the range (one small aggregate of the
+    batch) is pushed into the scan of the stored table, whose files are clustered by it; the keys
+    inside meet by a join, which Spark may precede with a bloom filter of the batch's keys.
+    """
+    spec = SPECS[name] if isinstance(name, str) else name
+    valid, violations = _split(judged(raw, spec, parents, stored), spec, atomic)
+    return stored.select(*spec.columns).unionByName(valid), valid, violations
+
+
+def load_all(raws: Mapping[str, DataFrame], participation: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Load a whole database: every table through its rules, parents before children.
+
+    A child is checked against the *accepted* rows of its parents, so a rejected row takes its children and
+    theirs along, each with its own FOREIGN_KEY violation. With ``participation`` a sale none of whose line items is
+    accepted is rejected too (SALE_WITHOUT_ITEMS), and then what points at it. Tables that are not given
+    are not checked against. Returns the accepted rows by table, and all violations.
+    """
+    order, left = [], [n for n in SPECS if n in raws]
+    while left:  # the references have no cycle
+        ready = [n for n in left if not any(fk.parent in left for fk in SPECS[n].foreign_keys if fk.parent != n)]
+        order += ready
+        left = [n for n in left if n not in ready]
+    done: dict[str, DataFrame] = {}
+    broken: list[DataFrame] = []
+    for n in order:
+        ensure_checkpoint_dir(raws[n].sparkSession)
+        # each table's verdicts are kept: its accepted rows are read by every child
+        staged = judged(raws[n], SPECS[n], done).checkpoint()
+        done[n], found = _split(staged, SPECS[n])
+        broken.append(found)
+    if participation and {"sale", "sale_line_item"} <= set(done):
+        empty = done["sale"].join(done["sale_line_item"].select("sale_id"), "sale_id", "left_anti").checkpoint()
+        broken.append(empty.select(F.lit("sale").alias("table_name"), F.lit(SALE_WITHOUT_ITEMS).alias("rule"),
+                                   key_text(["sale_id"]).alias("key"), F.lit("sale_line_item").alias("detail")))
+        done["sale"] = done["sale"].join(empty.select("sale_id"), "sale_id", "left_anti")
+        # line items of such a sale are rejected already; other children go with it
+        for n in order:
+            fks = [fk for fk in SPECS[n].foreign_keys if fk.parent == "sale"]
+            if n != "sale_line_item" and fks:
+                (c,) = fks[0].columns
+                gone = done[n].join(empty.select(F.col("sale_id").alias(c)), c, "left_semi")
+                broken.append(gone.select(F.lit(n).alias("table_name"), F.lit("FOREIGN_KEY").alias("rule"),
+                                          key_text(SPECS[n].primary_key).alias("key"), F.lit(f"{c}->sale").alias("detail")))
+                done[n] = done[n].join(empty.select(F.col("sale_id").alias(c)), c, "left_anti")
+    violations = broken[0]
+    for b in broken[1:]:
+        violations = violations.unionByName(b)
+    return done, violations
+
+
+SALE_WITHOUT_ITEMS = "SALE_WITHOUT_ITEMS"
+
+
+def _stored_keys(stored: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct keys of the stored rows within the batch's range of the first column."""
+    low, high = batch.agg(F.min(columns[0]), F.max(columns[0])).first()
+    c = F.col(columns[0])
+    near = stored.filter(c.between(F.lit(low), F.lit(high))) if low is not None else stored.limit(0)
+    return near.select(*columns).distinct()
+
+
+def judged(raw: DataFrame, spec: TableSpec, parents: Mapping[str, DataFrame] | None = None,
+           stored: DataFrame | None = None) -> DataFrame:
+    """``raw`` as rows of the table, with the rules that each breaks in ``_issues``."""
     raw_d, text_issues = _from_text(raw, spec)
     raw_d = _with_defaults(raw_d, spec)
     # Type issues look at the raw value: set, but not castable to the type, or a
@@ -99,8 +173,7 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
     for c, pred in spec.ranges.items():
         row_issues.append(_issue(~F.expr(pred), f"CHECK:{c}"))
     for c, allowed in spec.domains.items():
-        row_issues.append(_issue(F.col(c).isNotNull() & ~F.col(c).isin(*allowed),
-                                 f"DOMAIN:{c}"))
+        row_issues.append(_issue(outside_domain(c, allowed), f"DOMAIN:{c}"))
     for c, n in spec.widths.items():
         row_issues.append(_issue(F.char_length(F.col(c)) > n, f"WIDTH:{c}"))
     for c in spec.unsigned:
@@ -109,6 +182,11 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
         staged = staged.withColumn(
             "_issues", F.concat("_issues", F.array_compact(F.array(*row_issues))))
 
+    # a label is stored as it is declared, however it was written
+    for c, allowed in spec.domains.items():
+        label = F.coalesce(*[F.when(collated(F.col(c)) == F.lit(a), F.lit(a)) for a in allowed], F.col(c))
+        staged = staged.withColumn(c, label)
+
     # Key rules: duplicated primary key / unique values, missing parents.
     pk = list(spec.primary_key)
     dup_keys = staged.groupBy(*pk).count().filter(F.col("count") > 1).select(
@@ -122,12 +200,21 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
             F.col(c).isNull(), F.concat("_issues", F.array(F.lit(f"PRIMARY_KEY_NULL:{c}"))))
             .otherwise(F.col("_issues")))
     for c in spec.unique:
-        dup = (staged.filter(F.col(c).isNotNull()).groupBy(c).count()
-               .filter(F.col("count") > 1).select(c, F.lit(f"UNIQUE:{c}").alias("_u")))
-        staged = (staged.join(dup, [c], "left")
-                  .withColumn("_issues", F.when(F.col("_u").isNotNull(),
-                                                F.concat("_issues", F.array("_u")))
-                              .otherwise(F.col("_issues"))).drop("_u"))
+        dup = (staged.filter(F.col(c).isNotNull()).groupBy(unique_key(staged, c).alias("_k")).count()
+               .filter(F.col("count") > 1).select("_k", F.lit(f"UNIQUE:{c}").alias("_u")))
+        staged = _marked(staged, dup, unique_key(staged, c) == F.col("_k"))
+    if stored is not None:
+        keys = _stored_keys(stored, staged, pk).select(
+            *[F.col(c).alias(f"_s{i}") for i, c in enumerate(pk)], F.lit("PRIMARY_KEY_STORED").alias("_u"))
+        same = F.lit(True)
+        for i, c in enumerate(pk):
+            same = same & (F.col(c) == F.col(f"_s{i}"))
+        staged = _marked(staged, keys, same)
+        for c in spec.unique:
+            # distinct under the collation: a batch row is marked once
+            have = (stored.filter(F.col(c).isNotNull()).select(unique_key(stored, c).alias("_k")).distinct()
+                    .withColumn("_u", F.lit(f"UNIQUE_STORED:{c}")))
+            staged = _marked(staged, have, unique_key(staged, c) == F.col("_k"))
     for fk in spec.foreign_keys:
         if not parents or fk.parent not in parents:
             continue
@@ -146,6 +233,20 @@ def load_validated(raw: DataFrame, name: str | TableSpec,
                               .otherwise(F.col("_issues")))
                   .drop("_present", *alias))
 
+    return staged
+
+
+def _marked(staged: DataFrame, found: DataFrame, same: Column) -> DataFrame:
+    """``staged`` with the issue ``_u`` of the row of ``found`` that it meets, if any."""
+    columns = staged.columns
+    return (staged.join(found, same, "left")
+            .withColumn("_issues", F.when(F.col("_u").isNotNull(), F.concat("_issues", F.array("_u")))
+                        .otherwise(F.col("_issues"))).select(*columns))
+
+
+def _split(staged: DataFrame, spec: TableSpec, atomic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Accepted rows and violations of judged rows."""
+    pk = list(spec.primary_key)
     staged = staged.withColumn("_ok", F.size("_issues") == 0)
     violations = (staged.filter(~F.col("_ok"))
                   .select(F.lit(spec.name).alias("table_name"),

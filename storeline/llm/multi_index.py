@@ -4,8 +4,9 @@ Vectors are scaled to length one and cut into halves; each half has a codebook o
 the product of both is a grid of cells. A vector visits cells in the order of a multi-sequence
 traversal: by the sum of two bounds, each the squared distance from its half to the border of
 a codeword's region. A link (cosine >= c) means a squared distance of at most 2 - 2c, so the traversal stops
-when the sum exceeds that: every link is met (target recall 1). Pairs met are verified by their cosine in
-double precision.
+when the sum exceeds that, and before, at the target recall: so many cells as hold RECALL of the partners at exactly the
+threshold, measured on sampled vectors that are turned by its angle in random directions; closer partners lie in
+nearer cells. Pairs met are verified by their cosine in double precision.
 
 Equal vectors are one vertex with a count. The codebooks grow with the number of vectors. A cell's
 residents are cut into blocks of a bounded size, and so are its visitors; a pair of blocks
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from storeline.llm.components import connected_components
 
 SAMPLE, CODEWORDS, BLOCK = 20000, 24, 512
+RECALL, TURNED = 0.999, 2000  # target recall, and vectors that it is measured on
 CELL = 128  # vectors for each cell of a grid that is larger than CODEWORDS squared
 
 
@@ -48,21 +50,42 @@ def border_bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, bound ** 2
 
 
-def traverse(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
-    """Cells (i * len(b) + j) in order of a[i] + b[j], up to ``most``: both sequences are
-    sorted, and a row of the grid ends where its sum gets too large."""
-    i, j = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+def traverse(a: np.ndarray, b: np.ndarray, most: float, limit: int) -> np.ndarray:
+    """The first ``limit`` cells (i * len(b) + j) in order of a[i] + b[j], up to ``most``: both sequences are
+    sorted, a row of the grid ends where its sum gets too large, and of row p (from 0) no more than
+    limit / (p + 1) cells can be among the first."""
+    i, j = np.argsort(a, kind="stable")[:limit], np.argsort(b, kind="stable")
     i = i[a[i] <= most]
-    ends = np.searchsorted(b[j], most - a[i], "right")
+    ends = np.minimum(np.searchsorted(b[j], most - a[i], "right"), limit // np.arange(1, len(i) + 1))
     cells = np.concatenate([p * len(b) + j[:e] for p, e in zip(i, ends)])
-    return cells[np.argsort(np.concatenate([a[p] + b[j[:e]] for p, e in zip(i, ends)]), kind="stable")]
+    return cells[np.argsort(np.concatenate([a[p] + b[j[:e]] for p, e in zip(i, ends)]), kind="stable")[:limit]]
+
+
+def reach(x: np.ndarray, c: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> int:
+    """How many cells a traversal must visit to meet ``recall`` of the partners at exactly ``cosine``: one partner
+    of each row of ``x`` (unit vectors), in a random direction; the greater of both ends' places."""
+    if x.shape[1] < 2 or not len(x):
+        return len(c[0]) * len(c[1])
+    u = np.random.RandomState(5).randn(*x.shape)
+    u = _unit(u - (u * x).sum(1, keepdims=True) * x)
+    y = cosine * x + np.sqrt(1 - cosine * cosine) * u
+    cut = x.shape[1] // 2
+    place = np.zeros(len(x), np.int64)
+    for here, there in ((x, y), (y, x)):
+        a, b = (border_bounds(h, k)[1] for h, k in zip((here[:, :cut], here[:, cut:]), c))
+        i, j = (border_bounds(h, k)[0] for h, k in zip((there[:, :cut], there[:, cut:]), c))
+        for r in range(len(x)):
+            # cells that come no later than the partner's
+            ends = np.searchsorted(np.sort(b[r]), a[r, i[r]] + b[r, j[r]] - a[r] + 1e-12, "right")
+            place[r] = max(place[r], ends.sum())
+    return int(np.quantile(place, recall, method="higher"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _visits(batches, books: dict, most: float):
+def _visits(batches, books: dict, most: float, limits: dict):
     for pdf in batches:
         for dim, part in pdf.groupby("dim"):
             x = _unit(np.array(part["vec"].tolist(), float).reshape(len(part), dim))
@@ -70,7 +93,7 @@ def _visits(batches, books: dict, most: float):
             (i, a), (j, b) = (border_bounds(h, c) for h, c in zip((x[:, :cut], x[:, cut:]), books[dim]))
             own = i * b.shape[1] + j
             # both ends of a link visit each other's cell: the later cell is enough
-            cells = [c[c >= o] for c, o in ((traverse(a[r], b[r], most), own[r]) for r in range(len(x)))]
+            cells = [c[c >= o] for c, o in ((traverse(a[r], b[r], most, limits[dim]), own[r]) for r in range(len(x)))]
             yield part.assign(cell=own, visits=cells)
 
 
@@ -108,6 +131,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     equal vectors do. Other columns are ignored; an empty table gives an empty result.
     Codebooks are fitted on at most SAMPLE vectors (smallest hashes); every vector is indexed.
     """
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    sent = "array<float>" if element == "float" else "array<double>"  # what travels is no wider than the column
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     fine = (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0)
@@ -118,16 +143,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
         "dim", F.size("vec")).checkpoint()
     words = max(CODEWORDS, int(np.sqrt(vertex.count() / CELL)))
     sample = vertex.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("dim", "vec").toPandas()
-    books = {}
+    books, limits = {}, {}
     for dim in [r[0] for r in vertex.select("dim").distinct().collect()]:
         own = sample[sample["dim"] == dim]["vec"].tolist() or [[1.0] + [0.0] * (dim - 1)]
         x = _unit(np.array(own, float).reshape(-1, dim))
         books[dim] = codebook(x[:, :dim // 2], words), codebook(x[:, dim // 2:], words)
+        limits[dim] = reach(x[:TURNED], books[dim], cosine, RECALL)
     schema = f"label {vectors.schema['label'].dataType.simpleString()}, vec array<double>, rep long, m long, dim int"
-    seen = vertex.mapInPandas(lambda b: _visits(b, books, 2 - 2 * cosine + 1e-9),
+    seen = vertex.mapInPandas(lambda b: _visits(b, books, 2 - 2 * cosine + 1e-9, limits),
                               schema + ", cell long, visits array<long>").checkpoint()
     place = ["label", "dim", "cell"]
-    visit = seen.select("label", "dim", "vec", "rep", "m", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
+    visit = seen.select("label", "dim", F.col("vec").cast(sent).alias("vec"), "rep", "m", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
     visit = visit.withColumn("lives", F.col("own") == F.col("cell"))
     lives, goes = F.col("lives"), ~F.col("lives")
     size = visit.groupBy(*place).agg(F.ceil(F.count_if(lives) / BLOCK).alias("blocks"),

@@ -103,36 +103,46 @@ def _sets(batches, words: int):
 
 
 def _links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest (a, b) of the links in one block, or between two blocks (``side`` 0 and 1)."""
-    ids, side = pdf["rep"].to_numpy(np.int64), pdf["side"].to_numpy()
+    """A spanning forest (a, b) over components (``comp``) of the links in one block, or between two
+    blocks (``side`` 0 and 1)."""
+    side = pdf["side"].to_numpy()
+    names, comp = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
+    none = pd.DataFrame({"a": names[:0], "b": names[:0]})
+    if len(names) < 2:
+        return none
     n = pdf["shingles"].map(len).to_numpy()
-    doc = np.repeat(np.arange(len(ids)), n)
+    doc = np.repeat(np.arange(len(n)), n)
     _, col = np.unique(np.concatenate(pdf["shingles"].tolist()), return_inverse=True)
     often = np.bincount(col)[col] > 1
     _, col = np.unique(col[often], return_inverse=True)
     doc = doc[often]
     order = np.argsort(col, kind="stable")
     col, doc = col[order], doc[order]
-    both = np.zeros((len(ids), len(ids)), np.float32)
+    both = np.zeros((len(n), len(n)), np.float32)
     width = 4096
     for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         i, j = np.searchsorted(col, [c, c + width])
-        m = np.zeros((len(ids), width), np.float32)
+        m = np.zeros((len(n), width), np.float32)
         m[doc[i:j], col[i:j] - c] = 1
         both += m @ m.T
     both = both.astype(np.int64)
     link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    link &= comp[:, None] != comp[None, :]
     if side.any() and not side.all():
         link &= side[:, None] != side[None, :]
-    label = np.arange(len(ids))
+    a, b = np.nonzero(link)
+    pairs = np.unique(comp[a] * len(names) + comp[b])
+    a, b = pairs // len(names), pairs % len(names)
+    label = np.arange(len(names))
     while True:  # smallest label among neighbours until nothing changes
-        new = np.minimum(label, np.where(link, label[None, :], len(ids)).min(1))
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
         new = new[new]
         if (new == label).all():
             break
         label = new
-    far = np.flatnonzero(label != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[far], "b": ids[label[far]]})
+    far = np.flatnonzero(label != np.arange(len(names)))
+    return pd.DataFrame({"a": names[far], "b": names[label[far]]}) if len(far) else none
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 32, rows: int = 7) -> DataFrame:
@@ -167,20 +177,47 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
         "class", F.floor(F.log("n") / ratio + 1e-9)).checkpoint()
     parts = placed.groupBy("grp", "class").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    placed = placed.join(parts, ["grp", "class"]).select(
+        "rep", *key, "grp", F.struct("class", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")).alias("block"))
+    # every block of a class meets the blocks of its own class and of the next
     other = parts.select("grp", F.col("class").alias("other"), F.col("parts").alias("others"))
-    # every part of a class meets the parts of its own class and of the next
-    meets = parts.join(other, "grp").where("other between class - 1 and class + 1")
-    sent = placed.join(meets, ["grp", "class"]).withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("parts"))).select(
-        "rep", *key, "grp", "class", "part", "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other_part"))
-    own, far = F.struct("class", "part"), F.struct(F.col("other").alias("class"), F.col("other_part").alias("part"))
-    sent = sent.select("rep", *key, "grp", F.least(own, far).alias("low"), F.greatest(own, far).alias("high"),
-                       (own > far).cast("int").alias("side"))
-    sets = known.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
-        lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>").dropDuplicates(["rep", *key])
-    links = sent.join(sets, ["rep", *key]).groupBy("grp", "low", "high").applyInPandas(
-        lambda pdf: _links(pdf, percent), "a long, b long").checkpoint()
-    found = connected_components(links)
+    zero = F.lit(0).cast("long")
+    meets = parts.join(other, "grp").where("other between class and class + 1").withColumn(
+        "part", F.explode(F.sequence(zero, F.col("parts") - 1))).withColumn(
+        "other_part", F.explode(F.sequence(zero, F.col("others") - 1)))
+    meets = meets.select("grp", F.struct("class", "part").alias("low"),
+                         F.struct(F.col("other").alias("class"), F.col("other_part").alias("part")).alias("high")).where(
+        F.col("low") <= F.col("high")).checkpoint()
+
+    def sets(of):
+        return known.join(of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
+            lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>").dropDuplicates(["rep", *key])
+
+    # first each block for itself, then neighbours, then the rest: what is one component by then isn't compared again, and
+    # an edge joins two components, so that the edges of a large group do not grow with the pairs of its blocks
+    placed = placed.withColumn("comp", F.col("rep")).checkpoint()
+    near = (F.col("low.class") == F.col("high.class")) & (F.col("high.part") == F.col("low.part") + 1) | (
+        F.col("low.class") != F.col("high.class")) & (F.col("low.part") == 0) & (F.col("high.part") == 0)
+    same = F.col("low") == F.col("high")
+    for turn in (same, ~same & near, ~same & ~near):
+        held = placed.groupBy("grp", "block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+        first = held.select("grp", F.col("block").alias("low"), F.col("least").alias("l0"), F.col("most").alias("m0"))
+        second = held.select("grp", F.col("block").alias("high"), F.col("least").alias("l1"), F.col("most").alias("m1"))
+        apart = F.least("l0", "l1") != F.greatest("m0", "m1")
+        pairs = meets.where(turn).join(first, ["grp", "low"]).join(second, ["grp", "high"]).where(apart)
+        ends = F.when(same, F.array(F.struct(F.col("low").alias("block"), F.lit(0).alias("side")))).otherwise(
+            F.array(F.struct(F.col("low").alias("block"), F.lit(0).alias("side")),
+                    F.struct(F.col("high").alias("block"), F.lit(1).alias("side"))))
+        sent = pairs.select("grp", "low", "high", F.explode(ends).alias("end")).select(
+            "grp", "low", "high", "end.block", "end.side").join(placed, ["grp", "block"]).checkpoint()
+        if sent.isEmpty():
+            continue
+        links = sent.join(sets(sent), ["rep", *key]).groupBy("grp", "low", "high").applyInPandas(
+            lambda pdf: _links(pdf, percent), "a long, b long").distinct().checkpoint()
+        joined = connected_components(links)
+        placed = placed.join(joined, F.col("comp") == F.col("v"), "left").select(
+            "rep", *key, "grp", "block", F.coalesce("component", "comp").alias("comp")).checkpoint()
+    found = placed.select(F.col("rep").alias("v"), F.col("comp").alias("component"))
     whole = reps.join(found, F.col("rep") == F.col("v"), "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))
     unnamed = describe(docs.where("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), "text")).select(

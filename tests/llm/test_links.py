@@ -128,3 +128,46 @@ def test_rows_without_id_lie_in_several_blocks(spark):
     docs = spark.createDataFrame([(None, f"text number {i}") for i in range(400)], "doc_id long, text string")
     texts, n = blocks.with_blocks(docs, 1000, ["doc_id", "text"])
     assert n > 3 and texts.groupBy("blk").count().agg({"count": "max"}).first()[0] < 200
+
+
+def test_edges_do_not_grow_with_the_pairs_of_a_group(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    base = [f"w{i}" for i in range(120)]
+    links = superminhash._links
+    per_document = []
+    for size in (200, 800):
+        edges = spark.sparkContext.accumulator(0)
+
+        def counted(pdf, percent, edges=edges):
+            out = links(pdf, percent)
+            edges.add(len(out))
+            return out
+        monkeypatch.setattr(superminhash, "_links", counted)
+        monkeypatch.setattr(superminhash, "BLOCK_DOCS", 20)
+        rows = []
+        for i in range(size):
+            w = list(base)
+            w[rng.randint(120)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        got = superminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+        assert (got["component_id"] == 0).all()
+        per_document.append(edges.value / size)
+    assert max(per_document) < 1.5
+
+
+def test_the_target_recall_is_met_and_visits_stay_few():
+    rng = np.random.RandomState(3)
+    x = multi_index._unit(rng.randn(6000, 32))
+    books = multi_index.codebook(x[:, :16]), multi_index.codebook(x[:, 16:])
+    limit = multi_index.reach(x[:500], books, 0.93, 0.99)
+    assert limit < 576 / 4
+    fresh = x[3000:3600]
+    u = rng.randn(*fresh.shape)
+    u = multi_index._unit(u - (u * fresh).sum(1, keepdims=True) * fresh)
+    y = 0.93 * fresh + np.sqrt(1 - 0.93 ** 2) * u
+    (i, a), (j, b) = (multi_index.border_bounds(h, c) for h, c in zip((fresh[:, :16], fresh[:, 16:]), books))
+    (p, _), (q, _) = (multi_index.border_bounds(h, c) for h, c in zip((y[:, :16], y[:, 16:]), books))
+    met = sum(p[r] * 24 + q[r] in multi_index.traverse(a[r], b[r], np.inf, limit) for r in range(len(y)))
+    assert met / len(y) > 0.97
+    whole = multi_index.traverse(a[0], b[0], np.inf, 576)
+    assert sorted(whole) == list(range(576)) and (multi_index.traverse(a[0], b[0], np.inf, 50) == whole[:50]).all()

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 
-def labelled(labels: DataFrame, label: str, rows: int, fold: int | None = None,
+def labelled(labels: DataFrame, label: str, rows: int | None, fold: int | None = None,
              only: int | None = None) -> DataFrame:
-    """At most ``rows`` (doc_id, y), the smallest by a hash of doc_id, one for each doc_id.
+    """At most ``rows`` (doc_id, y), the smallest by a hash of doc_id, one for each doc_id; all without ``rows``.
 
     Rows with a null doc_id or label are left out; of contradicting labels the larger
     counts. ``fold``: leave out ids with this remainder of crc32(doc_id) by 5. ``only``: of this y.
@@ -17,8 +17,8 @@ def labelled(labels: DataFrame, label: str, rows: int, fold: int | None = None,
     if fold is not None:
         out = out.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != fold)
     out = out.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    return ((out if only is None else out.where(F.col("y") == only))
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    out = out if only is None else out.where(F.col("y") == only)
+    return out if rows is None else out.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     Token counts cover all labelled documents outside the held-out fold; the field and the
     calibration are fitted on ``sampled`` ones.
     """
-    rows = labelled(labels, "toxic", 2**31 - 1, fold=0)
+    rows = labelled(labels, "toxic", None, fold=0)
     train = docs.where("doc_id is not null").select("doc_id", "text").join(rows, "doc_id")
     n = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     toxic, clean = n[1], n[0] - n[1]

@@ -69,3 +69,25 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for stage in (corpus_pipeline.quality, corpus_pipeline.near_dedup, corpus_pipeline.passage_dedup, corpus_pipeline.mix):
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_every_round_hands_over_documents_that_were_not_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    unlabelled = docs.join(labels, "doc_id", "left_anti").count()
+    was = cotraining.EXCHANGED
+    cotraining.EXCHANGED = max(5, unlabelled // 20)
+    try:
+        fitted = np.array(cotraining.fit(docs, labels)["fitted"])
+    finally:
+        cotraining.EXCHANGED = was
+    assert len(fitted) == cotraining.ROUNDS + 1
+    assert (np.diff(fitted, axis=0) > 0).all()
+
+
+def test_a_third_of_the_rows_with_one_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    odd = docs.unionByName(docs.selectExpr("1L AS doc_id", "text", "lang", "source", "n_chars"))
+    a, b = cotraining.fit(odd, labels), cotraining.fit(odd.repartition(5), labels)
+    assert all((x == y).all() for x, y in zip(a["views"], b["views"]))

@@ -91,3 +91,99 @@ def test_a_third_of_the_rows_with_one_id(spark):
     odd = docs.unionByName(docs.selectExpr("1L AS doc_id", "text", "lang", "source", "n_chars"))
     a, b = cotraining.fit(odd, labels), cotraining.fit(odd.repartition(5), labels)
     assert all((x == y).all() for x, y in zip(a["views"], b["views"]))
+
+
+def test_mix_equals_a_plain_loop(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(3)
+    rows = [(i, " ".join(["w"] * int(rng.randint(0, 30))), rng.choice(["big", "big", "big", "mid", "small", None]))
+            for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    row = F.xxhash64("doc_id", "text", F.coalesce("source", F.lit("")))
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(row, F.lit(17)).alias("p")).collect()}
+    groups = {}
+    for i, t, s in rows:
+        groups.setdefault(s or "", []).append((place[i], i, len(t.split())))
+    tokens = {s: sum(n for _, _, n in g) for s, g in groups.items()}
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items()}
+
+    def most(a):
+        z = sum(p ** a for p in share.values())
+        return max(p ** a / z / p for p in share.values())
+
+    low, high = 0.0, 1.0   # the smallest exponent that reads no source more than twice
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if most(mid) <= 2.0 else (mid, high)
+    got = mixing.mixed(docs, repetitions=2.0).toPandas()
+    z = sum(p ** high for p in share.values())
+    want = Counter()
+    for s, g in groups.items():
+        quota = share[s] ** high / z * total
+        full, rest = int(quota // tokens[s]), math.floor(quota - quota // tokens[s] * tokens[s])
+        used = 0
+        for _, i, n in sorted(g):
+            want[i] += full
+            if used is not None and used + n <= rest:
+                used += n
+                want[i] += 1
+            else:
+                used = None
+    # the exponent is bisected to 1 / 32^5: a source's cut may move by a document
+    have = Counter(got["doc_id"])
+    off = {i: have[i] - want[i] for i in set(have) | set(want) if have[i] != want[i]}
+    assert len(off) <= len(groups) and set(off.values()) <= {-1, 1}
+    for _, g in got.groupby(["source", "block"], dropna=False):
+        assert g["doc_id"].is_unique
+
+
+def test_fingerprints_of_every_text_and_its_edited_one(spark, tmp_path):
+    import hashlib
+
+    from storeline.llm import winnowing
+
+    rows = [(5, "a b c d e f g h i j k l m n"), (9, None), (2, "x"), (7, "a b c d e f g h i j k l m n"), (-3, "né " * 40),
+            (10**15, "some other words here, quite a few of them to fill two windows or more")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, own string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in winnowing.op7_winnowing(spark, str(tmp_path)).collect()}
+    order = sorted(rows)
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        t, n = t or "", n or ""
+        half = len(t) // 2
+        edited = t[:len(t) - half] + n[:half]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        if edited == t:
+            assert got[i].near_edited == 1 and got[i].fingerprint == got[i].edited_fingerprint
+    assert got[5].fingerprint == got[7].fingerprint != got[10**15].fingerprint and got[5].near_next == 1
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert winnowing.op7_winnowing(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_winnowing_equals_a_plain_loop_over_windows(spark):
+    from pyspark.sql import functions as F
+
+    from storeline.llm import winnowing
+
+    rng = np.random.RandomState(1)
+    texts = [" ".join(rng.choice(list("abcdef"), int(n))) for n in (1, 3, 4, 10, 11, 12, 200)]
+    k, w = winnowing.K, winnowing.W
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", winnowing.selected(F.col("text")).alias("s"))
+    for r in df.collect():
+        words = r.text.split()
+        n = max(1, len(words) - k + 1)
+        picked = {((1 << 24) - 1) - (x & ((1 << 24) - 1)): x >> 24 for x in r.s}
+        assert all(0 <= p < n for p in picked)
+        if n < w:
+            assert len(r.s) == 1
+            continue
+        # every window has a selected gram, and none of its grams is smaller
+        for a in range(n - w + 1):
+            assert any(a <= p < a + w for p in picked)
+        assert list(picked) == sorted(picked)

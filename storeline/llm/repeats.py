@@ -37,6 +37,7 @@ from storeline.llm import blocks as B
 U = np.uint64
 WINDOW, GRAM, HOT = 50, 16, 2000
 NO_ID = -(2**63)
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20  # of text for each bucket of keys, each shard of contexts
 PACKED = "blk long, bucket int, data binary"
 ANSWER = "blk long, bucket int, tag string, data binary"
 _STEP, _LOW = 1 << 14, U((1 << 15) - 1)  # grams are hashed in pieces that stay in the CPU's cache
@@ -286,8 +287,10 @@ def find_repeats(docs: DataFrame, unit: str, core: Callable, finish: Callable, s
     """
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", *keep)
     texts, n_blocks = B.with_blocks(docs, block_bytes, ["doc_id", "text", *keep])
-    n_buckets = max(6, n_blocks)
-    n_shards = 4 * n_buckets  # a core needs about a hundred bytes of memory for each of its own
+    # every block sends a message to every bucket: as few buckets as memory allows. A bucket holds up to two bytes for
+    # each of its share of the texts, sorted; a core needs about a hundred for each of its own
+    n_buckets = max(6, -(-n_blocks * block_bytes // BUCKET_BYTES))
+    n_shards = max(6, -(-n_blocks * block_bytes // SHARD_BYTES))
 
     def in_order(pdf):  # a shuffle may deliver rows in another order in each pass
         return pdf.sort_values(["doc_id", "text"], ignore_index=True)

@@ -1,14 +1,14 @@
 """Substring dedup on words by relative Lempel-Ziv parsing.
 
-A document is factored against reference blocks of the corpus: at each word
-the longest match with an indexed block is taken as one factor. Factors of 50
-words and more are duplicate spans; where one factor ends and the next
-begins, the windows that straddle the boundary are looked up again, as a window may
-occur in the reference although the greedy factors cut it.
-
-A reference block is a shard of ``repeats``: it holds the contexts around
-shared anchors, of all documents, so that every block a document has anything in common
-with is consulted, and no other.
+Each document's shared contexts are factored against reference blocks of the corpus: at each word the longest match
+with what an earlier document holds in the block is taken as one factor, and parsing goes on behind it. The longest
+matches come from a suffix order of the block (``longest_matches``). Windows of 50 words that lie in one
+factor are duplicates; a window that a factor boundary cuts is looked up by itself, as it may occur in
+the reference although the greedy factors cut it.
+
+A reference block is a shard of ``repeats``: it holds the contexts (a window's surroundings, 84 words at most) around
+shared anchors, of all documents, so that every block that a document has anything in common with is consulted, and
+no other. Contexts that recur as a whole are found before, by their hashes (step 2 of ``repeats``).
 """
 
 from __future__ import annotations
@@ -19,44 +19,76 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from storeline.llm import blocks as B
 from storeline.llm.repeats import HOT, WINDOW, find_repeats
 
 BLOCK_BYTES = 6 << 20
-U = np.uint64
 
 
-def factor(units: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each window of 50 words of each context: does a context of a smaller id hold it?
+def longest_matches(units: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each unit of the contexts: how long the longest match is that starts there and with a unit of a
+    context of a smaller id, up to the end of either context.
 
-    The index maps every window of the block to its occurrence with the smallest id.
-    A factor starts at a window whose reference is earlier, is
-    compared with the reference word by word, and goes on while the reference does.
+    Suffixes are ordered by doubling. Of all suffixes of smaller ids, the next ones before and behind in this order
+    match longest; how long is read off the orders of the lengths 64, 32, ... 1.
     """
-    ends = np.cumsum(sizes)
+    n = len(units) + len(sizes)
+    # a separator of its own ends each context, so that no match goes on
+    _, symbol = np.unique(units, return_inverse=True)
+    inside = np.arange(len(units)) + np.repeat(np.arange(len(sizes)), sizes)
+    text = np.empty(n, np.int64)
+    text[inside] = symbol + len(sizes)
+    text[starts + sizes + np.arange(len(sizes))] = np.arange(len(sizes))
+    owner = np.full(n, np.iinfo(np.int64).max)
+    owner[inside] = np.repeat(ids, sizes)
+    ranks, span = [text], 1
+    while span < 128:
+        after = np.zeros(n, np.int64)
+        after[:-span] = ranks[-1][span:] + 1
+        _, rank = np.unique(ranks[-1] * (n + len(sizes) + 2) + after, return_inverse=True)
+        ranks.append(rank)
+        span *= 2
+    order = np.argsort(ranks.pop(), kind="stable")  # by 128 units: longer than any context
+    own = owner[order]
+    best = np.zeros(n, np.int64)
+    for step in (-1, 1):
+        to = np.arange(n) + step
+        to[to == n] = -1
+        open_ = np.flatnonzero((to >= 0) & (own != np.iinfo(np.int64).max))
+        open_ = open_[own[to[open_]] >= own[open_]]
+        while len(open_):  # a neighbour of no smaller id has none in between either
+            to[open_] = to[to[open_]]
+            open_ = open_[to[open_] >= 0]
+            open_ = open_[own[to[open_]] >= own[open_]]
+        i = np.flatnonzero((to >= 0) & (own != np.iinfo(np.int64).max))
+        x, y = order[i], order[to[i]]
+        long = np.zeros(len(i), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            u, v = np.minimum(x + long, n - 1), np.minimum(y + long, n - 1)
+            long += np.where((ranks[k][u] == ranks[k][v]) & (x + long < n) & (y + long < n), 1 << k, 0)
+        best[order[i]] = np.maximum(best[order[i]], long)
+    return best[inside]
+
+
+def factor(units: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each window of 50 words of each context: does a context of a smaller id hold it?"""
+    starts = np.cumsum(sizes) - sizes
+    match = longest_matches(units, ids, starts, sizes)
+    # greedy parse of all contexts side by side
+    covered = np.zeros(len(units), bool)   # windows that start here lie in one factor
+    cut = np.zeros(len(units), bool)       # or are cut by a boundary
+    at, end = starts.copy(), starts + sizes
+    while len(at):
+        long = np.maximum(match[at], 1)
+        whole = long >= WINDOW
+        for first, last, mark in ((at[whole], (at + long - WINDOW + 1)[whole], covered),
+                                  (np.where(whole, at + long - WINDOW + 1, at), at + long, cut)):
+            m = last - first
+            mark[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())] = True
+        at = at + long
+        at, end = at[at < end], end[at < end]
     n = sizes - WINDOW + 1
-    skip = np.cumsum(n) - n
-    at = np.arange(n.sum()) + np.repeat(ends - sizes - skip, n)
-    own = np.repeat(ids, n)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * B.powers(B.BASE, len(units)))])
-    key = B.mix((total[at + WINDOW] - total[at]) * B.powers(B.BASE_INV, len(units))[at])
-    order = np.lexsort((own, key))
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    ref = np.empty(len(at), np.int64)
-    ref[order] = order[new][np.cumsum(new) - 1]
-    hit = own[ref] < own
-    start = at[ref]
-    goes_on = np.zeros(len(at), bool)
-    goes_on[1:] = hit[1:] & hit[:-1] & (start[1:] == start[:-1] + 1) & (at[1:] == at[:-1] + 1)
-    heads = np.flatnonzero(hit & ~goes_on)
-    equal = np.ones(len(at), bool)
-    for i in range(0, len(heads), 1 << 15):
-        part = heads[i:i + (1 << 15)]
-        words = np.arange(WINDOW)
-        equal[part] = (units[at[part][:, None] + words] == units[start[part][:, None] + words]).all(1)
-    tails = np.flatnonzero(goes_on)
-    equal[tails] = units[at[tails] + WINDOW - 1] == units[start[tails] + WINDOW - 1]
-    return hit & equal
+    window = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+    return covered[window] | cut[window] & (match[window] >= WINDOW)
 
 
 _WORD = re.compile(rb"[^ \t-\r]+")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,38 @@ def test_layout_keeps_white_space(spark):
     docs = spark.createDataFrame([(1, same), (2, f"a\n\nb {same}  c")], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in remove_repeated_passages(docs, layout=True).collect()}
     assert got == {1: same, 2: "a\n\nb c"}
+
+
+def test_greedy_factors_by_longest_match():
+    from storeline.llm.substring_rlz import factor, longest_matches
+
+    rng = np.random.RandomState(7)
+    passage = rng.randint(0, 40, 300)
+    texts, ids = [], []
+    for i in range(60):
+        a = rng.randint(0, 220)
+        t = passage[a:a + rng.randint(50, 85)].copy()
+        if rng.rand() < .5:
+            t[rng.randint(len(t))] = rng.randint(0, 40)
+        texts.append(t)
+        ids.append(int(rng.randint(0, 25)) if rng.rand() < .9 else -(2**63))
+    sizes, ids = np.array([len(t) for t in texts]), np.array(ids)
+    units = np.concatenate(texts).astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    match = longest_matches(units, ids, starts, sizes)
+    want = []
+    for t, i in zip(texts, ids):
+        earlier = [list(u) for u, j in zip(texts, ids) if j < i]
+        for p in range(len(t)):
+            best = 0
+            for u in earlier:
+                for q in range(len(u)):
+                    k = 0
+                    while p + k < len(t) and q + k < len(u) and t[p + k] == u[q + k]:
+                        k += 1
+                    best = max(best, k)
+            want.append(best)
+    assert match.tolist() == want
+    hits = factor(units, ids, sizes)
+    at = np.concatenate([s + np.arange(n - 49) for s, n in zip(starts, sizes)])
+    assert hits.tolist() == (match[at] >= 50).tolist() and 0 < hits.sum() < len(hits)

@@ -141,9 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
     doc_id, and on what the views hand to each other of all unlabelled ones.
     """
     bins = _bins(docs)
-    features = stored(_features(docs, bins), "views")
+    named = labels.where("doc_id is not null").groupBy("doc_id").agg(F.lit(True).alias("named"))
+    features = stored(_features(docs, bins).join(named, "doc_id", "left"), "views")
     rows = features.join(F.broadcast(labelled(labels, "quality", LABELLED)), "doc_id").toPandas().sort_values("doc_id")
-    unlabelled = features.join(labels.where("doc_id is not null").select("doc_id"), "doc_id", "left_anti")
+    unlabelled = features.where("named is null").drop("named")
     views, y = _matrices(rows["x"], bins), rows["y"].to_numpy(float)
     held = np.arange(len(y)) % 4 == 3
     use = [[x[~held], y[~held]] for x in views]

@@ -1,8 +1,8 @@
 """Stock deduction as a stateful Structured Streaming job.
 
 Events arrive as a stream: receipt lines (an item plus its sale's store and time) and changes of stock. They
-are grouped by a hash bucket of (product, store); a stateful processor holds level and threshold of each key as an
-entry of the bucket's map state, seeded from the ``stock`` table. Lines
+are grouped by a hash bucket of (product, store); a stateful processor holds level and threshold of each key in a
+map state of the bucket, whose entries are pages of some thirty keys, seeded from the ``stock`` table. Lines
 follow the row-by-row rule of ``operators.deduction``: NO_STOCK_ROW when the
 key has no stock, CHECK_QUANTITY for a non-positive quantity, SHORT when
 the level is too low (nothing consumed), else OK and the level drops.
@@ -14,8 +14,8 @@ Changes of stock (``kind``):
 * ``DELIST`` — the row goes (DELISTED; NO_STOCK_ROW).
 
 Order: micro-batches in arrival order; inside a micro-batch the rows of one
-key are sorted by the arrival columns. A micro-batch reads and writes the entries of the keys that
-it touches, no others. State lives in the RocksDB state
+key are sorted by the arrival columns. A micro-batch reads the pages of the keys that
+it touches and writes those that it changes, no others. State lives in the RocksDB state
 store under the query's checkpoint, so a lost executor or a restarted query
 resumes from the last committed batch. Each decision carries the remaining
 level and says whether it left the level below the threshold: the reorder alert on the
@@ -45,8 +45,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
-KEYS_PER_BUCKET = 256
+KEYS_PER_BUCKET = 1024
 MIN_BUCKETS = 64
+PAGES = 32  # of a bucket: an entry for each key would cost two calls a key, one for all rewrites untouched ones
 
 LINE, STOCK, RESTOCK, DELIST = "LINE", "STOCK", "RESTOCK", "DELIST"
 LISTED, CORRECTED, RESTOCKED, DELISTED, BAD_LEVEL = "LISTED", "CORRECTED", "RESTOCKED", "DELISTED", "CHECK_LEVEL"
@@ -103,24 +104,65 @@ class Shelf:
         return RESTOCKED
 
 
+class Pages:
+    """The shelves of one bucket while a micro-batch passes: pages are read when first asked for, and
+    written when changed."""
+
+    def __init__(self, state):
+        self.state, self.pages, self.changed = state, {}, set()
+
+    @staticmethod
+    def of(key: tuple[int, int]) -> int:
+        return (key[0] * 2654435761 + key[1] * 40503 >> 8) % PAGES
+
+    def page(self, at: int) -> dict:
+        if at not in self.pages:
+            kept = self.state.getValue((at,))
+            self.pages[at] = {(u, st): (lv, th) for u, st, lv, th in zip(*kept)} if kept else {}
+        return self.pages[at]
+
+    def get(self, key: tuple[int, int]) -> tuple | None:
+        return self.page(self.of(key)).get(key)
+
+    def set(self, key: tuple[int, int], value: tuple | None) -> None:
+        page = self.page(self.of(key))
+        if value is None:
+            page.pop(key, None)
+        else:
+            page[key] = value
+        self.changed.add(self.of(key))
+
+    def write(self) -> None:
+        for at in self.changed:
+            page = self.pages[at]
+            if page:
+                self.state.updateValue((at,), ([k[0] for k in page], [k[1] for k in page],
+                                               [v[0] for v in page.values()], [v[1] for v in page.values()]))
+            else:
+                self.state.removeKey((at,))
+
+
 class StockKeeper(StatefulProcessor):
     """Levels of one bucket of (product, store) keys.
 
     The grouping key is a hash bucket of (product, store), so one Python
     call serves every key of the bucket that a micro-batch touches, instead of
-    one call per key. Each key is an entry of the bucket's map state.
+    one call per key.
     """
 
     def __init__(self, order_by: Sequence[str] = ("date_time", "sale_id")):
         self.order_by = tuple(order_by)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.shelves = handle.getMapState("shelves", "upc long, store int", "level int, threshold int")
+        self.state = handle.getMapState("shelves", "page int",
+                                        "upc array<long>, store array<int>, level array<int>, threshold array<int>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
+        pages = Pages(self.state)
         for u, st, lv, th in zip(initialState["product_upc"], initialState["store_id"],
                                  initialState["inventory_level"], initialState["reorder_threshold"]):
-            self.shelves.updateValue((int(u), int(st)), (int(lv), _whole(th)))
+            pages.set((int(u), int(st)), (int(lv), _whole(th)))
+        pages.write()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
@@ -128,14 +170,14 @@ class StockKeeper(StatefulProcessor):
         pdf = pdf.sort_values([*KEY, *self.order_by], kind="stable", ignore_index=True,
                               na_position="first")
         decision, after, threshold = np.empty(len(pdf), dtype=object), [], []
-        lines = (pdf["kind"] == LINE).to_numpy()
+        lines, pages = (pdf["kind"] == LINE).to_numpy(), Pages(self.state)
         store = pdf["store_id"].fillna(-1)
         edge = (pdf["product_upc"] != pdf["product_upc"].shift()) | (store != store.shift())
         edges = [*np.flatnonzero(edge), len(pdf)]
         for a, b in zip(edges[:-1], edges[1:]):
             st = _whole(pdf["store_id"].iat[a])
             at = None if st is None else (int(pdf["product_upc"].iat[a]), st)
-            had = self.shelves.getValue(at) if at else None
+            had = pages.get(at) if at else None
             shelf = Shelf(*(had or (None, None)))
             i = a
             while i < b:
@@ -152,10 +194,9 @@ class StockKeeper(StatefulProcessor):
                 threshold += [shelf.threshold] * (j - i)
                 i = j
             now = None if shelf.level is None else (shelf.level, shelf.threshold)
-            if at and now is not None and now != (had and tuple(had)):
-                self.shelves.updateValue(at, now)
-            elif had is not None and now is None:
-                self.shelves.removeKey(at)
+            if at and now != had:
+                pages.set(at, now)
+        pages.write()
         after, threshold = pd.array(after, dtype="Int32"), pd.array(threshold, dtype="Int32")
         low = pd.Series(after < threshold).fillna(False).to_numpy(bool) & (decision == OK)
         yield pd.DataFrame({

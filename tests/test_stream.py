@@ -112,19 +112,25 @@ class FakeMap:
         del self.entries[k]
 
 
-def test_a_micro_batch_touches_the_entries_of_its_keys_only():
+def test_a_micro_batch_touches_the_pages_of_its_keys_only():
     keeper = S.StockKeeper(ORDER)
-    keeper.shelves = FakeMap()
+    keeper.state = FakeMap()
     keeper.handleInitialState(0, pd.DataFrame({"product_upc": range(1000), "store_id": 1, "inventory_level": 5,
                                                "reorder_threshold": [None, 3] * 500}), None)
-    keeper.shelves.writes.clear()
+    assert sorted(keeper.state.writes) == [(p,) for p in range(S.PAGES)]
+    assert max(len(v[0]) for v in keeper.state.entries.values()) < 3 * 1000 / S.PAGES
+    keeper.state.writes.clear()
+    keeper.state.reads.clear()
     rows = pd.DataFrame([("LINE", 1, 1, 7, 1, 2, None), ("LINE", 2, 2, 7, 1, 9, None), ("LINE", 3, 3, 8, 1, 9, None),
                          ("LINE", 4, 4, 5000, 1, 1, None), ("LINE", 5, 5, 9, None, 1, None)],
                         columns=["kind", "seq", "sale_id", "product_upc", "store_id", "quantity", "reorder_threshold"])
     out = pd.concat(list(keeper.handleInputRows((0,), iter([rows.iloc[:2], rows.iloc[2:]]), None)))
-    assert sorted(keeper.shelves.reads) == [(7, 1), (8, 1), (5000, 1)]
-    assert keeper.shelves.writes == [(7, 1)]   # the others are as they were
+    page = {u: (S.Pages.of((u, 1)),) for u in (7, 8, 5000)}
+    assert sorted(keeper.state.reads) == sorted(set(page.values()))
+    assert keeper.state.writes == [page[7]]   # the others are as they were
     assert dict(zip(out["sale_id"], out["decision"])) == {1: "OK", 2: "SHORT", 3: "SHORT", 4: "NO_STOCK_ROW", 5: "NO_STOCK_ROW"}
+    level = dict(zip(*keeper.state.entries[page[7]][:3:2]))
+    assert level[7] == 3 and sum(len(v[0]) for v in keeper.state.entries.values()) == 1000
 
 
 def test_a_micro_batch_run_again_writes_its_rows_once(spark, tmp_path):

@@ -37,7 +37,7 @@ from storeline.llm import blocks as B
 U = np.uint64
 WINDOW, GRAM, HOT = 50, 16, 2000
 NO_ID = -(2**63)
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20  # of text for each bucket of keys, each shard of contexts
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 2 << 20  # of text for each bucket of keys, each shard of contexts
 PACKED = "blk long, bucket int, data binary"
 ANSWER = "blk long, bucket int, tag string, data binary"
 _STEP, _LOW = 1 << 14, U((1 << 15) - 1)  # grams are hashed in pieces that stay in the CPU's cache

@@ -79,13 +79,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def apply_base_conf(spark: SparkSession) -> None:
-    """Apply the run-time settings of ``BASE_CONF`` that may change late."""
+    """Apply the run-time settings of ``BASE_CONF`` that may change late and that the session does not set itself."""
+    own = spark._jsparkSession.conf()
     for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql.") and "stateStore" not in k:
+        if k.startswith("spark.sql.") and "stateStore" not in k and not own.contains(k):
             spark.conf.set(k, v)
 
 
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``storeline`` importable in executor Python workers.
 

@@ -218,11 +218,18 @@ def positional_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_list(spark, sf_dir).toDF(*[f"_{i}" for i in range(1, 6)])
 
 
-# (application id, source folder) -> folder of the stored domain tables
-_STORED: dict[tuple[str, str], str] = {}
+# (application id, source folder, its files' times and sizes) -> folder of the stored domain tables
+_STORED: dict[tuple, str] = {}
 _STORED_LOCK = threading.Lock()
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Time and size of each source file: rewritten sources are stored anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in store.listStatus(path)))
+
+
 def stored_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The domain tables written once per session, then read as stored tables.
 
@@ -234,7 +241,7 @@ def stored_driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
     from storeline.session import scratch_path
     from storeline.sources.tables import read_tables, write_tables
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _state(spark, sf_dir))
     with _STORED_LOCK:
         root = _STORED.get(key)
         if root is None:

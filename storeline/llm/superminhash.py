@@ -193,11 +193,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
         return known.join(of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
             lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>").dropDuplicates(["rep", *key])
 
-    # first each block for itself, then pairs of blocks: those that are one component by then aren't compared again, and
-    # an edge joins two components, so that the edges of a large group do not grow with the pairs of its documents
+    # first each block for itself, then a chain of the blocks of one class (only large groups have several), then the other
+    # pairs: what is one component by then isn't compared again, and an edge joins two components, so that the edges of
+    # a large group do not grow with the pairs of its blocks
     placed = placed.withColumn("comp", F.col("rep")).checkpoint()
     same = F.col("low") == F.col("high")
-    for turn in (same, ~same):
+    chain = (F.col("low.class") == F.col("high.class")) & (F.col("high.part") == F.col("low.part") + 1)
+    for turn in (same, chain, ~same & ~chain):
         held = placed.groupBy("grp", "block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
         first = held.select("grp", F.col("block").alias("low"), F.col("least").alias("l0"), F.col("most").alias("m0"))
         second = held.select("grp", F.col("block").alias("high"), F.col("least").alias("l1"), F.col("most").alias("m1"))

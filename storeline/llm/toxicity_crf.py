@@ -15,11 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from storeline.functions.sizing import bounded_broadcast
 from storeline.llm import blocks as B
 from storeline.llm.samples import fit_logistic, labelled, predict, sigmoid
 
 SAMPLE_DOCS = 4000      # documents that the scores are calibrated on
 FIELD_DOCS = 400        # documents that the field is fitted on, half of them of each label
+BROADCAST_LABELS = 2_000_000
 MIN_DOCS = 3
 PRIOR = 5               # documents of the usual mix that every key is taken to have besides its own
 PREFIXES = (4, 5, 6)
@@ -211,7 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     calibration are fitted on ``sampled`` ones.
     """
     rows = labelled(labels, "toxic", None, fold=0)
-    train = docs.where("doc_id is not null").select("doc_id", "text").join(rows, "doc_id")
+    # texts stay where they are while the labels are few enough to be sent to them (16 bytes each)
+    few, _ = bounded_broadcast(rows, BROADCAST_LABELS)
+    train = docs.where("doc_id is not null").select("doc_id", "text").join(few, "doc_id")
     n = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     toxic, clean = n[1], n[0] - n[1]
     counts = (train.select("text", "y").mapInPandas(_counts, "key long, toxic long, clean long")

@@ -18,12 +18,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from storeline.functions.sizing import bounded_broadcast
 from storeline.llm import blocks as B
 from storeline.llm.components import connected_components
+from storeline.llm.ranks import stored
 
 U = np.uint64
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 150_000
 PIECE = 1 << 18
+BROADCAST_IDS = 2_000_000
 
 
 def shingles(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +192,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
                          F.struct(F.col("other").alias("class"), F.col("other_part").alias("part")).alias("high")).where(
         F.col("low") <= F.col("high")).checkpoint()
 
+    # the texts of all candidates are kept once; other texts are not moved while the candidates' ids are few (8 bytes each)
+    few, _ = bounded_broadcast(placed.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_IDS)
+    texts = stored(known.join(few, "doc_id"), "candidates")
+
     def sets(of):
-        return known.join(of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
+        return texts.join(of.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").mapInPandas(
             lambda b: _sets(b, words), "rep long, n long, set_a long, set_b long, shingles array<long>").dropDuplicates(["rep", *key])
 
     # first each block for itself, then a chain of the blocks of one class (only large groups have several), then the other

@@ -151,3 +151,38 @@ def test_offsets_are_chunk_numbers(tmp_path):
     assert reader.initialOffset() == {"chunks": 0}
     assert [p.path for p in reader.partitions({"chunks": 0}, {"chunks": 3})] == [str(tmp_path / "chunk=1" / "part-0.parquet")]
     assert reader.partitions({"chunks": 2}, {"chunks": 2}) == []
+
+
+def test_keys_of_a_bucket_are_folded_together(monkeypatch):
+    """Short runs are decided a row of every key at a time: keys that are folded alone are few."""
+    alone = []
+    lines = S.Shelf.lines
+    monkeypatch.setattr(S.Shelf, "lines", lambda self, q: alone.append(len(q)) or lines(self, q))
+    rnd = random.Random(7)
+    levels = {(u, 1): (rnd.randint(0, 30), rnd.choice([None, 5])) for u in range(1500)}
+    kinds = ["LINE"] * 12 + ["STOCK", "RESTOCK", "DELIST"]
+    events = [(rnd.choice(kinds), i, i, 3 if rnd.random() < .1 else rnd.randint(0, 1999), 1,
+               rnd.choice([None, -1, 0]) if rnd.random() < .05 else rnd.randint(1, 12), rnd.choice([None, 3, 8])) for i in range(6000)]
+    keeper = S.StockKeeper(ORDER)
+    keeper.state = FakeMap()
+    stock = pd.DataFrame([(*k, *v) for k, v in levels.items()], columns=["product_upc", "store_id", "inventory_level", "reorder_threshold"])
+    keeper.handleInitialState(0, stock, None)
+    names = ["kind", "seq", "sale_id", "product_upc", "store_id", "quantity", "reorder_threshold"]
+    got, low = {}, set()
+    for a in range(0, len(events), 2000):
+        out = pd.concat(list(keeper.handleInputRows((0,), iter([pd.DataFrame(events[a:a + 2000], columns=names)]), None)))
+        got |= {s: (d, None if pd.isna(v) else v) for s, d, v in zip(out["sale_id"], out["decision"], out["level_after"])}
+        low |= set(out["sale_id"][out["low"]])
+    want, alerts, have = loop(levels, events)
+    assert got == want and low == alerts
+    kept = S.Pages(keeper.state)
+    for k in (page for (page,) in list(keeper.state.entries)):
+        kept.page(k)
+    assert {k: v for page in kept.pages.values() for k, v in page.items()} == have
+    assert len(alone) < 200  # one call for each key and micro-batch, or more, otherwise
+
+
+def test_larger_chunks_have_more_files(spark, tmp_path):
+    frame = spark.range(40).selectExpr("id", "id AS seq")
+    _, k = stage_by_arrival(frame, ORDER, 2_000_000, path=f"{tmp_path}/in")
+    assert k == 1 and len(list((tmp_path / "in" / "chunk=0").glob("*.parquet"))) == 8

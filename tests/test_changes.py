@@ -280,3 +280,20 @@ def test_referential_actions_are_all_or_nothing_when_atomic(t):
         new, refused = changes.cascade_update(tables, "customer", mapping, atomic=atomic)
         assert [r.reason for r in refused.collect()] == ["NO_SUCH_ROW"]
         assert new["customer"].filter("customer_id = 9001").count() == want
+
+
+def test_restrict_delete_neither_sorts_nor_joins_the_references(spark):
+    """Requested and referenced keys meet in one aggregate, also where nothing is small enough to be broadcast."""
+    from storeline.schemas import SPECS
+
+    rows = {"product": [(u, "p", None, None, None, None, 1) for u in (1, 2, 3, 4)],
+            "stock": [(1, 10, 5, None, 1), (2, 10, 5, None, 1), (1, 11, 5, None, 1)],
+            "sale_line_item": [(1, 2, 1), (2, 2, 1), (2, 3, 1), (3, 9, 1), (4, None, 1)]}
+    tables = {n: spark.createDataFrame(r, SPECS[n].schema) for n, r in rows.items()}
+    asked = spark.createDataFrame([(1,), (2,), (2,), (4,), (None,)], "product_upc long")
+    allowed, blocked = changes.restrict_delete(tables, "product", asked)
+    assert {r.product_upc for r in allowed.collect()} == {4, None}
+    assert {tuple(r) for r in blocked.collect()} == {(1, "stock"), (2, "sale_line_item,stock")}
+    for frame in (allowed, blocked):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "Sort" not in plan

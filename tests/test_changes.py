@@ -297,3 +297,16 @@ def test_restrict_delete_neither_sorts_nor_joins_the_references(spark):
     for frame in (allowed, blocked):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and "Sort" not in plan
+
+
+def test_quantity_updates_are_shuffled_by_item_once(spark):
+    """Repeats, conflicts and the join with the items share one shuffle of the requests."""
+    items = spark.createDataFrame([(1, 10, 2), (1, 11, 2), (2, 10, 1)], SPECS["sale_line_item"].schema)
+    news = spark.createDataFrame([(1, 10, 5), (1, 10, 5), (1, 11, 3), (1, 11, 4), (2, 10, 0), (3, 10, 1), (None, 10, 1), (1, 10, 5)],
+                                 "sale_id long, product_upc long, new_quantity int")
+    decisions = changes.guard_update_items(items, news)[1]
+    assert sorted((r.sale_id or 0, r.product_upc, r.new_quantity, r.decision) for r in decisions.collect()) == [
+        (0, 10, 1, "NO_SUCH_ROW"), (1, 10, 5, "ACCEPTED"), (1, 11, 3, "CONFLICTING_UPDATE"), (1, 11, 4, "CONFLICTING_UPDATE"),
+        (2, 10, 0, "LAST_ITEM_ZERO"), (3, 10, 1, "NO_SUCH_ROW")]
+    joins = decisions._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins == 3  # with the items, and the sizes of the receipts asked for

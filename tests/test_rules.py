@@ -1,6 +1,8 @@
 """Integrity checks and the validated loader."""
 
 import datetime as dt
+import os
+import shutil
 from decimal import Decimal as D
 
 import pytest
@@ -196,3 +198,15 @@ def test_row_checks_treat_absent_columns_as_null(spark):
     # price and vendor_id are NOT NULL and absent: NULL in every row
     got = sorted((r.rule, r.detail) for r in checks.check_not_null({"product": partial}).collect())
     assert got == [("NOT_NULL", "price"), ("NOT_NULL", "vendor_id")]
+
+
+def test_checks_ask_only_for_the_tables_that_their_rules_name(spark, tmp_path):
+    from storeline.plans import workloads as W
+    from storeline.sources import driver
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf")
+    sf = str(tmp_path / "sf")
+    t = driver.stored_driver_tables(spark, sf)
+    assert W.run_check(t, driver.raw_line_items(spark, sf), "check_domain").count() == 0
+    assert set(t._cache) - {W.RAW_ITEMS} <= {"store", "customer", "sale"}
+    (root, _, written), = [v for k, v in driver._STORED.items() if k[1] == sf]
+    assert written == {"store", "customer", "sale"} == set(os.listdir(root.removeprefix("file:")))

@@ -5,7 +5,7 @@ import pytest
 from storeline.operators import changes, checks
 from storeline.plans import queries as Q
 from storeline.schemas import SPECS
-from storeline.sources.loader import load_all, load_into, load_validated
+from storeline.sources.loader import _split, judged, load_all, load_into, load_validated
 from storeline.sources.tables import read_tables, write_tables
 from tests.fixtures import chain
 
@@ -122,3 +122,17 @@ def test_changes_of_composite_keys(spark, t):
     assert new["stock"].columns == t.stock.columns
     kept, _ = changes.cascade_update({n: t[n] for n in SPECS}, "stock", mapping, atomic=True)
     assert {(r.product_upc, r.store_id) for r in kept["stock"].collect()} == {(r.product_upc, r.store_id) for r in t.stock.collect()}
+
+
+def test_rows_of_a_load_are_not_shuffled_for_a_few_broken_keys(spark, t):
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        raw = t.sale_line_item.unionByName(spark.createDataFrame([(1, 9999, 1), (999, 1001, 2)], t.sale_line_item.schema))
+        staged = judged(raw, SPECS["sale_line_item"], {"sale": t.sale, "product": t.product})
+        assert "hashpartitioning" not in staged._jdf.queryExecution().executedPlan().toString()
+        assert issues(_split(staged, SPECS["sale_line_item"])[1]) == [
+            ("sale_line_item", "FOREIGN_KEY", "1|9999", "product_upc->product"),
+            ("sale_line_item", "FOREIGN_KEY", "999|1001", "sale_id->sale")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)

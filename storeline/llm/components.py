@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from storeline.functions.sizing import in_few_tasks
+
+EDGES_OF_TASK = 100_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(v, component): the smallest vertex reachable, for each vertex of ``edges`` (a, b: long).
 
     Every round each vertex takes the smallest label among its own and its neighbours', then
     the label of that label, so that chains halve. Labels are checkpointed each round;
-    only the number of changes reaches the driver.
+    only the number of changes reaches the driver. Rounds run in as many tasks as the edges fill: those of a
+    small graph would else be nearly all empty, and the driver keeps a record of each.
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")).checkpoint()
+    both, n = in_few_tasks(both, EDGES_OF_TASK)
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("component")).coalesce(n).checkpoint()
+    none = F.lit(None).cast("long")
     while True:
-        told = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("component").alias("told"))
-        near = labels.join(told, F.col("v") == F.col("a")).select(
-            "v", F.least("component", "told").alias("near"), F.col("component").alias("old"))
+        told = both.join(labels, F.col("b") == F.col("v")).select(F.col("a").alias("v"), "component", none.alias("old")).coalesce(n)
+        near = told.unionByName(labels.withColumn("old", F.col("component"))).groupBy("v").agg(
+            F.min("component").alias("near"), F.max("old").alias("old")).coalesce(n)
         jump = labels.select(F.col("v").alias("near"), F.col("component").alias("far"))
         new = near.join(jump, "near", "left").select(
-            "v", F.least("near", "far").alias("component"), "old").checkpoint()
-        if not new.where("component <> old").limit(1).count():
+            "v", F.least("near", "far").alias("component"), "old").coalesce(n).checkpoint()
+        if new.where("component <> old").isEmpty():
             return new.drop("old")
         labels = new.drop("old")

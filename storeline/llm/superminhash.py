@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from storeline.functions.sizing import bounded_broadcast
+from storeline.functions.sizing import bounded_broadcast, in_few_tasks
 from storeline.llm import blocks as B
 from storeline.llm.components import connected_components
 from storeline.llm.ranks import stored
@@ -27,6 +27,7 @@ U = np.uint64
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 150_000
 PIECE = 1 << 18
 BROADCAST_IDS = 2_000_000
+SETS_OF_TASK = 50_000  # names of sets, not their shingles
 
 
 def shingles(texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,6 +179,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     ratio = float(np.log(100 / percent))
     placed = group.join(reps.drop("bands"), "rep").withColumn(
         "class", F.floor(F.log("n") / ratio + 1e-9)).checkpoint()
+    # what holds names of sets only goes on in as many tasks as they fill
+    placed, n_tasks = in_few_tasks(placed, SETS_OF_TASK)
     parts = placed.groupBy("grp", "class").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     placed = placed.join(parts, ["grp", "class"]).select(
@@ -191,6 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     meets = meets.select("grp", F.struct("class", "part").alias("low"),
                          F.struct(F.col("other").alias("class"), F.col("other_part").alias("part")).alias("high")).where(
         F.col("low") <= F.col("high")).checkpoint()
+    meets, _ = in_few_tasks(meets, SETS_OF_TASK)
 
     # the texts of all candidates are kept once; other texts are not moved while the candidates' ids are few (8 bytes each)
     few, _ = bounded_broadcast(placed.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_IDS)
@@ -203,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     # first each block for itself, then a chain of the blocks of one class (only large groups have several), then the other
     # pairs: what is one component by then isn't compared again, and an edge joins two components, so that the edges of
     # a large group do not grow with the pairs of its blocks
-    placed = placed.withColumn("comp", F.col("rep")).checkpoint()
+    placed = placed.withColumn("comp", F.col("rep")).coalesce(n_tasks).checkpoint()
     same = F.col("low") == F.col("high")
     chain = (F.col("low.class") == F.col("high.class")) & (F.col("high.part") == F.col("low.part") + 1)
     for turn in (same, chain, ~same & ~chain):
@@ -223,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
             lambda pdf: _links(pdf, percent), "a long, b long").distinct().checkpoint()
         joined = connected_components(links)
         placed = placed.join(joined, F.col("comp") == F.col("v"), "left").select(
-            "rep", *key, "grp", "block", F.coalesce("component", "comp").alias("comp")).checkpoint()
+            "rep", *key, "grp", "block", F.coalesce("component", "comp").alias("comp")).coalesce(n_tasks).checkpoint()
     found = placed.select(F.col("rep").alias("v"), F.col("comp").alias("component"))
     whole = reps.join(found, F.col("rep") == F.col("v"), "left").select(
         *key, F.coalesce("component", "rep").alias("component_id"))

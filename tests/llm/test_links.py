@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from storeline.llm import blocks, entry, multi_index, superminhash
+from storeline.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
 
@@ -171,3 +172,16 @@ def test_the_target_recall_is_met_and_visits_stay_few():
     assert met / len(y) > 0.97
     whole = multi_index.traverse(a[0], b[0], np.inf, 576)
     assert sorted(whole) == list(range(576)) and (multi_index.traverse(a[0], b[0], np.inf, 50) == whole[:50]).all()
+
+
+def test_rounds_of_a_small_graph_have_few_tasks(spark):
+    own = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = connected_components(spark.range(0, 300).selectExpr("id a", "id + 3 b"))
+        assert found.rdd.getNumPartitions() <= 4
+        assert {tuple(r) for r in found.collect()} == {(v, v % 3) for v in range(303)}
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)

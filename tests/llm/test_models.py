@@ -228,3 +228,21 @@ def test_lexicon_has_no_size_limit(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = toxicity_crf.fit(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
     assert len(model["lexicon"][0]) >= 24_000
+
+
+def test_tree_packs_blocks_and_leaves_nothing_behind(spark):
+    rng = np.random.RandomState(2)
+    key = np.concatenate([rng.randint(1, 2**62, 500).astype(np.uint64)] * 2 + [np.arange(1 << 20, (1 << 20) + 9, dtype=np.uint64)])
+    for x in (key, key[:1000], key[:0]):  # the last nine differ in the low bits only
+        for got, want in zip(suffix_tree_lm._distinct(x), np.unique(x, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+    columns = [key, np.array([-1, 0, 300]), np.array([0.1, -0.0, np.inf]), np.zeros(0, np.int64)]
+    types = [np.uint64, np.int64, float, np.int64]
+    for got, want in zip(suffix_tree_lm._unpack(suffix_tree_lm._pack(*columns), *types), columns):
+        assert got.tolist() == want.tolist()
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(50)], "doc_id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    out = suffix_tree_lm.score_documents(docs, suffix_tree_lm.fit(docs), block_bytes=100)
+    assert out.count() == 50 and spark.conf.get(name) == before
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_tree_blocks")]

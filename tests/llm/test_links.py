@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from storeline.llm import blocks, entry, multi_index, superminhash
+from storeline.llm import blocks, components as graphs, entry, multi_index, superminhash
 from storeline.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -185,3 +185,27 @@ def test_rounds_of_a_small_graph_have_few_tasks(spark):
     finally:
         for k, v in own.items():
             spark.conf.set(k, v)
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    edges = spark.range(0, 3000).selectExpr("id a", "id + 7 b").checkpoint()
+    spark.sparkContext.setJobGroup("small graph", "")
+    try:
+        found = connected_components(edges)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("small graph"))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert {tuple(r) for r in found.collect()} == {(v, v % 7) for v in range(3007)} and jobs <= 8
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    a, b = rng.randint(-3000, 3000, (2, 2500))
+    links = [(int(x), int(y)) for x, y in zip(a, b) if x != y] + [(i, i + 1) for i in range(10_000, 10_500)]
+    want = components({v for e in links for v in e}, links)
+    edges = spark.createDataFrame(links + [(77_777, 77_777)], "a long, b long").repartition(6)
+    for together, of_task in ((graphs.EDGES_TOGETHER, 100_000), (10, 50)):
+        monkeypatch.setattr(graphs, "EDGES_TOGETHER", together)
+        monkeypatch.setattr(graphs, "EDGES_OF_TASK", of_task)
+        got = [tuple(r) for r in connected_components(edges).collect()]
+        assert len(got) == len(want) and dict(got) == want

@@ -186,3 +186,29 @@ def test_larger_chunks_have_more_files(spark, tmp_path):
     frame = spark.range(40).selectExpr("id", "id AS seq")
     _, k = stage_by_arrival(frame, ORDER, 2_000_000, path=f"{tmp_path}/in")
     assert k == 1 and len(list((tmp_path / "in" / "chunk=0").glob("*.parquet"))) == 8
+
+
+def test_chunks_grow_with_the_tables(spark, monkeypatch):
+    """A history is replayed in as many micro-batches at every size, unless one owner of keys has most of it."""
+    from storeline.plans import workloads as W
+    from storeline.streaming import arrivals
+
+    monkeypatch.setattr(arrivals, "ROWS_PER_CHUNK", 10)
+    monkeypatch.setattr(W, "LARGEST_CHUNK", 40)
+
+    def events(n, upc):
+        return spark.range(n).selectExpr(f"{upc} AS product_upc", "1 AS store_id")
+    chunks = {n: -(-n // W._rows_per_chunk(events(n, "id"), events(n, "id"))) for n in (80, 320, 1280)}
+    assert chunks == {n: W.KEYS_PER_EVENT for n in chunks}
+    assert W._rows_per_chunk(events(1280, "7"), events(1280, "id")) == 40
+
+
+def test_the_rows_of_a_bucket_are_seeded_in_any_number_of_calls():
+    stock = pd.DataFrame({"product_upc": range(3000), "store_id": 2, "inventory_level": range(3000), "reorder_threshold": [None, 3] * 1500})
+    keeper = S.StockKeeper(ORDER)
+    keeper.state = FakeMap()
+    for a in (0, 1000, 2000):
+        keeper.handleInitialState(0, stock.iloc[a:a + 1000], None)
+    pages = S.Pages(keeper.state)
+    assert [pages.get((u, 2)) for u in range(3000)] == [(u, (None, 3)[u % 2]) for u in range(3000)]
+    assert len(keeper.state.writes) <= 3 * S.PAGES
